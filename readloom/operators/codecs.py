@@ -6,8 +6,13 @@ Parquet picks its encodings itself; this is the analysis: sizes by aggregation,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from readloom.functions import cigar
@@ -81,27 +86,56 @@ def token_bytes(cigar_text: Column) -> Column:
     return F.when(cigar_text.rlike("^([1-9][0-9]*[MIDNSHP=X])+$"), size)
 
 
-def quality_runs(quality: Column) -> Column:
-    """Lengths of the runs of equal characters; null for a missing quality."""
-    runs = F.transform(F.regexp_extract_all(quality, F.lit(r"((.)\2*)"), F.lit(1)), lambda r: F.length(r))
-    return F.when((quality != "") & (quality != "*"), runs)
-
-
 def all_or_null(value: Column) -> Column:
     """The sum, or null where any value is."""
     return F.when(F.count(value) == F.count("*"), _long(F.sum(value)))
 
 
+def quality_facts(reads: DataFrame, keys=KEYS) -> DataFrame:
+    """(keys, size, n_runs, rle, low, high) for each text: its runs, their bytes, and bit masks of its characters
+    below and above 64. A batch's bytes are one numpy array. Missing qualities give nulls but for the masks."""
+    k = list(keys)
+    schema = T.StructType([*(reads.schema[c] for c in k), *T.StructType.fromDDL("size long, n_runs long, rle long, low long, high long").fields])
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            raw = np.frombuffer(b"".join(texts), np.uint8)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            starts = np.cumsum(sizes) - sizes
+            first = np.zeros(len(raw), bool)
+            first[1:] = raw[1:] != raw[:-1]
+            full = np.flatnonzero(sizes)
+            first[starts[full]] = True
+            at = np.flatnonzero(first)
+            lengths = np.diff(np.append(at, len(raw)))
+            row = full[np.searchsorted(starts[full], at, side="right") - 1] if len(full) else at
+            cost = 1 + np.maximum(1, -(-(np.frexp(lengths.astype(np.float64))[1]) // 7))
+            one = np.uint64(1)
+            masks = [np.zeros(len(texts), np.uint64) for _ in range(2)]
+            for high in (0, 1):
+                bits = np.where(raw >> 6 == high, one << (raw & 63).astype(np.uint64), np.uint64(0))
+                if len(full):
+                    masks[high][full] = np.bitwise_or.reduceat(bits, starts[full])
+            missing = np.array([t in (b"", b"*") for t in texts], bool)
+            made = [pa.array(sizes), pa.array(np.bincount(row, minlength=len(texts)), mask=missing), pa.array(np.bincount(row, cost, len(texts)).astype(np.int64), mask=missing), *(pa.array(m.view(np.int64)) for m in masks)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in k), *made], names=names)
+
+    return reads.select(*k, F.col("quality").cast("binary").alias("_text")).mapInArrow(run, schema)
+
+
 def quality_codes(reads: DataFrame, keys=KEYS) -> DataFrame:
-    """(keys, n, alphabet, bits, runs, rle_bytes, pack_bytes)."""
-    runs = quality_runs(F.col("quality"))
-    made = reads.select(*keys, "quality", F.length("quality").alias("size"), F.size(runs).alias("n_runs"), F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + varint_size(r) + 1).alias("rle"), F.array_distinct(F.split("quality", "")).alias("letters"))
-    alphabet = made.select(*keys, F.explode("letters").alias("letter")).where("letter <> ''").groupBy(*keys).agg(F.count_distinct("letter").alias("alphabet"))
-    bits = F.when(F.col("alphabet") <= 1, 0).otherwise(bit_width(F.col("alphabet") - 1))
-    joined = made.join(alphabet.withColumn("bits", bits), list(keys))
-    concrete = (F.col("quality") != "") & (F.col("quality") != "*")
-    pack = F.when(concrete & (F.col("alphabet") <= 128), varint_size(F.col("size")) + F.ceil(F.col("size") * F.col("bits") / 8))
-    return joined.groupBy(*keys, "alphabet", "bits").agg(F.count("*").alias("n"), _long(F.sum(F.when(concrete, F.col("n_runs")))).alias("runs"), all_or_null(F.when(concrete, varint_size(F.col("size")) + F.col("rle"))).alias("rle_bytes"), _long(all_or_null(pack) + varint_size(F.col("alphabet")) + F.col("alphabet")).alias("pack_bytes"))
+    """(keys, n, alphabet, bits, runs, rle_bytes, pack_bytes): one aggregation over ``quality_facts``.
+
+    The bits that a text takes packed depend on its chunk's alphabet, so whole sizes are summed for each width."""
+    widths = range(8)
+    packed = [F.sum(varint_size(F.col("size")) + F.ceil(F.col("size") * w / 8)).alias(f"p{w}") for w in widths]
+    n = F.count("*")
+    summed = quality_facts(reads, keys).groupBy(*keys).agg(n.alias("n"), F.count("rle").alias("concrete"), (F.bit_count(F.bit_or("low")) + F.bit_count(F.bit_or("high"))).cast("long").alias("alphabet"), F.sum("n_runs").alias("runs"), all_or_null(varint_size(F.col("size")) + F.col("rle")).alias("rle_bytes"), *packed)
+    bits = F.when(F.col("alphabet") <= 1, 0).otherwise(bit_width(F.col("alphabet") - 1)).cast("long")
+    body = F.element_at(F.array(*(f"p{w}" for w in widths)), (bits + 1).cast("int"))
+    return summed.select(*keys, "n", "alphabet", bits.alias("bits"), "runs", "rle_bytes", _long(F.when((F.col("concrete") == F.col("n")) & (F.col("alphabet") <= 128), body + varint_size(F.col("alphabet")) + F.col("alphabet"))).alias("pack_bytes"))
 
 
 def sequence_2bit(reads: DataFrame, keys=KEYS) -> DataFrame:

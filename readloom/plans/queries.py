@@ -268,7 +268,7 @@ QRUNS = "(1 + list_sum(list_transform(range(2, length(quality) + 1), lambda k: (
 
 @query(CHUNKED + f"SELECT ref, chunk::BIGINT AS chunk, count(*) AS n, sum({QRUNS})::BIGINT AS runs FROM c WHERE quality <> '*' GROUP BY ref, chunk")
 def qual_rle_runs(reads):
-    return chunked(reads).where("quality <> '*'").groupBy("ref", "chunk").agg(F.count("*").alias("n"), F.sum(F.size(codecs.quality_runs(F.col("quality")))).cast("long").alias("runs"))
+    return codecs.quality_facts(chunked(reads).where("quality <> '*'")).groupBy("ref", "chunk").agg(F.count("*").alias("n"), F.sum("n_runs").alias("runs"))
 
 
 def _bins() -> tuple[str, str]:
