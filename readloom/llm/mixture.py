@@ -79,11 +79,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         "_rl_source string, source_size long, target double, _rl_start double, _rl_end double",
     )
 
-    bucketed = sized.withColumn("_rl_bucket", F.substring("_rl_md5", 1, BUCKET_DIGITS))
-    sums = bucketed.groupBy(F.col(source_col).alias("_rl_s"), F.col("_rl_bucket").alias("_rl_b")).agg(F.sum("size").alias("_rl_sum"))
-    before = sums.select("_rl_s", "_rl_b", (F.sum("_rl_sum").over(Window.partitionBy("_rl_s").orderBy("_rl_b")) - F.col("_rl_sum")).alias("_rl_before"))
-    inside = Window.partitionBy(source_col, "_rl_bucket").orderBy("_rl_md5", id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = bucketed.join(before, F.col(source_col).eqNullSafe(F.col("_rl_s")) & (F.col("_rl_bucket") == F.col("_rl_b"))).join(plan, F.col(source_col).eqNullSafe(F.col("_rl_source")))
+    # one key for source and bucket, never null: the join and the running sum then share one shuffle
+    source_key = F.coalesce(F.concat(F.lit("="), source_col), F.lit(""))
+    bucketed = sized.withColumn("_rl_key", F.concat(F.substring("_rl_md5", 1, BUCKET_DIGITS), source_key))
+    sums = bucketed.groupBy("_rl_key", F.col(source_col).alias("_rl_s")).agg(F.sum("size").alias("_rl_sum"))
+    before = sums.select("_rl_key", (F.sum("_rl_sum").over(Window.partitionBy("_rl_s").orderBy("_rl_key")) - F.col("_rl_sum")).alias("_rl_before"))
+    inside = Window.partitionBy("_rl_key").orderBy("_rl_md5", id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = bucketed.join(before, "_rl_key").join(plan, F.col(source_col).eqNullSafe(F.col("_rl_source")))
     offset = F.col("_rl_before") + F.sum("size").over(inside) - F.col("size")
     full = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     placed = joined.withColumn("_rl_offset", offset).withColumn("_rl_full", full)
