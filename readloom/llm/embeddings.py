@@ -45,14 +45,16 @@ def prepare(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Da
     schema = out_schema(VECTORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(schema, 8 << 20)
+        out, axes = Rows(schema, 8 << 20), {}
         for batch in batches:
             for key, label, vector in rows_of(batch, "id", "label", "vector"):
                 row = (key, label, None, None, None, None)
                 if label is not None and vector and None not in vector:
                     x = np.array(vector, np.float64) + 0.0  # no negative zero
                     if np.isfinite(x).all() and x.any():
-                        place = float((unit(x[None]) @ directions(len(x)))[0, 0])
+                        if len(x) not in axes:
+                            axes[len(x)] = directions(len(x))
+                        place = float((unit(x[None]) @ axes[len(x)])[0, 0])
                         row = (key, label, len(x), xxhash.xxh3_128_digest(x.tobytes()), place, x.tobytes())
                 if out.add(row, len(row[-1] or b"")):
                     yield out.batch()
