@@ -18,6 +18,8 @@ from .common import TOKEN_PATTERN, saved, table
 
 #: More sources than this are an error: one row each of them goes to the driver.
 MAX_SOURCES = 1_000_000
+#: The plan of so many sources, a short row each, is broadcast; a longer one is joined by a shuffle.
+BROADCAST_SOURCES = 50_000
 #: Hash buckets of a source, a power of 16: running sums are made within buckets, so no task sorts a whole source.
 BUCKET_DIGITS = 3
 
@@ -79,6 +81,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         "_rl_source string, source_size long, target double, _rl_start double, _rl_end double",
     )
 
+    plan = F.broadcast(plan) if len(totals) <= BROADCAST_SOURCES else plan
     # one key for source and bucket, never null: the join and the running sum then share one shuffle
     source_key = F.coalesce(F.concat(F.lit("="), source_col), F.lit(""))
     bucketed = sized.withColumn("_rl_key", F.concat(F.substring("_rl_md5", 1, BUCKET_DIGITS), source_key))
