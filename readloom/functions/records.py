@@ -12,13 +12,15 @@ BINS = ((1, 0), (9, 6), (19, 15), (24, 22), (29, 27), (34, 33), (39, 37), (93, 4
 def _number(field: Column, label: str, low: int, high: int) -> Column:
     value = field.try_cast("long")
     sane = field.rlike("^-?[0-9]+$") & value.between(low, high)
-    return F.when(F.coalesce(sane, F.lit(False)), value).otherwise(F.raise_error(F.lit(f"invalid SAM {label}"))).cast("int")
+    return F.when(field.isNull() | F.coalesce(sane, F.lit(False)), value).otherwise(F.raise_error(F.lit(f"invalid SAM {label}"))).cast("int")
 
 
 def parse_sam(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """Reads from SAM lines, header lines left out. Mapped records must have a position."""
     f = F.split(F.regexp_replace(line_col, r"[\r\n]+$", ""), "\t", -1)
-    body = lines.where(~F.col(line_col).startswith("@") & (F.col(line_col) != "")).select(F.when(F.size(f) < 11, F.raise_error(F.lit("SAM record has fewer than 11 fields"))).otherwise(f).alias("f"))
+    header = F.col(line_col).startswith("@") | (F.col(line_col) == "")
+    # later filters may be pushed below this one, so a header line must be harmless in every expression
+    body = lines.where(~header).select(F.when(header, F.lit(None)).when(F.size(f) < 11, F.raise_error(F.lit("SAM record has fewer than 11 fields"))).otherwise(f).alias("f"))
     at = lambda i: F.get("f", F.lit(i))
     pos, mate = _number(at(3), "POS", -(2**31), 2**31 - 1), _number(at(7), "PNEXT", -(2**31), 2**31 - 1)
     flag = _number(at(1), "FLAG", 0, 65535)

@@ -13,10 +13,13 @@ class ReadsError(ValueError):
 
 
 #: Positions are 0-based; mate_pos is -1 where there is none; tags are TAB-joined.
-READS = T.StructType.fromDDL(
-    "qname string, flag int, ref string, pos int, mapq int, cigar string, mate_reference string, mate_pos int, template_length int, sequence string, quality string, tags string"
+READS = T.StructType(
+    [
+        T.StructField(name, T.IntegerType() if name in ("flag", "pos", "mapq", "mate_pos", "template_length") else T.StringType())
+        for name in ("qname", "flag", "ref", "pos", "mapq", "cigar", "mate_reference", "mate_pos", "template_length", "sequence", "quality", "tags")
+    ]
 )
-CONTIGS = T.StructType.fromDDL("ref_id int, name string, length long")
+CONTIGS = T.StructType([T.StructField("ref_id", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("length", T.LongType())])
 
 #: FLAG bits.
 UNMAPPED, REVERSE, SECONDARY, DUPLICATE = 4, 16, 256, 1024
