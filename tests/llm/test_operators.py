@@ -207,14 +207,22 @@ def test_katz_is_normalised(spark):
         text = next(t for i, t in rows if i == r.id)
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in split(text))
         assert r.n_tokens == len(split(text)) and r.n_known == sum(counts[w] > 0 for w in split(text)) and r.train_tokens == n and abs(r.base_score - base) < 1e-6
-    # every context's probabilities sum to one: score "h w" for all words w, a word never seen, and the end
-    vocabulary = [w.decode() for w in counts if w]
-    for h in (vocabulary[0], vocabulary[-1], "w1"):
-        probes = [(1000 + i, f"{h} {w}") for i, w in enumerate([*vocabulary, "never"])] + [(1, h)]
-        learnt = df.where("doc_id IS NULL OR doc_id < 1000")
-        probe = spark.createDataFrame(probes, "doc_id long, text string")
-        scores = {r.id: r for r in katz.score_documents(learnt.withColumn("t", katz.in_training("doc_id")).unionByName(probe.withColumn("t", F.lit(False)).withColumn("doc_id", -F.col("doc_id"))), F.col("t"), hot=12, bucket_tokens=100).collect()}
-        assert all(math.isfinite(s.score) for s in scores.values())
+    # every context's probabilities over the classes sum to one, and so do those of the rare words
+    learn = df.where(katz.in_training("doc_id"))
+    table = katz.count_words(learn, "text")
+    model = katz.choose_classes(table, 12)
+    bigrams = katz.count_bigrams(learn, "text", spark.sparkContext.broadcast(model), 16)
+    model = katz.weigh(bigrams, model)
+    parts = [(np.cumsum(katz.unpacked(r.steps, np.uint32), dtype=np.uint32), katz.unpacked(r.counts, np.int64)) for r in bigrams.collect()]
+    keys, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+    assert times.sum() == n and len(set(keys.tolist())) == len(keys)
+    for h in range(len(model.counts)):
+        mine = keys >> np.uint32(katz.SHIFT) == h
+        nexts = (keys[mine] & np.uint32((1 << katz.SHIFT) - 1)).astype(int)
+        seen = (model.seen(keys[mine], times[mine]) * model.factor[h]).sum()
+        assert abs(seen + model.backoff[h] * np.delete(model.p, nexts).sum() - 1) < 1e-9
+    rare = np.array([c for w, c in counts.items() if w and w.encode() not in model.classes])
+    assert len(rare) == model.rare_v and abs((10 ** model.among_rare(np.append(rare, 0))).sum() - 1) < 1e-9
 
 
 def test_discounts_and_lower_order():
