@@ -221,7 +221,7 @@ def test_katz_is_normalised(spark):
         nexts = (keys[mine] & np.uint32((1 << katz.SHIFT) - 1)).astype(int)
         seen = (model.seen(keys[mine], times[mine]) * model.factor[h]).sum()
         assert abs(seen + model.backoff[h] * np.delete(model.p, nexts).sum() - 1) < 1e-9
-    rare = np.array([c for w, c in counts.items() if w and w.encode() not in model.classes])
+    rare = np.array([c for w, c in counts.items() if w and w not in model.classes])
     assert len(rare) == model.rare_v and abs((10 ** model.among_rare(np.append(rare, 0))).sum() - 1) < 1e-9
 
 
