@@ -15,10 +15,13 @@ def _number(field: Column, label: str, low: int, high: int) -> Column:
     return F.when(field.isNull() | F.coalesce(sane, F.lit(False)), value).otherwise(F.raise_error(F.lit(f"invalid SAM {label}"))).cast("int")
 
 
-def parse_sam(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """Reads from SAM lines, header lines left out. Mapped records must have a position."""
-    f = F.split(F.regexp_replace(line_col, r"[\r\n]+$", ""), "\t", -1)
-    header = F.col(line_col).startswith("@") | (F.col(line_col) == "")
+def parse_sam(lines: DataFrame, line_col: str = "value", headers: bool = True) -> DataFrame:
+    """Reads from SAM lines, header lines left out. Mapped records must have a position.
+
+    ``headers=False`` is for lines known to be records: a filter would be pushed below the expression that makes them, which would then run twice.
+    """
+    f = F.split(F.rtrim(line_col, F.lit("\r\n")), "\t", -1)
+    header = F.col(line_col).startswith("@") | (F.col(line_col) == "") if headers else F.lit(False)
     # later filters may be pushed below this one, so a header line must be harmless in every expression
     body = lines.where(~header).select(F.when(header, F.lit(None)).when(F.size(f) < 11, F.raise_error(F.lit("SAM record has fewer than 11 fields"))).otherwise(f).alias("f"))
     at = lambda i: F.get("f", F.lit(i))

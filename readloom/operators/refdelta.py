@@ -18,16 +18,19 @@ FACTS = "mismatches array<struct<at:int,base:string>>, soft_clips string, insert
 
 
 def tiles(contigs: DataFrame, tile: int = TILE, reach: int = REACH) -> DataFrame:
-    """(ref, tile, window) of contigs (name, seq), upper-cased: rows of bounded size whatever the genome."""
+    """(ref, tile, window) of contigs (name, seq), upper-cased: rows of bounded size whatever the genome.
+
+    Windows are bytes, of which a slice costs its own length; a slice of text walks the text.
+    """
     n = F.greatest(F.lit(0), F.ceil(F.length("seq") / tile).cast("int") - 1)
-    return contigs.select(F.col("name").alias("ref"), "seq", F.explode(F.sequence(F.lit(0), n)).alias("tile")).select("ref", F.col("tile").cast("long").alias("tile"), F.upper(F.substr("seq", F.col("tile") * tile + 1, F.lit(tile + reach))).alias("window"))
+    return contigs.select(F.col("name").alias("ref"), "seq", F.explode(F.sequence(F.lit(0), n)).alias("tile")).select("ref", F.col("tile").cast("long").alias("tile"), F.substr(F.upper("seq").cast("binary"), F.col("tile") * tile + 1, F.lit(tile + reach)).alias("window"))
 
 
 def with_reference(reads: DataFrame, windows: DataFrame) -> DataFrame:
     """Reads with ``ref_bases``, what the reference has under them; N where it ends or is unknown."""
     at = reads.withColumn("tile", F.floor(F.col("pos") / TILE))
     span = F.when(F.col("end_pos") - F.col("pos") > REACH, F.raise_error(F.lit("a read spans more than the reference window"))).otherwise(F.col("end_pos") - F.col("pos"))
-    bases = F.substr(F.coalesce("window", F.lit("")), (F.col("pos") - F.col("tile") * TILE + 1).cast("int"), span.cast("int"))
+    bases = F.substr(F.coalesce("window", F.lit(b"")), (F.col("pos") - F.col("tile") * TILE + 1).cast("int"), span.cast("int")).cast("string")
     return at.join(windows, ["ref", "tile"], "left").withColumn("ref_bases", bases).drop("tile", "window")
 
 

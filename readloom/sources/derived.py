@@ -47,6 +47,9 @@ r AS (SELECT * EXCLUDE (end_raw), coalesce(end_raw, pos + 1)::BIGINT AS end_pos
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads with ``end_pos``; columns that a query doesn't use are never computed."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if items._jdf.queryExecution().toRdd().getNumPartitions() < cores:  # a small file of one row group would keep one core busy
+        items = items.repartition(cores)
     named = "'r' || cast(l_orderkey AS string) || '.' || cast(l_linenumber AS string) || '.' || cast(l_partkey AS string) || '.' || cast(l_suppkey AS string)"
     columns = _COLUMNS.format(tab="char(9)").replace("varchar(20)", "string")
     made = items.withColumn("qname", F.expr(named))
