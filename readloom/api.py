@@ -10,14 +10,13 @@ from readloom.functions.region import in_region, parse_region, record_filter
 from readloom.operators import chunking, depth
 from readloom.operators.stats import stats, stats_tsv  # noqa: F401
 from readloom.schema import project
-from readloom.sources.files import convert, export_sam, open_dataset, read_bam, read_sam, sniff  # noqa: F401
+from readloom.sources.files import convert, export_bam, export_sam, file_head, open_dataset, read_bam, read_sam, sniff  # noqa: F401
 
 
 def open_reads(spark: SparkSession, path: str) -> DataFrame:
     """Reads of a SAM or BAM file or a dataset, with ``end_pos``."""
     if path.endswith((".sam", ".bam", ".cram")):
-        head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4)).head()[0])
-        reads = read_bam(spark, path) if sniff(head) == "BAM" else read_sam(spark, path)
+        reads = read_bam(spark, path) if sniff(file_head(spark, path)) == "BAM" else read_sam(spark, path)
         return reads.withColumn("end_pos", F.col("pos") + cigar.reference_span(F.col("cigar")))
     return open_dataset(spark, path)
 

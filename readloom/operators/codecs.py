@@ -83,7 +83,7 @@ def token_bytes(cigar_text: Column) -> Column:
     """Bytes of one CIGAR as counted tokens; null where it has none or a length with a leading zero."""
     parts = cigar.tokens(cigar_text)
     size = varint_size(F.size(parts)) + F.aggregate(parts, F.lit(0).cast("long"), lambda a, t: a + varint_size(t["len"]) + 1)
-    return F.when(cigar_text.rlike("^([1-9][0-9]*[MIDNSHP=X])+$"), size)
+    return F.when(cigar_text.rlike("^([1-9][0-9]*[MIDNSHP=X])++$"), size)
 
 
 def all_or_null(value: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from readloom.functions import cigar
 from readloom.schema import ReadsError
@@ -23,7 +27,8 @@ def tiles(contigs: DataFrame, tile: int = TILE, reach: int = REACH) -> DataFrame
     Windows are bytes, of which a slice costs its own length; a slice of text walks the text.
     """
     n = F.greatest(F.lit(0), F.ceil(F.length("seq") / tile).cast("int") - 1)
-    return contigs.select(F.col("name").alias("ref"), "seq", F.explode(F.sequence(F.lit(0), n)).alias("tile")).select("ref", F.col("tile").cast("long").alias("tile"), F.substr(F.upper("seq").cast("binary"), F.col("tile") * tile + 1, F.lit(tile + reach)).alias("window"))
+    upper = contigs.select(F.col("name").alias("ref"), F.upper("seq").cast("binary").alias("bases"), n.alias("n"))
+    return upper.select("ref", "bases", F.explode(F.sequence(F.lit(0), "n")).alias("tile")).select("ref", F.col("tile").cast("long").alias("tile"), F.substr("bases", F.col("tile") * tile + 1, F.lit(tile + reach)).alias("window"))
 
 
 def with_reference(reads: DataFrame, windows: DataFrame) -> DataFrame:
@@ -34,28 +39,29 @@ def with_reference(reads: DataFrame, windows: DataFrame) -> DataFrame:
     return at.join(windows, ["ref", "tile"], "left").withColumn("ref_bases", bases).drop("tile", "window")
 
 
-def walk(parts: list[tuple[int, str]], sequence: str, ref_bases: str) -> tuple[list[tuple[int, str]], str, list[str]]:
-    """Mismatches (query offset, base), soft-clipped bases, insertions."""
-    mismatches, clips, insertions, q, r = [], [], [], 0, 0
+def walk(parts: Sequence[tuple[int, str]], sequence: str, ref_bases: str) -> tuple[np.ndarray, str, list[str]]:
+    """Query offsets of mismatches, soft-clipped bases, insertions."""
+    mismatches, clips, insertions, q, r = [np.zeros(0, np.int32)], [], [], 0, 0
     query, under = np.frombuffer(sequence.encode(), np.uint8), np.frombuffer(ref_bases.encode(), np.uint8)
     for n, op in parts:
         if op in cigar.COVER + "IS" and q + n > len(sequence):
             raise ReadsError("the CIGAR is longer than the sequence")
         if op in cigar.COVER:
-            have = np.full(n, ord("N"), np.uint8)
-            have[: max(0, len(under[r : r + n]))] = under[r : r + n]
-            mismatches += [(q + int(i), sequence[q + int(i)]) for i in np.flatnonzero(query[q : q + n] != have)]
+            have = under[r : r + n]
+            if len(have) < n:
+                have = np.append(have, np.full(n - len(have), ord("N"), np.uint8))
+            mismatches.append((np.flatnonzero(query[q : q + n] != have) + q).astype(np.int32))
         elif op == "I":
             insertions.append(sequence[q : q + n])
         elif op == "S":
             clips.append(sequence[q : q + n])
         r += n * (op in cigar.CONSUME)
         q += n * (op in cigar.COVER + "IS")
-    return mismatches, "".join(clips), insertions
+    return np.concatenate(mismatches), "".join(clips), insertions
 
 
-def rebuild(parts: list[tuple[int, str]], ref_bases: str, mismatches: list[tuple[int, str]], clips: str, insertions: list[str]) -> str:
-    """The sequence that ``walk`` has taken apart."""
+def rebuild(parts: Sequence[tuple[int, str]], ref_bases: str, at: np.ndarray, bases: np.ndarray, clips: str, insertions: list[str]) -> str:
+    """The sequence that ``walk`` has taken apart, from the mismatches' offsets and bases."""
     out, r, c, i = [], 0, 0, 0
     for n, op in parts:
         if op in cigar.COVER:
@@ -67,44 +73,62 @@ def rebuild(parts: list[tuple[int, str]], ref_bases: str, mismatches: list[tuple
             out.append(clips[c : c + n])
             c += n
         r += n * (op in cigar.CONSUME)
-    bases = list("".join(out))
-    for at, base in mismatches:
-        bases[at] = base
-    return "".join(bases)
+    made = np.frombuffer("".join(out).encode(), np.uint8).copy()
+    made[at] = bases
+    return made.tobytes().decode()
 
 
-def _mapped(reads: DataFrame, made, ddl: str) -> DataFrame:
-    """Adds columns by a function of (tokens, row) over Arrow batches."""
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
+@lru_cache(maxsize=1 << 16)
+def _parts(text: str) -> tuple[tuple[int, str], ...]:
+    return tuple((int(n), op) for n, op in re.findall(cigar.PART, text))
 
+
+def _mapped(frame: DataFrame, made, drop: tuple[str, ...], ddl: str) -> DataFrame:
+    """Adds columns that ``made`` gives for an Arrow batch, and leaves some out."""
     added = T.StructType.fromDDL(ddl)
-    schema = T.StructType([*(f for f in reads.schema.fields if f.name != "_parts"), *added.fields])
-    names, arrow = schema.fieldNames()[: -len(added.fields)], to_arrow_schema(added)
+    schema = T.StructType([*(f for f in frame.schema.fields if f.name not in drop), *added.fields])
+    names, new = [n for n in frame.columns if n not in drop], added.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [made([(p["len"], p["op"]) for p in row.pop("_parts")], row) for row in batch.to_pylist()]
-            columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True))], names=[*names, *arrow.names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made(batch)], names=[*names, *new])
 
-    return reads.mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema)
 
 
 def encode(reads: DataFrame, windows: DataFrame) -> DataFrame:
     """Reads without their sequence but with ``FACTS``, for reads with a concrete CIGAR and a sequence of ACGT."""
     able = reads.where(F.col("sequence").rlike("^[ACGT]+$") & ~cigar.absent(F.col("cigar")))
-    ready = with_reference(able, windows).withColumn("_parts", cigar.tokens(F.col("cigar")))
-
-    def made(parts: list, row: dict) -> tuple:
-        mismatches, clips, insertions = walk(parts, row["sequence"], row["ref_bases"])
-        return [{"at": i, "base": b} for i, b in mismatches], clips, insertions
-
-    return _mapped(ready, made, FACTS).drop("sequence", "ref_bases")
+    arrow = to_arrow_schema(T.StructType.fromDDL(FACTS))
+
+    def made(batch: pa.RecordBatch) -> list[pa.Array]:
+        at, bases, ends, clips, insertions = [], [], [0], [], []
+        for text, sequence, under in zip(*(batch.column(n).to_pylist() for n in ("cigar", "sequence", "ref_bases")), strict=True):
+            offsets, soft, extra = walk(_parts(text), sequence, under)
+            at.append(offsets)
+            bases.append(np.frombuffer(sequence.encode(), np.uint8)[offsets])
+            ends.append(ends[-1] + len(offsets))
+            clips.append(soft)
+            insertions.append(extra)
+        n, flat = ends[-1], np.concatenate([np.zeros(0, np.uint8), *bases])
+        base = pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(n + 1, dtype=np.int32)), pa.py_buffer(flat))
+        item = arrow.field("mismatches").type.value_type
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int32), *at]), pa.int32()), base], fields=list(item))
+        offsets = pa.array(ends, pa.int32())
+        return [pa.ListArray.from_arrays(offsets, pairs, type=arrow.field("mismatches").type), pa.array(clips, pa.string()), pa.array(insertions, arrow.field("insertions").type)]
+
+    return _mapped(with_reference(able, windows), made, ("sequence", "ref_bases"), FACTS)
 
 
 def decode(delta: DataFrame, windows: DataFrame) -> DataFrame:
     """Reads with their sequence again."""
-    ready = with_reference(delta, windows).withColumn("_parts", cigar.tokens(F.col("cigar")))
-    made = lambda parts, row: (rebuild(parts, row["ref_bases"], [(m["at"], m["base"]) for m in row["mismatches"]], row["soft_clips"], row["insertions"]),)
-    return _mapped(ready, made, "sequence string").drop("ref_bases", "mismatches", "soft_clips", "insertions")
+
+    def made(batch: pa.RecordBatch) -> list[pa.Array]:
+        lists = batch.column("mismatches")
+        ends = lists.offsets.to_numpy()
+        pairs = lists.values  # offsets count from its start, also where the batch is a slice
+        at, base = pairs.field("at").to_numpy(), np.frombuffer("".join(pairs.field("base").to_pylist()).encode(), np.uint8)
+        rows = zip(*(batch.column(n).to_pylist() for n in ("cigar", "ref_bases", "soft_clips", "insertions")), strict=True)
+        return [pa.array([rebuild(_parts(text), under, at[a:b], base[a:b], clips, extra) for (text, under, clips, extra), a, b in zip(rows, ends, ends[1:], strict=False)], pa.string())]
+
+    return _mapped(with_reference(delta, windows), made, ("ref_bases", "mismatches", "soft_clips", "insertions"), "sequence string")

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import gzip
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from readloom.functions import cigar, records
 from readloom.functions.region import Region, in_region, flag_excludes
@@ -55,59 +62,168 @@ def _tags(data: bytes, at: int, end: int) -> str:
     return "\t".join(out)
 
 
-def decode_bam(data: bytes) -> tuple[list[tuple[str, int]], Iterator[tuple]]:
-    """Contigs, and rows of ``READS``, of a whole BAM file's bytes (BGZF blocks are gzip members)."""
-    plain = gzip.decompress(data)
-    if plain[:4] != b"BAM\x01":
+def decode_bam(file: BinaryIO) -> tuple[list[tuple[str, int]], Iterator[tuple]]:
+    """Contigs, and rows of ``READS``, of a BAM file that is read as a stream (BGZF blocks are gzip members)."""
+    plain = gzip.GzipFile(fileobj=file)
+
+    def take(n: int) -> bytes:
+        data = plain.read(n)
+        if len(data) < n:
+            raise ReadsError("truncated BAM file")
+        return data
+
+    number = lambda: struct.unpack("<i", take(4))[0]
+    if plain.read(4) != b"BAM\x01":
         raise ReadsError("invalid BAM magic")
-    at = 8 + struct.unpack_from("<i", plain, 4)[0]
-    n, at = struct.unpack_from("<i", plain, at)[0], at + 4
-    contigs = []
-    for _ in range(n):
-        size = struct.unpack_from("<i", plain, at)[0]
-        contigs.append((plain[at + 4 : at + 3 + size].decode(), struct.unpack_from("<i", plain, at + 4 + size)[0]))
-        at += 8 + size
-
-    def rows(at: int) -> Iterator[tuple]:
-        name = lambda i: contigs[i][0] if i >= 0 else "*"
-        while at < len(plain):
-            size = struct.unpack_from("<i", plain, at)[0]
-            if at + 4 + size > len(plain):
+    take(number())
+    contigs = [(take(number())[:-1].decode(), number()) for _ in range(number())]
+    name = lambda i: contigs[i][0] if i >= 0 else "*"
+
+    def rows() -> Iterator[tuple]:
+        while head := plain.read(4):
+            if len(head) < 4:
                 raise ReadsError("truncated BAM record")
-            ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate, mate_pos, length = struct.unpack_from("<iiBBHHHiiii", plain, at + 4)
-            p = at + 36
-            qname, p = plain[p : p + l_name - 1].decode(), p + l_name
-            ops, p = struct.unpack_from(f"<{n_ops}I", plain, p), p + 4 * n_ops
-            packed, p = plain[p : p + (l_seq + 1) // 2], p + (l_seq + 1) // 2
+            data = take(struct.unpack("<i", head)[0])
+            ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate, mate_pos, length = struct.unpack_from("<iiBBHHHiiii", data)
+            p = 32
+            qname, p = data[p : p + l_name - 1].decode(), p + l_name
+            ops, p = struct.unpack_from(f"<{n_ops}I", data, p), p + 4 * n_ops
+            packed, p = data[p : p + (l_seq + 1) // 2], p + (l_seq + 1) // 2
             seq = "".join(BAM_BASES[b >> 4] + BAM_BASES[b & 15] for b in packed)[:l_seq] or "*"
-            qual, p = plain[p : p + l_seq], p + l_seq
+            qual, p = data[p : p + l_seq], p + l_seq
             text = "*" if not qual or qual[0] == 0xFF else bytes(q + 33 for q in qual).decode("latin-1")
+            tags = _tags(data, p, len(data))
+            if n_ops == 2 and ops[0] == l_seq << 4 | 4 and "CG:B:I," in tags:  # more operations than the record can count
+                items = tags.split("\t")
+                whole = next(t for t in items if t.startswith("CG:B:I,"))
+                ops, tags = [int(x) for x in whole[7:].split(",")], "\t".join(t for t in items if t is not whole)
             mate_name = "*" if mate < 0 else "=" if mate == ref else name(mate)
-            yield qname, flag, name(ref), pos, mapq, "".join(f"{o >> 4}{BAM_OPS[o & 15]}" for o in ops) or "*", mate_name, mate_pos, length, seq, text, _tags(plain, p, at + 4 + size)
-            at += 4 + size
+            yield qname, flag, name(ref), pos, mapq, "".join(f"{o >> 4}{BAM_OPS[o & 15]}" for o in ops) or "*", mate_name, mate_pos, length, seq, text, tags
 
-    return contigs, rows(at)
+    return contigs, rows()
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of BAM files, a file to a task: for ingest; queries run on the dataset that ``convert`` writes."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
+
 
+def file_head(spark: SparkSession, path: str, size: int = 4) -> bytes:
+    """The first bytes of the first file under a path."""
+    found = spark.read.format("binaryFile").load(path).select("path").head()
+    if found is None:
+        raise ReadsError(f"no file at {path}")
+    store, name = _store(found[0])
+    with store.open_input_stream(name, compression=None) as file:
+        return file.read(size)
+
+
+def read_bam(spark: SparkSession, path: str) -> DataFrame:
+    """Reads of BAM files, a file to a task, as streams of bounded memory: for ingest; queries run on the dataset that ``convert`` writes."""
     schema = to_arrow_schema(READS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                held: list[tuple] = []
-                for row in decode_bam(data)[1]:
-                    held.append(row)
-                    if len(held) == 20_000:
+            for uri in batch.column("path").to_pylist():
+                store, name = _store(uri)
+                with store.open_input_stream(name, compression=None, buffer_size=1 << 20) as file:
+                    rows = decode_bam(file)[1]
+                    while held := list(islice(rows, 10_000)):
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READS)
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, READS)
+
+
+def _packed_tags(text: str) -> bytes:
+    out = []
+    for item in text.split("\t") if text else ():
+        key, kind, value = item[:2].encode(), item[3], item[5:]
+        if kind == "i":
+            out.append(key + (b"i" + struct.pack("<i", int(value)) if int(value) < 2**31 else b"I" + struct.pack("<I", int(value))))
+        elif kind == "f":
+            out.append(key + b"f" + struct.pack("<f", float(value)))
+        elif kind == "A":
+            out.append(key + b"A" + value.encode())
+        elif kind in "ZH":
+            out.append(key + kind.encode() + value.encode() + b"\0")
+        elif kind == "B":
+            sub, *values = value.split(",")
+            out.append(key + b"B" + sub.encode() + struct.pack(f"<i{len(values)}{TAG_WIDTHS[sub][1]}", len(values), *(map(float if sub == "f" else int, values))))
+        else:
+            raise ReadsError(f"unknown SAM tag type {kind}")
+    return b"".join(out)
+
+
+def encode_bam(row: dict, ids: dict[str, int]) -> bytes:
+    """The BAM record of a row of ``READS`` with ``end_pos`` and ``bin``."""
+    if row["ref"] not in ids:
+        raise ReadsError(f"contig is not in the header: {row['ref']}")
+    ref, mate = ids[row["ref"]], row["mate_reference"]
+    mate_id = ref if mate == "=" else ids.get(mate, -1)
+    name = row["qname"].encode() + b"\0"
+    if len(name) > 255:
+        raise ReadsError("read name is too long for BAM")
+    text, tags = "" if row["cigar"] == "*" else row["cigar"], _packed_tags(row["tags"])
+    ops = [int(n) << 4 | BAM_OPS.index(op) for n, op in re.findall(cigar.PART, text)]
+    seq = "" if row["sequence"] == "*" else row["sequence"].upper()
+    if len(ops) > 0xFFFF:  # counts are 16 bits wide: a stand-in of two operations, all of them in a tag
+        tags += b"CGBI" + struct.pack(f"<i{len(ops)}I", len(ops), *ops)
+        ops = [len(seq) << 4 | 4, row["end_pos"] - row["pos"] << 4 | 3]
+    half = [max(0, BAM_BASES.find(c)) if c in BAM_BASES else 15 for c in seq] + [0] * (len(seq) % 2)
+    packed = bytes(a << 4 | b for a, b in zip(half[::2], half[1::2], strict=True))
+    qual = b"\xff" * len(seq) if row["quality"] == "*" else bytes(ord(c) - 33 for c in row["quality"])
+    if len(qual) != len(seq):
+        raise ReadsError("sequence and quality differ in length")
+    head = struct.pack("<iiBBHHHiiii", ref, row["pos"], len(name), row["mapq"], row["bin"] & 0xFFFF, len(ops), row["flag"], len(seq), mate_id, row["mate_pos"], row["template_length"])
+    body = head + name + struct.pack(f"<{len(ops)}I", *ops) + packed + qual + tags
+    return struct.pack("<i", len(body)) + body
+
+
+def bgzf_block(plain: bytes) -> bytes:
+    """A gzip member that states its own size; that of no bytes marks the end of a file."""
+    tool = zlib.compressobj(6, zlib.DEFLATED, -15)
+    data = tool.compress(plain) + tool.flush()
+    head = struct.pack("<4BIBBH2sHH", 31, 139, 8, 4, 0, 0, 255, 6, b"BC", 2, len(data) + 25)
+    return head + data + struct.pack("<II", zlib.crc32(plain), len(plain))
+
+
+def export_bam(reads: DataFrame, contigs: DataFrame, path: str) -> int:
+    """BAM files in coordinate order under ``path``, each whole, one for a range of positions; returns the number of records.
+
+    ``reads`` has ``end_pos``; ``contigs`` is the header's list. Reads without a contig come last. A file gets its name once
+    it is complete, so a repeated task leaves no damaged one.
+    """
+    listed = contigs.orderBy("ref_id").collect()  # the header: a row for each contig
+    ids = {r.name: i for i, r in enumerate(listed)} | {"*": -1}
+    text = ("@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{r.name}\tLN:{r.length}\n" for r in listed)).encode()
+    header = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(listed))
+    header += b"".join(struct.pack("<i", len(r.name.encode()) + 1) + r.name.encode() + struct.pack("<xi", r.length) for r in listed)
+    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    names = contigs.select(F.col("name").alias("ref"), F.col("ref_id").alias("_rl_ref"))
+    order = [F.col("_rl_ref").asc_nulls_last(), F.col("pos"), F.col("qname"), F.col("flag")]
+    ready = reads.join(names, "ref", "left").withColumn("bin", records.bin_of(F.col("pos"), F.greatest("end_pos", F.col("pos") + 1)))
+    ordered = ready.repartitionByRange(*order).sortWithinPartitions(*order).select(*READS.fieldNames(), "end_pos", "bin")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(uri)
+        store.create_dir(folder, recursive=True)
+        part = f"part-{TaskContext.get().partitionId():05d}"
+        n, held, size = 0, f"{folder}/_{part}-{uuid.uuid4().hex}", 0xFF00
+        with store.open_output_stream(held, compression=None) as out:
+            waiting = bytearray(header)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    waiting += encode_bam(row, ids)
+                    n += 1
+                    while len(waiting) >= size:
+                        out.write(bgzf_block(bytes(waiting[:size])))
+                        del waiting[:size]
+            if waiting:
+                out.write(bgzf_block(bytes(waiting)))
+            out.write(bgzf_block(b""))
+        store.move(held, f"{folder}/{part}.bam")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return ordered.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@ import struct
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -112,7 +113,8 @@ def test_chunk_rules(spark):
 @given(st.text("ACGT", min_size=40, max_size=40), st.text("ACGTN", max_size=60))
 def test_reference_delta_round_trip(seq, ref):
     parts = [(5, "S"), (10, "M"), (3, "I"), (4, "D"), (12, "="), (2, "N"), (10, "X")]
-    assert refdelta.rebuild(parts, ref, *refdelta.walk(parts, seq, ref)) == seq
+    at, clips, insertions = refdelta.walk(parts, seq, ref)
+    assert refdelta.rebuild(parts, ref, at, np.frombuffer(seq.encode(), np.uint8)[at], clips, insertions) == seq
 
 
 def test_bam(spark, tmp_path):
@@ -124,6 +126,25 @@ def test_bam(spark, tmp_path):
     assert (row.qname, row.ref, row.pos, row.cigar, row.sequence, row.quality, row.tags, row.end_pos) == ("r1", "chr1", 100, "4M", "ACGT", "????", "NM:i:2\tRG:Z:g1", 104)
 
 
+def test_bam_export_round_trip(spark, tmp_path):
+    many = "1M1I" * 40_000  # more operations than a BAM record counts
+    rows = [
+        "a\t0\tc2\t5\t60\t4M\t=\t9\t-3\tACGTN\t!~FF#\tNM:i:-2\tXI:i:4000000000\tXF:f:0.5\tXA:A:q\tXB:B:s,1,-2\tRG:Z:g 1".replace("4M", "5M"),
+        f"b\t16\tc1\t20001\t0\t{many}\tc2\t1\t0\t{'AC' * 40_000}\t*",
+        "c\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*",
+        "d\t0\tc1\t7\t1\t3M\t*\t0\t0\tACG\tFFF",
+    ]
+    (tmp_path / "x.sam").write_text("@SQ\tSN:c1\tLN:30000\n@SQ\tSN:c2\tLN:900\n" + "\n".join(rows) + "\n")
+    reads, contigs = api.open_reads(spark, str(tmp_path / "x.sam")), files.sam_contigs(spark, str(tmp_path / "x.sam"))
+    assert files.export_bam(reads, contigs, str(tmp_path / "out")) == 4
+    written = sorted((tmp_path / "out").glob("*.bam"))
+    assert written[0].read_bytes().endswith(bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000"))
+    names = [r[0] for p in written for r in files.decode_bam(p.open("rb"))[1]]
+    assert names == ["d", "b", "a", "c"]
+    back = files.read_bam(spark, str(tmp_path / "out" / "*.bam"))
+    assert sorted(r[0] for r in back.select(records.sam_line()).collect()) == sorted(rows)
+
+
 def test_indexes(spark):
     bai = b"BAI\x01" + struct.pack("<i", 1) + struct.pack("<i", 2) + struct.pack("<IiQQ", 4681, 1, 5, 9) + struct.pack("<IiQQ", 37450, 1, 1, 2) + struct.pack("<iQ", 1, 7)
     rows = [tuple(r) for r in files.project_index(spark, files.parse_index(bai)).collect()]
