@@ -45,7 +45,10 @@ def reference_span(cigar: Column) -> Column:
 
 
 def blocks(pos: Column, cigar: Column) -> Column:
-    """array<struct<start,end>> of the stretches that cover reference bases. One pass carries the position along."""
+    """array<struct<start,end>> of the stretches that cover reference bases. One pass carries the position along.
+
+    The array is copied as it grows: for reads of thousands of operations use ``operators.depth.covered``.
+    """
     step = lambda acc, t: F.struct(
         (acc["at"] + F.when(F.lit(CONSUME).contains(t["op"]), t["len"]).otherwise(F.lit(0).cast("long"))).alias("at"),
         F.when(F.lit(COVER).contains(t["op"]), F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + t["len"]).alias("end"))))).otherwise(acc["found"]).alias("found"),

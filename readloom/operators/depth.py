@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,14 +29,51 @@ def counted(reads: DataFrame, region: Region | None, flag_exclude: int = 0, min_
     return out if keep is None else out.where(keep)
 
 
+def _stretches(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches that a CIGAR covers, from the read's position on; adjoining ones are joined."""
+    found = re.findall(cigar.PART, text)
+    lengths = np.array([int(n) for n, _ in found], np.int64)
+    ends = np.cumsum(lengths * np.array([op in cigar.CONSUME for _, op in found], np.int64))
+    cover = np.array([op in cigar.COVER for _, op in found], bool)
+    end, start = ends[cover], (ends - lengths)[cover]
+    joins = start[1:] == end[:-1]
+    return start[np.append(True, ~joins)[: len(start)]], end[np.append(~joins, True)[: len(end)]]
+
+
+@lru_cache(maxsize=1 << 14)
+def _short(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """``_stretches`` of short texts, which recur."""
+    return _stretches(text)
+
+
+def covered(reads: DataFrame) -> DataFrame:
+    """(ref, s, e) for each covered stretch of reads (ref, pos, cigar), in time linear in the CIGAR: the reads of long
+    sequencers have thousands of operations, over which an array that grows in a column expression is quadratic."""
+    schema = pa.schema([("ref", pa.string()), ("s", pa.int64()), ("e", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            none = np.zeros(0, np.int64)
+            found = [(_short if len(c) <= 64 else _stretches)(c) for c in batch.column("cigar").to_pylist()]
+            counts = np.array([len(a) for a, _ in found], np.int64)
+            rows = np.repeat(np.arange(len(found)), counts)
+            at = batch.column("pos").to_numpy(zero_copy_only=False)[rows]
+            s, e = (np.concatenate([none, *(x[k] for x in found)]) + at for k in (0, 1))
+            refs = batch.column("ref").take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([refs, pa.array(s), pa.array(e)], schema=schema)
+
+    known = reads.where("pos IS NOT NULL AND cigar IS NOT NULL")
+    return known.select("ref", F.col("pos").cast("long").alias("pos"), "cigar").mapInArrow(run, "ref string, s long, e long")
+
+
 def depth_runs(reads: DataFrame, region: Region | None = None, flag_exclude: int = 0, min_mapq: int = 0) -> DataFrame:
     """(ref, start, end, depth) for stretches of equal depth above 0, cut at tile borders.
 
     A covered block gives an opening and a closing event in each tile it meets. Events are summed by position before
     they are shuffled, and a running sum within the tile is the depth: work follows reads, not bases.
     """
-    found = counted(reads, region, flag_exclude, min_mapq).select("ref", F.explode(cigar.blocks(F.col("pos"), F.col("cigar"))).alias("b"))
-    low, high = F.col("b.start"), F.col("b.end")
+    found = covered(counted(reads, region, flag_exclude, min_mapq))
+    low, high = F.col("s"), F.col("e")
     if region:
         low, high = F.greatest(low, F.lit(region.start).cast("long")), F.least(high, F.lit(region.end).cast("long"))
     clipped = found.select("ref", low.alias("s"), high.alias("e")).where("s < e")

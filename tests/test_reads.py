@@ -81,6 +81,14 @@ def test_cigar_model(spark, rows):
         assert (r.span, [(x.start, x.end) for x in r.b]) == model(r.pos, r.cigar)
 
 
+def test_depth_of_long_cigars(spark):
+    rows = [("c", 10 * i, "7M1I3M1D" * 5000, 0, 60) for i in range(20)] + [("c", 5, "*", 0, 60), ("c", 5, "3S", 0, 60), ("c", None, "3M", 0, 60)]
+    reads = spark.createDataFrame(rows, "ref string, pos int, cigar string, flag int, mapq int").withColumn("end_pos", F.col("pos") + 55_000)
+    got = {r.pos: r.depth for r in api.pileup(reads, "c:1-400").collect()}
+    want = {p: n for p in range(400) if (n := sum(p >= q and (p - q) % 11 < 10 for _, q, c, *_ in rows[:20]))}
+    assert got == want
+
+
 def test_bad_cigar(spark):
     for text, error in (("0M", "invalid CIGAR string"), ("5", "invalid CIGAR string"), ("5Q", "invalid CIGAR operation")):
         with pytest.raises(Exception, match=error):
