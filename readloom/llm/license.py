@@ -9,9 +9,10 @@ alone, verifies the edits and gives the span.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,19 @@ def places(data: bytes, needle: bytes) -> Iterator[int]:
         at = data.find(needle, at + 1)
 
 
+def word_counter(data: bytes) -> Callable[[int], int]:
+    """How many spaces stand before a place. They are looked up once a text that has matches, so many matches in a long text cost no pass each."""
+    spaces = None
+
+    def count(end: int) -> int:
+        nonlocal spaces
+        if spaces is None:
+            spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        return int(np.searchsorted(spaces, end))
+
+    return count
+
+
 def best_of(found: list[tuple]) -> list[tuple]:
     """Of matches that share words the one with the highest likeness, in order of place."""
     kept: list[tuple] = []
@@ -92,7 +106,7 @@ class Scanner:
                 joined.append((a, b))
         return joined
 
-    def fuzzy(self, data: bytes) -> list[tuple[str, int, int, int, float]]:
+    def fuzzy(self, data: bytes, word: Callable[[int], int]) -> list[tuple[str, int, int, int, float]]:
         """(label, first word, last word, edits, likeness) of every verified notice, in order of place."""
         found = []
         for notice, seeds, pattern in self.notices:
@@ -102,14 +116,16 @@ class Scanner:
                 while b < len(data) and data[b] & 0xC0 == 0x80:
                     b += 1
                 window = data[a:b].decode("utf-8", "surrogateescape")
+                start, at = a, 0  # in bytes and in characters: counted on from match to match
                 for m in pattern.finditer(window):
                     edits = sum(m.fuzzy_counts)
-                    start = a + len(window[: m.start()].encode("utf-8", "surrogateescape"))
+                    start += len(window[at : m.start()].encode("utf-8", "surrogateescape"))
+                    at = m.start()
                     # a match may begin or end on the space between two words
-                    start += len(m[0]) - len(m[0].lstrip(" "))
-                    end = start + len(m[0].strip(" ").encode("utf-8", "surrogateescape"))
-                    first = data.count(b" ", 0, start + 1) - 1
-                    last = data.count(b" ", 0, max(end, start + 1)) - 1
+                    begin = start + len(m[0]) - len(m[0].lstrip(" "))
+                    end = begin + len(m[0].strip(" ").encode("utf-8", "surrogateescape"))
+                    first = word(begin + 1) - 1
+                    last = word(max(end, begin + 1)) - 1
                     found.append((notice.label, first, max(first, last), edits, 1 - edits / len(notice.text)))
         return best_of(found)
 
@@ -118,12 +134,13 @@ class Scanner:
         tokens = words(text)
         data = b" " + b" ".join(tokens) + b" "
         starts, labels = [], set()
+        word = word_counter(data)
         for phrase, label in self.phrases:
-            at = [data.count(b" ", 0, p) for p in places(data, phrase)]
+            at = [word(p) for p in places(data, phrase)]
             if at:
                 starts += at
                 labels.add(label)
-        near = self.fuzzy(data) if tokens else []
+        near = self.fuzzy(data, word) if tokens else []
         score = max([1.0 if starts else 0.0, *(x[4] for x in near)])
         return len(tokens), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels), [{"label": x[0], "first_word": x[1], "last_word": x[2], "edits": x[3]} for x in near], score
 
