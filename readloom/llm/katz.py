@@ -1,24 +1,29 @@
 """Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights, partitioned tables.
 
-Words are counted in a table of all training words. Those above a count that at most ``hot`` words
-reach are classes of their own; all others share the class of rare words and are told apart by their own
-counts. Over the classes stands a bigram model
+Words are counted in a table of all training words, bigrams in a table of all training bigrams:
 
     P(w | h) = f(h) d(c) c(hw) / c(h)   where hw was seen c times in training
-             = a(h) P(w)                else, evaluated one level down
+             = a(h) P(w)                else, P(w) = (c(w) + 0.1) / (n + 0.1 (v + 1))
 
-with d from Good and Turing and a(h) such that the probabilities of each context sum to one. Bigram counts and rare words
-lie in partitioned tables, by a hash of the bigram or word. Texts are scored where the tables are: each chunk of documents sends its
-bigrams and rare words, packed, to their partitions, which look them up and send back a sum for each document. Nothing that
-grows with the corpus is broadcast; classes, their weights and discounts are bounded by ``hot``.
+with d from Good and Turing and a(h) such that the probabilities of each context sum to one over the training words,
+the end and one unknown word. An unknown context has a(h) = 1. The ``hot`` most frequent words, a bounded number, have
+numbers and are broadcast with their counts and weights, which spreads the work of frequent words and changes no
+result; all other words are known by 63-bit hashes, and their counts and weights lie in partitioned tables, as all bigrams do.
+
+A text's score is the sum of log P(w) and log a(h) over its words, and for each bigram that was seen of what P(w | h) is
+above a(h) P(w). So words and bigrams are looked up apart: each chunk of documents sends its bigrams and rare words,
+packed, to their partitions, which send back a sum for each document. Bigrams with a rare word lie where that word
+lies (the context, if both are), others by their own hash. Nothing that grows with the corpus is broadcast.
+
+``lower_order``, ``count_bigrams`` and ``weigh`` make a model of classes, in which rare words share one; scores don't use it.
 """
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,8 @@ RARE, END, BEGIN, WORDS = 0, 1, 2, 3
 SHIFT = 15
 #: The end's key in the table of words: no word can hold a line end.
 END_KEY = b"\n"
+#: Set in the hashes of words and bigrams, which keeps them apart from the numbers of hot words and pairs of them.
+TOP = np.uint64(1 << 63)
 #: Discounts apply to counts up to this one.
 GOOD_TURING = 5
 #: Longer words are never classes of their own, which bounds what is broadcast.
@@ -95,6 +102,15 @@ class Model:
     factor: np.ndarray | None = None
     backoff: np.ndarray | None = None
 
+    def lower(self, c: np.ndarray) -> np.ndarray:
+        """P(w) of words of these counts."""
+        return (c + 0.1) / (self.n + 0.1 * (self.v + 1))
+
+    def weights(self, c: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """f and a of contexts of counts ``c``, from the sums of d(c) c(hw) / c(h) and of P(w) over what was seen."""
+        factor = np.where(1 - high < 1e-9, c / (c + 1), 1.0)  # no count was discounted: one more observation makes room
+        return factor, (1 - high * factor) / np.maximum(1 - low, self.lower(0))
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
@@ -119,6 +135,47 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+class Ids(dict):
+    """Numbers of hot words, hashes of all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word) | 1 << 63
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        """Ids of the begin, the tokens and the end."""
+        out = np.empty(len(tokens) + 2, np.uint64)
+        out[0], out[-1] = BEGIN, END
+        out[1:-1] = np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+        return out
+
+
+def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of bigrams: both numbers where both words are hot, else a hash."""
+    return np.where((h | w) < TOP, h << np.uint64(SHIFT) | w, h * np.uint64(0xD6E8FEB86659FD93) + w | TOP)
+
+
+def home_of(first: np.ndarray, second: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The partition of each bigram: that of the first of two words that is rare, else by its key."""
+    return bucket_of(np.where(first >= TOP, first, np.where(second >= TOP, second, keys)), buckets)
+
+
+def dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has rows, with their places in order."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b, order[cuts[b] : cuts[b + 1]]
+
+
+def planes(a: np.ndarray) -> bytes:
+    """Eight-byte numbers packed by byte planes, as many are small."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(unpacked(data, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+
+
 def packed(a: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
 
@@ -290,121 +347,301 @@ def weigh(bigrams: DataFrame, model: Model) -> Model:
     return model
 
 
-#: kind 0: bigrams of the model; 1: rare words of the model; 2: a chunk's bigrams and rare words; 3: a chunk's documents.
+#: kind 0: rare words and their counts; 1: bigrams, their counts and those of their second words.
+TABLES = "bucket int, kind int, h binary, w binary, counts binary, known binary"
+
+
+def rare_words(words: DataFrame, shipped, buckets: int) -> DataFrame:
+    """Ids and counts of all words that are not hot, as ``TABLES``, in the partition of each word."""
+    schema = out_schema(TABLES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, out = shipped.value.classes, Rows(schema, 4 << 20)
+        ids, parts = Ids(), []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for b, mine in dealt(bucket_of(names, buckets), buckets):
+                if out.add((b, 0, planes(names[mine]), None, planes(counts[mine]), None), 12 * len(mine)):
+                    yield out.batch()
+
+        for batch in batches:
+            rows = [(ids[w], n) for w, n in rows_of(batch, "word", "n") if w not in classes and w != END_KEY]
+            parts.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)))
+            if sum(len(p[0]) for p in parts) > 500_000:
+                yield from flush()
+                parts = []
+        if parts:
+            yield from flush()
+        yield from out.rest()
+
+    return words.select("word", "n").mapInArrow(run, TABLES)
+
+
+def count_pairs(docs: DataFrame, text_col: str, rare: DataFrame, shipped, buckets: int) -> DataFrame:
+    """All bigrams once, as ``TABLES``; each task counts its own first. They meet where their second word's count is."""
+    schema = out_schema(TABLES)
+
+    def firsts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        return order, np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+
+    def fold(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, first = firsts(pair_keys(h, w))
+        return h[order[first]], w[order[first]], np.add.reduceat(n[order], first)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, out = Ids(shipped.value.classes), Rows(schema, 4 << 20)
+        parts, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate(parts)
+            parts.clear()
+            at = np.flatnonzero(ids[1:] != BEGIN)
+            order, first = firsts(keys := pair_keys(ids[at], ids[at + 1]))
+            n, keys, at = np.diff(first, append=len(order)), keys[order[first]], at[order[first]]
+            h, w = ids[at], ids[at + 1]
+            for b, mine in dealt(home_of(w, h, keys, buckets), buckets):
+                if out.add((b, 1, planes(h[mine]), planes(w[mine]), planes(n[mine]), None), 16 * len(mine)):
+                    yield out.batch()
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                parts.append(ids.of(tokens_of(text)))
+                size += len(parts[-1]) - 1
+                if size > 2_000_000:
+                    yield from flush()
+                    size = 0
+        if parts:
+            yield from flush()
+        yield from out.rest()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, out = shipped.value, Rows(schema, 4 << 20)
+        current, pending, names, times = None, [], [], []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if not pending:
+                return
+            h, w, n = fold(pending)
+            order = np.argsort(word := np.concatenate([*names, np.zeros(1, np.uint64)]))
+            known = np.concatenate([*times, np.zeros(1, np.int64)])[order]
+            hot = w < TOP
+            second = np.where(hot, m.counts[np.where(hot, w, END).astype(np.int64)], known[np.minimum(np.searchsorted(word[order], w), len(known) - 1)])
+            for at in range(0, len(h), 500_000):
+                mine = slice(at, at + 500_000)
+                if out.add((current, 1, planes(h[mine]), planes(w[mine]), planes(n[mine]), planes(second[mine])), 32 * len(h[mine])):
+                    yield out.batch()
+
+        for batch in batches:
+            for bucket, kind, h, w, n in rows_of(batch, "bucket", "kind", "h", "w", "counts"):
+                if bucket != current:
+                    yield from finish()
+                    current, pending, names, times = bucket, [], [], []
+                if kind == 0:
+                    names.append(from_planes(h, np.uint64))
+                    times.append(from_planes(n, np.int64))
+                    continue
+                pending.append((from_planes(h, np.uint64), from_planes(w, np.uint64), from_planes(n, np.int64)))
+                if sum(len(p[0]) for p in pending[1:]) > 1_000_000:
+                    pending = [fold(pending)]
+        yield from finish()
+        yield from out.rest()
+
+    own = docs.select(text_bytes(text_col).alias("text")).mapInArrow(collect, TABLES)
+    return rare.unionByName(own).repartition(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(merge, TABLES)
+
+
+def weigh_hot(pairs: DataFrame, model: Model) -> Model:
+    """Discounts, then the factor and backoff weight of each hot context, by sums over the partitioned table."""
+
+    def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (counts,) in rows_of(batch, "counts"):
+                n = np.bincount(np.minimum(from_planes(counts, np.int64), GOOD_TURING + 2), minlength=GOOD_TURING + 2)[1 : GOOD_TURING + 2]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, GOOD_TURING + 2)), pa.array(n)], names=["r", "n"])
+
+    model.d = discounts({x.r: x.n for x in pairs.select("counts").mapInArrow(ones, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()})
+    shipped = pairs.sparkSession.sparkContext.broadcast(model)
+    size = len(model.counts)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, high, low = shipped.value, np.zeros(size), np.zeros(size)
+        for batch in batches:
+            for h, counts, known in rows_of(batch, "h", "counts", "known"):
+                hot = (h := from_planes(h, np.uint64)) < TOP
+                context, c = h[hot].astype(np.int64), from_planes(counts, np.int64)[hot]
+                high += np.bincount(context, m.d[np.minimum(c, GOOD_TURING + 1)] * c / m.counts[context], size)
+                low += np.bincount(context, m.lower(from_planes(known, np.int64)[hot]), size)
+        seen = np.flatnonzero(high)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(high[seen]), pa.array(low[seen])], names=["h", "high", "low"])
+
+    found = pairs.select("h", "counts", "known").mapInArrow(sums, "h long, high double, low double").groupBy("h").agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
+    model.factor, model.backoff = np.ones(size), np.ones(size)
+    rows = found.collect()  # a row for each hot word at most
+    at = np.array([r.h for r in rows], np.int64)
+    model.factor[at], model.backoff[at] = model.weights(model.counts[at], np.array([r.high for r in rows]), np.array([r.low for r in rows]))
+    return model
+
+
+def pairs_home(pairs: DataFrame, buckets: int) -> DataFrame:
+    """The table of bigrams as ``TABLES``, dealt to the partitions where they are looked up."""
+    schema = out_schema(TABLES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(schema, 4 << 20)
+        for batch in batches:
+            for row in rows_of(batch, "h", "w", "counts", "known"):
+                h, w = (from_planes(x, np.uint64) for x in row[:2])
+                n, known = (from_planes(x, np.int64) for x in row[2:])
+                known = np.where((h & w) >= TOP, known, 0)  # told where only one word is rare
+                for b, mine in dealt(home_of(h, w, pair_keys(h, w), buckets), buckets):
+                    if out.add((b, 1, *(planes(x[mine]) for x in (h, w, n, known))), 32 * len(mine)):
+                        yield out.batch()
+        yield from out.rest()
+
+    return pairs.select("h", "w", "counts", "known").mapInArrow(run, TABLES)
+
+
+class Shelf:
+    """A partition's rare words, with the weights they have as contexts, and its bigrams, which come packed."""
+
+    def __init__(self, m: Model, words: list[tuple], pairs: list[tuple]):
+        self.m = m
+        names, times = (np.concatenate(x) for x in zip(*words, (np.array([~np.uint64(0)]), np.zeros(1, np.int64)), strict=True))
+        order = np.argsort(names)
+        self.names, self.times = names[order], times[order]
+        high, low, n = np.zeros(len(names)), np.zeros(len(names)), 0
+        for h, _, _, seen, p in self.blocks(pairs):
+            n += len(h)
+            at = np.searchsorted(self.names, h[h >= TOP])
+            np.add.at(high, at, seen[h >= TOP])
+            np.add.at(low, at, p[h >= TOP])
+        factor, a = m.weights(np.maximum(self.times, 1), high, low)
+        a[high == 0] = 1.0
+        self.log_a = np.log10(a)
+        self.keys, self.gain, n = np.full(n + 1, ~np.uint64(0)), np.zeros(n + 1), 0
+        for h, w, context, seen, p in self.blocks(pairs):
+            f, back = m.factor[context], m.backoff[context]
+            at = np.searchsorted(self.names, h[h >= TOP])
+            f[h >= TOP], back[h >= TOP] = factor[at], a[at]
+            self.keys[n : n + len(h)], self.gain[n : n + len(h)] = pair_keys(h, w), np.log10(f * seen / (back * p))
+            n += len(h)
+        pairs.clear()
+        order = np.argsort(self.keys)
+        self.keys, self.gain = self.keys[order], self.gain[order]
+
+    def blocks(self, pairs: list[tuple]) -> Iterator[tuple]:
+        """Pieces of the bigrams: context, word, number of a hot context, d(c) c(hw) / c(h), P(w)."""
+        for pair in pairs:
+            h, w, c, known = (from_planes(x, kind) for x, kind in zip(pair, (np.uint64, np.uint64, np.int64, np.int64), strict=True))
+            context, second = (np.where(x < TOP, x, END).astype(np.int64) for x in (h, w))
+            count = self.m.counts[context]
+            count[h >= TOP] = self.times[np.searchsorted(self.names, h[h >= TOP])]
+            known = np.where(w < TOP, self.m.counts[second], known)
+            mine = (w >= TOP) & (h < TOP)
+            known[mine] = self.times[np.searchsorted(self.names, w[mine])]
+            yield h, w, context, self.m.d[np.minimum(c, GOOD_TURING + 1)] * c / count, self.m.lower(known)
+
+    def gains(self, keys: np.ndarray) -> np.ndarray:
+        """log P(w | h) - log a(h) P(w) of bigrams, 0 of those not seen."""
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.gain[at], 0.0)
+
+    def words(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log P(w), log a(w) and whether it is known, of rare words."""
+        at = np.searchsorted(self.names, names)
+        there = self.names[at] == names
+        c = np.where(there, self.times[at], 0)
+        return self.m.base(c), np.where(there, self.log_a[at], 0.0), (c > 0).astype(np.int64)
+
+
+#: kind 0: rare words of the model; 1: bigrams of the model; 2: a chunk's bigrams of hot words; 3: its rare words with the
+#: word before, where this is hot, and the word after; 4: a chunk's documents.
 WORK = "bucket int, kind int, chunk long, a binary, b binary, c binary, d binary, e binary"
 SUMS = "chunk long, kind int, a binary, b binary, c binary, d binary"
 SCORES = "id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, words: DataFrame, bigrams: DataFrame, model: Model, buckets: int, *, id_col: str, text_col: str, chunk_tokens: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, rare: DataFrame, pairs: DataFrame, model: Model, buckets: int, *, id_col: str, text_col: str, chunk_tokens: int = 1_000_000) -> DataFrame:
     """``SCORES`` for each row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     work_schema, sums_schema, scores_schema = out_schema(WORK), out_schema(SUMS), out_schema(SCORES)
-    digest = partial(xxhash.xxh3_64_intdigest, seed=0)
-
-    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, out = shipped.value.classes, Rows(work_schema, 4 << 20)
-        for batch in batches:
-            rows = [(digest(w), n) for w, n in rows_of(batch, "word", "n") if w not in classes and w != END_KEY]
-            if not rows:
-                continue
-            hashes, counts = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
-            bucket = hashes % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                mine = order[cuts[b] : cuts[b + 1]]
-                if out.add((b, 1, None, hashes[mine].tobytes(), counts[mine].tobytes(), None, None, None), 16 * len(mine)):
-                    yield out.batch()
-        yield from out.rest()
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, out = shipped.value, Rows(work_schema, 8 << 20)
-        chunk = TaskContext.get().partitionId() << 32
-        known_base = m.base(m.counts.astype(np.float64))
-        known_base[RARE] = 0.0  # looked up
-        ids, keys, rare, rare_of = [], [], [], []
-
-        def flush(chunk: int) -> list[tuple]:
-            lengths = np.array([len(k) for k in keys])
-            every = np.concatenate(keys)
-            classes = every & np.uint32((1 << SHIFT) - 1)
-            doc = np.repeat(np.arange(len(keys)), lengths)
-            base = np.bincount(doc, known_base[classes], len(keys))
-            known = np.bincount(doc, (classes != RARE) & (m.counts[classes] > 0), len(keys)).astype(np.int64)
+        chunk, names = TaskContext.get().partitionId() << 32, Ids(m.classes)
+        hot_base, hot_a = m.base(m.counts.astype(np.float64)), np.log10(m.backoff)
+        hot_base[RARE] = hot_a[RARE] = 0.0  # looked up
+        ids, texts = [], []
+
+        def flush() -> list[tuple]:
+            lengths = np.array([len(t) - 2 for t in texts])
+            every, doc = np.concatenate(texts), np.repeat(np.arange(len(texts)), lengths + 2)
+            hot = every < TOP
+            word = np.where(hot, every, RARE).astype(np.int64)
+            token, context = every != BEGIN, every != END
+            base = np.bincount(doc, hot_base[word] * token, len(texts))
+            a = np.bincount(doc, hot_a[word] * context, len(texts))
+            known = np.bincount(doc, hot & token & (m.counts[word] > 0), len(texts)).astype(np.int64)
             mask = np.array([i is None for i in ids])
-            rows = [(chunk % buckets, 3, chunk, np.array([i or 0 for i in ids], np.int64).tobytes(), mask.tobytes(), lengths.astype(np.int64).tobytes(), base.tobytes(), known.tobytes())]
-            bucket = bucket_of(every, buckets)
-            hashes, owners = np.array(rare, np.uint64), np.array(rare_of, np.uint32)
-            rare_bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-            order, rare_order = np.argsort(bucket, kind="stable"), np.argsort(rare_bucket, kind="stable")
-            cuts, rare_cuts = (np.searchsorted(x, np.arange(buckets + 1)) for x in (bucket[order], rare_bucket[rare_order]))
-            for b in range(buckets):
-                mine, his = order[cuts[b] : cuts[b + 1]], rare_order[rare_cuts[b] : rare_cuts[b + 1]]
-                if len(mine) or len(his):
-                    who, n = np.unique(doc[mine], return_counts=True)
-                    whose, n_rare = np.unique(owners[his], return_counts=True)
-                    rows.append((b, 2, chunk, every[mine].tobytes(), packed(np.stack([who, n]).astype(np.uint32)), hashes[his].tobytes(), packed(np.stack([whose, n_rare]).astype(np.uint32)), None))
+            rows = [(chunk % buckets, 4, chunk, np.array([i or 0 for i in ids], np.int64).tobytes(), mask.tobytes(), (lengths + 1).tobytes(), base.tobytes() + a.tobytes(), known.tobytes())]
+
+            def owners(at: np.ndarray) -> bytes:
+                return packed(np.stack(np.unique(doc[at], return_counts=True)).astype(np.uint32))
+
+            at = np.flatnonzero(hot[:-1] & hot[1:] & token[1:])
+            keys = pair_keys(every[at], every[at + 1])
+            for b, mine in dealt(bucket_of(keys, buckets), buckets):
+                rows.append((b, 2, chunk, planes(keys[mine]), owners(at[mine]), None, None, None))
+            at = np.flatnonzero(~hot)
+            for b, mine in dealt(bucket_of(every[at], buckets), buckets):
+                mine = at[mine]
+                rows.append((b, 3, chunk, planes(every[mine]), owners(mine), planes(np.where(hot[mine - 1], every[mine - 1], END)), planes(every[mine + 1]), None))
             return rows
 
         size = 0
         for batch in batches:
             for key, text in rows_of(batch, "id", "text"):
-                tokens = tokens_of(text)
-                found = bigram_keys(tokens, m.classes)
-                for at in np.flatnonzero((found[:-1] & np.uint32((1 << SHIFT) - 1)) == RARE).tolist():
-                    rare.append(digest(tokens[at]))
-                    rare_of.append(len(ids))
                 ids.append(key)
-                keys.append(found)
-                size += len(found)
+                texts.append(names.of(tokens_of(text)))
+                size += len(texts[-1]) - 1
                 if size >= chunk_tokens:
-                    for row in flush(chunk):
+                    for row in flush():
                         if out.add(row, sum(len(x or b"") for x in row[3:])):
                             yield out.batch()
-                    chunk += 1
-                    size = 0
-                    ids, keys, rare, rare_of = [], [], [], []
+                    chunk, size, ids, texts = chunk + 1, 0, [], []
         if ids:
-            for row in flush(chunk):
+            for row in flush():
                 if out.add(row, sum(len(x or b"") for x in row[3:])):
                     yield out.batch()
         yield from out.rest()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, out = shipped.value, Rows(sums_schema, 8 << 20)
-        current, ready = None, False
-        keys, logs, hashes, times = [], [], [], []
+        current, shelf, words, pairs = None, None, [], []
         for batch in batches:
             for bucket, kind, chunk, a, b, c, d, e in rows_of(batch, "bucket", "kind", "chunk", "a", "b", "c", "d", "e"):
                 if bucket != current:
-                    current, ready = bucket, False
-                    keys, logs, hashes, times = [np.zeros(0, np.uint32)], [np.zeros(0)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                    current, shelf, words, pairs = bucket, None, [], []
                 if kind == 0:
-                    keys.append(np.cumsum(unpacked(a, np.uint32), dtype=np.uint32))
-                    logs.append(np.log10(m.seen(keys[-1], unpacked(b, np.int64)) * m.factor[keys[-1] >> np.uint32(SHIFT)]))
+                    words.append((from_planes(a, np.uint64), from_planes(c, np.int64)))
                 elif kind == 1:
-                    hashes.append(np.frombuffer(a, np.uint64))
-                    times.append(np.frombuffer(b, np.int64))
-                elif kind == 2:
-                    if not ready:
-                        order = np.argsort(key := np.concatenate(keys))
-                        key, log = np.append(key[order], np.uint32(0xFFFFFFFF)), np.append(np.concatenate(logs)[order], 0.0)
-                        order = np.argsort(word := np.concatenate(hashes))
-                        word, count = np.append(word[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(np.concatenate(times)[order], 0)
-                        ready = True
-                    asked, (who, n) = np.frombuffer(a, np.uint32), unpacked(b, np.uint32).reshape(2, -1).astype(np.int64)
-                    at = np.searchsorted(key, asked)
-                    value = np.where(key[at] == asked, log[at], m.unseen(asked))
-                    total = np.add.reduceat(value, np.cumsum(n) - n) if len(n) else np.zeros(0)
-                    out.add((chunk, 1, who.astype(np.uint32).tobytes(), total.tobytes(), None, None), 12 * len(who))
-                    asked, (who, n) = np.frombuffer(c, np.uint64), unpacked(d, np.uint32).reshape(2, -1).astype(np.int64)
-                    if len(asked):
-                        at = np.searchsorted(word, asked)
-                        c_word = np.where(word[at] == asked, count[at], 0)
-                        sums = [np.add.reduceat(x, np.cumsum(n) - n) for x in (m.base(c_word), m.among_rare(c_word), (c_word > 0).astype(np.int64))]
-                        out.add((chunk, 2, who.astype(np.uint32).tobytes(), *(x.tobytes() for x in sums)), 28 * len(who))
-                    if out.size >= out.max_bytes:
+                    pairs.append((a, b, c, d))
+                elif kind in (2, 3):
+                    if shelf is None:
+                        shelf = Shelf(m, words, pairs)
+                        words = []
+                    asked, (who, n) = from_planes(a, np.uint64), unpacked(b, np.uint32).reshape(2, -1).astype(np.int64)
+                    if kind == 2:
+                        values = (shelf.gains(asked),)
+                    else:
+                        lower, log_a, known = shelf.words(asked)
+                        before, after = from_planes(c, np.uint64), from_planes(d, np.uint64)  # no bigram begins with the end
+                        values = lower, log_a + shelf.gains(pair_keys(before, asked)) + shelf.gains(pair_keys(asked, after)), known
+                    sums = [np.add.reduceat(x, np.cumsum(n) - n).tobytes() for x in values]
+                    if out.add((chunk, kind - 1, who.astype(np.uint32).tobytes(), *sums, *[None] * (3 - len(sums))), 28 * len(who)):
                         yield out.batch()
                 elif out.add((chunk, 0, a, b + c, d, e), 32 * len(b)):
                     yield out.batch()
@@ -414,8 +651,8 @@ def score(docs: DataFrame, words: DataFrame, bigrams: DataFrame, model: Model, b
         current, state = None, None
 
         def done() -> pa.RecordBatch:
-            ids, mask, length, known, base, total = state
-            return pa.RecordBatch.from_arrays([pa.array(ids, mask=mask), pa.array(length), pa.array(known), pa.array(base), pa.array(total)], schema=scores_schema)
+            ids, mask, length, known, base, above = state
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=mask), pa.array(length), pa.array(known), pa.array(base), pa.array(base + above)], schema=scores_schema)
 
         for batch in batches:
             for chunk, kind, a, b, c, d in rows_of(batch, "chunk", "kind", "a", "b", "c", "d"):
@@ -426,7 +663,8 @@ def score(docs: DataFrame, words: DataFrame, bigrams: DataFrame, model: Model, b
                 if kind == 0:
                     ids = np.frombuffer(a, np.int64)
                     mask = np.frombuffer(b[: len(ids)], bool)
-                    state = [ids, mask, np.frombuffer(b[len(ids) :], np.int64), np.frombuffer(d, np.int64).copy(), np.frombuffer(c, np.float64).copy(), np.zeros(len(ids))]
+                    base, above = np.frombuffer(c, np.float64).reshape(2, -1).copy()
+                    state = [ids, mask, np.frombuffer(b[len(ids) :], np.int64), np.frombuffer(d, np.int64).copy(), base, above]
                     continue
                 who = np.frombuffer(a, np.uint32)
                 if kind == 1:
@@ -438,11 +676,10 @@ def score(docs: DataFrame, words: DataFrame, bigrams: DataFrame, model: Model, b
         if state:
             yield done()
 
-    empty = [F.lit(None).cast("binary").alias(c) for c in "cde"]
-    model_rows = bigrams.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), F.col("steps").alias("a"), F.col("counts").alias("b"), *empty)
+    tables = rare.withColumn("bucket", F.col("bucket") % buckets).unionByName(pairs_home(pairs, buckets))
+    tables = tables.select("bucket", "kind", F.lit(None).cast("long").alias("chunk"), F.col("h").alias("a"), F.col("w").alias("b"), F.col("counts").alias("c"), F.col("known").alias("d"), F.lit(None).cast("binary").alias("e"))
     asked = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")).mapInArrow(of_docs, WORK)
-    work = model_rows.unionByName(words.mapInArrow(of_words, WORK)).unionByName(asked)
-    sums = work.repartition(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(look_up, SUMS)
+    sums = tables.unionByName(asked).repartition(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(look_up, SUMS)
     return sums.repartition(F.col("chunk")).sortWithinPartitions("chunk", "kind").mapInArrow(add_up, SCORES)
 
 
@@ -450,7 +687,7 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
     """(id, n_tokens, n_known, base_score, score, train_tokens) for each row; the model is learnt from the rows of ``training``.
 
     Scores are log10 probabilities of whole texts, the end included. Null and empty texts are the end alone. Null and
-    repeated ids are scored row by row; without training rows every class is equally likely. Other columns are ignored;
+    repeated ids are scored row by row; without training rows every word is unknown. ``hot`` changes no score. Other columns are ignored;
     an empty table gives no rows.
     """
     if hot > (1 << SHIFT) - WORDS:
@@ -460,9 +697,15 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
     words = saved(count_words(learn, text_col), "words")
     model = choose_classes(words, hot)
     buckets = max(16, -(-model.n // bucket_tokens))
-    bigrams = saved(count_bigrams(learn, text_col, spark.sparkContext.broadcast(model), buckets), "bigrams")
-    model = weigh(bigrams, model)
-    return score(docs, words, bigrams, model, buckets, id_col=id_col, text_col=text_col).withColumn("train_tokens", F.lit(model.n).cast("long"))
+    shipped = spark.sparkContext.broadcast(model)
+    # bigrams are merged in four times as many partitions, a multiple, as the rows to merge take more memory
+    rare = saved(rare_words(words, shipped, 4 * buckets), "rare")
+    discard(words)
+    pairs = saved(count_pairs(learn, text_col, rare, shipped, 4 * buckets), "pairs")
+    gc.collect()  # frames in cycles hold shuffles, whose files Spark removes once nothing refers to them
+    spark.sparkContext._jvm.System.gc()
+    model = weigh_hot(pairs, model)
+    return score(docs, rare, pairs, model, buckets, id_col=id_col, text_col=text_col).withColumn("train_tokens", F.lit(model.n).cast("long"))
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,6 +225,45 @@ def test_katz_is_normalised(spark):
     assert len(rare) == model.rare_v and abs((10 ** model.among_rare(np.append(rare, 0))).sum() - 1) < 1e-9
 
 
+def katz_scores(texts, train):
+    """log10 P of each text by a bigram model over all words of ``train``, in plain Python."""
+    split = lambda t: [*(t or "").encode().lower().split(), "end"]
+    words, pairs = Counter(), Counter()
+    for t in train:
+        words.update(split(t))
+        pairs.update(zip(["begin", *split(t)], split(t), strict=False))
+    n, v = words.total(), len(words)
+    d, lower = katz.discounts(Counter(pairs.values())), lambda w: (words[w] + 0.1) / (n + 0.1 * (v + 1))
+    times = Counter({**words, "begin": len(train)})
+    high, low, factor = Counter(), Counter(), {}
+    for (h, w), c in pairs.items():
+        high[h] += d[min(c, 6)] * c / times[h]
+        low[h] += lower(w)
+    for h in high:
+        factor[h] = times[h] / (times[h] + 1) if 1 - high[h] < 1e-9 else 1.0
+
+    def p(h, w):
+        if c := pairs[h, w]:
+            return factor[h] * d[min(c, 6)] * c / times[h]
+        return lower(w) * ((1 - factor[h] * high[h]) / (1 - low[h]) if h in factor else 1.0)
+
+    for h in [*high, "unknown"]:
+        assert abs(sum(p(h, w) for w in words) + p(h, "unknown") - 1) < 1e-9
+    return [sum(math.log10(p(h, w)) for h, w in zip(["begin", *split(t)], split(t), strict=False)) for t in texts]
+
+
+@pytest.mark.parametrize("hot", [0, 12, 32_000])
+def test_katz_scores_over_all_words(spark, hot):
+    rng = np.random.RandomState(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) if x < 900)) for i in range(120)]
+    rows += [(500, None), (501, ""), (502, "rare pair " + "x" * 90), (503, "Rare pair " + "x" * 90), (504, "pair rare"), (502, "rare pair"), (505, "new unknown w1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    want = sorted(zip((i for i, _ in rows), katz_scores([t for _, t in rows], train), strict=True))
+    got = sorted((r.id, r.score) for r in katz.score_documents(df, katz.in_training("doc_id"), hot=hot, bucket_tokens=100).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], rtol=0, atol=1e-9)
+
+
 def test_discounts_and_lower_order():
     d = katz.discounts({1: 100, 2: 40, 3: 20, 4: 12, 5: 8, 6: 5})
     assert (d[1:6] > 0).all() and (d[1:6] < 1).all() and d[6] == 1
