@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from readloom.functions import cigar
 from readloom.schema import ReadsError
 
-#: The reference is joined in windows: a tile's bases and so many more, the longest stretch a read may span.
+#: The reference is joined in windows: a tile's bases and so many more, the longest stretch that one window serves.
 TILE, REACH = 1 << 14, 1 << 16
 FACTS = "mismatches array<struct<at:int,base:string>>, soft_clips string, insertions array<string>"
 
@@ -32,11 +32,22 @@ def tiles(contigs: DataFrame, tile: int = TILE, reach: int = REACH) -> DataFrame
 
 
 def with_reference(reads: DataFrame, windows: DataFrame) -> DataFrame:
-    """Reads with ``ref_bases``, what the reference has under them; N where it ends or is unknown."""
-    at = reads.withColumn("tile", F.floor(F.col("pos") / TILE))
-    span = F.when(F.col("end_pos") - F.col("pos") > REACH, F.raise_error(F.lit("a read spans more than the reference window"))).otherwise(F.col("end_pos") - F.col("pos"))
-    bases = F.substr(F.coalesce("window", F.lit(b"")), (F.col("pos") - F.col("tile") * TILE + 1).cast("int"), span.cast("int")).cast("string")
-    return at.join(windows, ["ref", "tile"], "left").withColumn("ref_bases", bases).drop("tile", "window")
+    """Reads with ``ref_bases``, what the reference has under them; N where it ends or is unknown.
+
+    Reads that span more than a window's reach enter every tile they meet, and their bases are gathered.
+    """
+    span = F.col("end_pos") - F.col("pos")
+    long = F.coalesce(span > REACH, F.lit(False))
+    slice_of = lambda start, n: F.substr(F.coalesce("window", F.lit(b"")), (start - F.col("tile") * TILE + 1).cast("int"), n.cast("int")).cast("string")
+    at = reads.where(~long).withColumn("tile", F.floor(F.col("pos") / TILE))
+    near = at.join(windows, ["ref", "tile"], "left").withColumn("ref_bases", slice_of(F.col("pos"), span)).select(*reads.columns, "ref_bases")
+    met = F.sequence(F.floor(F.col("pos") / TILE), F.floor((F.col("end_pos") - 1) / TILE))
+    row = F.struct(*reads.columns).alias("row")
+    pieces = reads.where(long).select("ref", "pos", "end_pos", row, F.monotonically_increasing_id().alias("read"), met.alias("met")).withColumn("tile", F.explode("met"))
+    start, stop = F.greatest("pos", F.col("tile") * TILE), F.least("end_pos", (F.col("tile") + 1) * TILE)
+    found = pieces.join(windows, ["ref", "tile"], "left").select("read", "row", "tile", slice_of(start, stop - start).alias("bases"))
+    whole = found.groupBy("read").agg(F.first("row").alias("row"), F.array_sort(F.collect_list(F.struct("tile", "bases"))).alias("parts"))
+    return near.unionByName(whole.select("row.*", F.array_join("parts.bases", "").alias("ref_bases")))
 
 
 def walk(parts: Sequence[tuple[int, str]], sequence: str, ref_bases: str) -> tuple[np.ndarray, str, list[str]]:

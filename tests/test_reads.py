@@ -182,3 +182,17 @@ def test_fasta(spark, tmp_path):
     files.validate_reference(files.checksums(contigs), contigs)
     with pytest.raises(ReadsError, match="a"):
         files.validate_reference(spark.createDataFrame([("a", "00")], "name string, sha256 string"), contigs)
+
+
+def test_refdelta_of_reads_beyond_a_window(spark):
+    rng = np.random.RandomState(8)
+    genome = "".join(rng.choice(list("ACGT"), 200_000))
+    spliced, long = genome[100:130] + genome[70_130:70_200], genome[20_000:120_000]
+    changed = spliced[:50] + ("A" if spliced[50] != "A" else "C") + spliced[51:]
+    rows = [("a", "c", 100, 70_200, "30M70000N70M", changed), ("a", "c", 100, 70_200, "30M70000N70M", changed), ("b", "c", 20_000, 120_000, "100000M", long), ("d", "c", 5, 15, "10M", genome[5:15])]
+    rows += [("e", "c", 150_000, 230_000, "80000M", genome[150_000:] + "A" * 30_000), ("f", "gone", 0, 70_000, "10M69980N10M", "ACGT" * 5)]
+    reads = spark.createDataFrame(rows, "qname string, ref string, pos int, end_pos int, cigar string, sequence string")
+    windows = refdelta.tiles(spark.createDataFrame([("c", genome)], "name string, seq string"))
+    delta = refdelta.encode(reads, windows)
+    assert sorted((r.qname, len(r.mismatches)) for r in delta.collect()) == [("a", 1), ("a", 1), ("b", 0), ("d", 0), ("e", 30_000), ("f", 20)]
+    assert sorted((r.qname, r.sequence) for r in refdelta.decode(delta, windows).collect()) == sorted((r[0], r[5]) for r in rows)
