@@ -372,5 +372,6 @@ def export_sam(reads: DataFrame, contigs: DataFrame, path: str) -> None:
     header = contigs.select(F.lit(0).alias("k"), F.col("ref_id").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("").alias("c"), F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.col("length").cast("string")).alias("value"))
     top = reads.sparkSession.createDataFrame([(-1, 0, 0, "", "@HD\tVN:1.6\tSO:coordinate")], "k int, a long, b long, c string, value string")
     names = contigs.select(F.col("name").alias("ref"), F.col("ref_id").cast("long").alias("a"))
-    body = reads.join(names, "ref").select(F.lit(1).alias("k"), "a", F.col("pos").cast("long").alias("b"), F.col("qname").alias("c"), records.sam_line().alias("value"))
-    top.unionByName(header).unionByName(body).orderBy("k", "a", "b", "c").select("value").write.text(path)
+    body = reads.join(names, "ref", "left").withColumn("a", F.when(F.col("a").isNotNull() | (F.col("ref") == "*"), F.col("a")).otherwise(F.raise_error(F.concat(F.lit("a read on a contig that the header lacks: "), F.coalesce("ref", F.lit("null"))))))
+    body = body.select(F.lit(1).alias("k"), "a", F.col("pos").cast("long").alias("b"), F.col("qname").alias("c"), records.sam_line().alias("value"))
+    top.unionByName(header).unionByName(body).orderBy("k", F.col("a").asc_nulls_last(), "b", "c").select("value").write.text(path)

@@ -196,3 +196,13 @@ def test_refdelta_of_reads_beyond_a_window(spark):
     delta = refdelta.encode(reads, windows)
     assert sorted((r.qname, len(r.mismatches)) for r in delta.collect()) == [("a", 1), ("a", 1), ("b", 0), ("d", 0), ("e", 30_000), ("f", 20)]
     assert sorted((r.qname, r.sequence) for r in refdelta.decode(delta, windows).collect()) == sorted((r[0], r[5]) for r in rows)
+
+
+def test_export_sam_keeps_reads_without_contig(spark, toy, tmp_path):
+    contigs = files.sam_contigs(spark, str(tmp_path / "toy.sam"))
+    stray = toy.limit(1).withColumn("ref", F.lit("*")).withColumn("qname", F.lit("stray"))
+    files.export_sam(toy.where("ref <> '*'").unionByName(stray), contigs, str(tmp_path / "all"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "all")).collect()]
+    assert lines[-1].startswith("stray\t") and sum(not x.startswith("@") for x in lines) == toy.where("ref <> '*'").count() + 1
+    with pytest.raises(Exception, match="header lacks"):
+        files.export_sam(stray.withColumn("ref", F.lit("gone")), contigs, str(tmp_path / "none"))
