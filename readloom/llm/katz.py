@@ -1,52 +1,47 @@
-"""Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights, partitioned tables.
+"""Katz backoff language model of trigrams: Good-Turing discounts, exactly normalised backoff weights, partitioned tables.
 
-Words are counted in a table of all training words, bigrams in a table of all training bigrams:
+    P(w | g h) = f(g h) d3(c) c(g h w) / c(g h)  where g h w was seen c times in training, else a(g h) P(w | h)
+    P(w | h)   = f(h) d2(c) c(h w) / c(h)        where h w was seen c times,               else a(h) P(w)
+    P(w)       = (c(w) + 0.1) / (n + 0.1 (v + 1))
 
-    P(w | h) = f(h) d(c) c(hw) / c(h)   where hw was seen c times in training
-             = a(h) P(w)                else, P(w) = (c(w) + 0.1) / (n + 0.1 (v + 1))
+with d from Good and Turing and a(..) such that the probabilities of each context sum to one over the training words,
+the end and one unknown word; a context that was never seen has a = 1. A text begins with two begins and ends with one end.
 
-with d from Good and Turing and a(h) such that the probabilities of each context sum to one over the training words,
-the end and one unknown word. An unknown context has a(h) = 1. The ``hot`` most frequent words, a bounded number, have
-numbers and are broadcast with their counts and weights, which spreads the work of frequent words and changes no
-result; all other words are known by 63-bit hashes, and their counts and weights lie in partitioned tables, as all bigrams do.
+Each trigram lies in the partition of its middle word. There its context g h, its suffix h w, the counts of h as a context
+and as a word, and thus all weights are at hand; only the counts of w are asked of the partitions where w is the middle
+word. So the occurrences of trigrams are shuffled once, distinct within a chunk of documents, with the documents that hold
+them, and serve both for counting and for scoring; what returns is a sum for each document. Frequent middle words are
+split by g over several partitions, which then add up their counts of h w. A trigram that many documents of a chunk hold
+is sent without them and its value comes back instead, so no partition gathers the documents of a frequent trigram.
 
-A text's score is the sum of log P(w) and log a(h) over its words, and for each bigram that was seen of what P(w | h) is
-above a(h) P(w). So words and bigrams are looked up apart: each chunk of documents sends its bigrams and rare words,
-packed, to their partitions, which send back a sum for each document. Bigrams with a rare word lie where that word
-lies (the context, if both are), others by their own hash. Nothing that grows with the corpus is broadcast.
-
-``lower_order``, ``count_bigrams`` and ``weigh`` make a model of classes, in which rare words share one; scores don't use it.
+The most frequent words, a bounded number, have short numbers, which changes no score. All other words are known by
+63-bit hashes, trigrams by 64-bit ones.
 """
 
 from __future__ import annotations
 
-import gc
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rows, discard, out_schema, rows_of, saved, table, text_bytes
+from .common import out_schema, table, text_bytes
 
-#: Classes: rare words, the end, the begin (only ever a context); words follow.
-RARE, END, BEGIN, WORDS = 0, 1, 2, 3
-#: A bigram of classes is one unsigned 32-bit key.
-SHIFT = 15
-#: The end's key in the table of words: no word can hold a line end.
-END_KEY = b"\n"
-#: Set in the hashes of words and bigrams, which keeps them apart from the numbers of hot words and pairs of them.
+#: Numbers of the begin and the end; frequent words follow.
+BEGIN, END, WORDS = 0, 1, 2
+#: Set in the hashes of words, which keeps them apart from numbers.
 TOP = np.uint64(1 << 63)
 #: Discounts apply to counts up to this one.
 GOOD_TURING = 5
-#: Longer words are never classes of their own, which bounds what is broadcast.
+#: Longer words never have numbers, which bounds what is broadcast.
 LONGEST = 64
+SCORES = "id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def in_training(id_col: str) -> Column:
@@ -54,13 +49,12 @@ def in_training(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 != 0, F.lit(True))
 
 
-def discounts(ones: dict[int, int]) -> np.ndarray:
-    """d[0..GOOD_TURING + 1] from counts of counts; the last stands for all larger counts and is 1.
+def discounts(ones: Iterable[int]) -> np.ndarray:
+    """d[0..GOOD_TURING + 1] from the numbers of n-grams seen 0, 1, 2 ... times; the last stands for all larger counts and is 1.
 
     Where Good and Turing's estimate is not between 0 and 1, as in small tables, 0.5 is taken off the count.
     """
-    k = GOOD_TURING
-    n = [float(ones.get(r, 0)) for r in range(k + 2)]
+    k, n = GOOD_TURING, [float(x) for x in ones]
     out = np.ones(k + 2)
     common = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
     for r in range(1, k + 1):
@@ -69,643 +63,398 @@ def discounts(ones: dict[int, int]) -> np.ndarray:
     return out
 
 
-def lower_order(counts: np.ndarray) -> np.ndarray:
-    """P(w) of the classes, BEGIN 0: relative counts, or discounted ones where a class was never seen."""
-    possible = np.arange(len(counts)) != BEGIN
-    total = counts[possible].sum()
-    unseen = possible & (counts == 0)
-    if not total:
-        return possible / possible.sum()
-    p = np.where(possible, counts, 0) / total
-    if unseen.any():
-        d = discounts(Counter(counts[possible & (counts > 0)].tolist()))
-        p = p * d[np.minimum(counts, GOOD_TURING + 1)]
-        left = 1 - p.sum()
-        if left < 1e-12:
-            p, left = p * total / (total + 1), 1 / (total + 1)
-        p[unseen] = left / unseen.sum()
-    return p
+def counts_of_counts(c: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(c, GOOD_TURING + 2), minlength=GOOD_TURING + 3)[: GOOD_TURING + 2]
 
 
 @dataclass
 class Model:
-    """What every task knows of the model, bounded by the number of classes."""
-
-    classes: dict[bytes, int]
-    counts: np.ndarray  # of classes as tokens; of BEGIN as a context
-    p: np.ndarray
-    n: int  # training tokens
-    v: int  # distinct training tokens
-    rare_n: int
-    rare_v: int
-    d: np.ndarray | None = None
-    factor: np.ndarray | None = None
+    """What every task knows: frequent words, how they are split, and once they are counted their counts and weights."""
+
+    numbers: dict[bytes, int]
+    cells: np.ndarray  # over how many partitions' cells each numbered word is split
+    buckets: int
+    count: np.ndarray | None = None  # training counts of the numbered words; of the begin as a context
+    n: int = 0  # training tokens
+    v: int = 0  # distinct training tokens
+    d2: np.ndarray | None = None
+    d3: np.ndarray | None = None
+    factor: np.ndarray | None = None  # of split words
     backoff: np.ndarray | None = None
 
-    def lower(self, c: np.ndarray) -> np.ndarray:
+    def lower(self, c: np.ndarray | int) -> np.ndarray:
         """P(w) of words of these counts."""
         return (c + 0.1) / (self.n + 0.1 * (self.v + 1))
 
-    def weights(self, c: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """f and a of contexts of counts ``c``, from the sums of d(c) c(hw) / c(h) and of P(w) over what was seen."""
-        factor = np.where(1 - high < 1e-9, c / (c + 1), 1.0)  # no count was discounted: one more observation makes room
-        return factor, (1 - high * factor) / np.maximum(1 - low, self.lower(0))
+    def split(self, h: np.ndarray) -> np.ndarray:
+        """How many cells a middle word has."""
+        return np.where(h < TOP, self.cells[np.where(h < TOP, h, BEGIN).astype(np.int64)], 1)
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
+    def spot(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """A hash of the cell of trigrams, from which the partition follows."""
+        many = self.split(h)
+        cell = np.where(many > 1, (scramble(g) >> np.uint64(20)) % many.astype(np.uint64), np.uint64(0))
+        return scramble(mix(h, cell))
 
-    def among_rare(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.1) / (self.rare_n + 0.1 * (self.rare_v + 1)))
 
-    def seen(self, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """d c(hw) / c(h) of bigrams that were seen."""
-        return self.d[np.minimum(c, GOOD_TURING + 1)] * c / self.counts[keys >> np.uint32(SHIFT)]
+def scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
-    def unseen(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):  # a context that was followed by every class never backs off
-            return np.log10(self.backoff[keys >> np.uint32(SHIFT)]) + np.log10(self.p[keys & np.uint32((1 << SHIFT) - 1)])
 
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a ^ (a >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + b
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+
+def bucket_of(spots: np.ndarray, buckets: int) -> np.ndarray:
+    """Partitions in the order of the spots."""
+    return ((spots >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The partition of each bigram key: a multiplicative hash, so frequent contexts spread over all."""
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+def weights(c: np.ndarray, high: np.ndarray, low: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """f and a of contexts seen ``c`` times, from sums over the words seen after them: of d(c) c / c(context) and of the shorter model."""
+    factor = np.where(1 - high < 1e-9, c / (c + 1), 1.0)  # no count was discounted: one more observation makes room
+    return np.where(c > 0, factor, 1.0), np.where(c > 0, (1 - high * factor) / np.maximum(1 - low, least), 1.0)
+
+
+def tokens_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
 
 
 class Ids(dict):
-    """Numbers of hot words, hashes of all others."""
+    """Numbers of frequent words, hashes of all others."""
 
     def __missing__(self, word: bytes) -> int:
         return xxhash.xxh3_64_intdigest(word) | 1 << 63
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        """Ids of the begin, the tokens and the end."""
-        out = np.empty(len(tokens) + 2, np.uint64)
-        out[0], out[-1] = BEGIN, END
-        out[1:-1] = np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+    def of(self, text: bytes) -> np.ndarray:
+        """Ids of two begins, the tokens and the end."""
+        tokens = tokens_of(text)
+        out = np.empty(len(tokens) + 3, np.uint64)
+        out[:2], out[-1] = BEGIN, END
+        out[2:-1] = np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
         return out
 
 
-def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Keys of bigrams: both numbers where both words are hot, else a hash."""
-    return np.where((h | w) < TOP, h << np.uint64(SHIFT) | w, h * np.uint64(0xD6E8FEB86659FD93) + w | TOP)
-
-
-def home_of(first: np.ndarray, second: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The partition of each bigram: that of the first of two words that is rare, else by its key."""
-    return bucket_of(np.where(first >= TOP, first, np.where(second >= TOP, second, keys)), buckets)
-
-
-def dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket that has rows, with their places in order."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        yield b, order[cuts[b] : cuts[b + 1]]
-
-
-def planes(a: np.ndarray) -> bytes:
-    """Eight-byte numbers packed by byte planes, as many are small."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def from_planes(data: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(unpacked(data, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
-
+def pack(a: np.ndarray) -> bytes:
+    """Numbers by byte planes, as many are small."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
 
-def packed(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
 
+def unpack(data: bytes, kind) -> np.ndarray:
+    plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(plain.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
-def unpacked(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
-
-def count_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) of all tokens, the end included: counted in each task first."""
+def frequent_words(docs: DataFrame, hot: int) -> tuple[list[tuple[bytes, int]], int]:
+    """About the ``hot`` most frequent words with about their counts, and the number of tokens. Each task hands on its most frequent ones."""
     ddl = "word binary, n long"
     schema = out_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys, values = list(counts), list(counts.values())
-            for at in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000], pa.binary()), pa.array(values[at : at + 50_000], pa.int64())], schema=schema)
-            counts.clear()
-
+        counts, n = Counter(), 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                counts.update(tokens_of(text))
-                counts[END_KEY] += 1
+                tokens = tokens_of(text)
+                n += len(tokens) + 1
+                counts.update(tokens)
                 if len(counts) > 1_000_000:
-                    yield from flush()
-        yield from flush()
-
-    return docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, ddl).groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def choose_classes(words: DataFrame, hot: int) -> Model:
-    """The words of the highest counts as classes: all that reach a power of 2**(1/4) which at most ``hot`` words reach."""
-    level = F.floor(F.log2("n") * 4).cast("int")
-    short = words.where((F.octet_length("word") <= LONGEST) & (F.col("word") != F.lit(END_KEY)))
-    levels = {r["k"]: r["c"] for r in short.groupBy(level.alias("k")).agg(F.count("*").alias("c")).collect()}  # a few hundred rows
-    least, taken = max(levels, default=0) + 1, 0
-    for k in sorted(levels, reverse=True):
-        if taken + levels[k] > hot:
-            break
-        least, taken = k, taken + levels[k]
-    rows = sorted((bytes(r.word), r.n) for r in short.where(level >= least).collect())  # at most hot words
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == F.lit(END_KEY), F.col("n"))).alias("ends")).first()
-    n, v, ends = total.n or 0, total.v, total.ends or 0
-    rare = n - ends - sum(c for _, c in rows)
-    counts = np.array([rare, ends, ends, *(c for _, c in rows)], np.int64)
-    return Model({w: i for i, (w, _) in enumerate(rows, WORDS)}, counts, lower_order(counts), n, v, rare, max(0, v - len(rows) - (ends > 0)))
-
-
-def bigram_keys(tokens: list[bytes], classes: dict[bytes, int]) -> np.ndarray:
-    get = classes.get
-    ids = np.empty(len(tokens) + 2, np.uint32)
-    ids[0], ids[-1] = BEGIN, END
-    ids[1:-1] = [get(w, RARE) for w in tokens]
-    return (ids[:-1] << np.uint32(SHIFT)) | ids[1:]
-
-
-COUNTS = "bucket int, steps binary, counts binary"
-
-
-def count_bigrams(docs: DataFrame, text_col: str, shipped, buckets: int) -> DataFrame:
-    """Sorted bigram keys (as steps) with counts in ``buckets`` partitions; each task counts its own first."""
-    schema = out_schema(COUNTS)
-
-    def deal(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
-        bucket = bucket_of(keys, buckets)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            if cuts[b] < cuts[b + 1]:
-                mine = order[cuts[b] : cuts[b + 1]]
-                yield b, packed(np.diff(keys[mine], prepend=np.uint32(0))), packed(counts[mine])
-
-    def fold(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        every, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
-        return every, np.bincount(at, np.concatenate([counts, times]), len(every)).astype(np.int64)
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, out = shipped.value.classes, Rows(schema, 4 << 20)
-        keys, counts, parts, size = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                parts.append(bigram_keys(tokens_of(text), classes))
-                size += len(parts[-1])
-                if size > 2_000_000:
-                    keys, counts = fold(keys, counts, *np.unique(np.concatenate(parts), return_counts=True))
-                    parts, size = [], 0
-                    if len(keys) > 8_000_000:
-                        for row in deal(keys, counts):
-                            if out.add(row, len(row[1])):
-                                yield out.batch()
-                        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if parts:
-            keys, counts = fold(keys, counts, *np.unique(np.concatenate(parts), return_counts=True))
-        for row in deal(keys, counts):
-            if out.add(row, len(row[1])):
-                yield out.batch()
-        yield from out.rest()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, keys, counts = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
-        out = Rows(schema, 4 << 20)
-
-        def settled() -> tuple[np.ndarray, np.ndarray]:
-            return fold(keys, counts, np.concatenate([p[0] for p in pending]), np.concatenate([p[1] for p in pending])) if pending else (keys, counts)
-
-        def finish() -> None:
-            for at in range(0, len(keys), 1_000_000):
-                out.add((current, packed(np.diff(keys[at : at + 1_000_000], prepend=np.uint32(0))), packed(counts[at : at + 1_000_000])), 1)
-
-        for batch in batches:
-            for bucket, steps, times in rows_of(batch, "bucket", "steps", "counts"):
-                if bucket != current:
-                    keys, counts = settled()
-                    finish()
-                    if out.rows:
-                        yield out.batch()
-                    current, keys, counts, pending = bucket, np.zeros(0, np.uint32), np.zeros(0, np.int64), []
-                pending.append((np.cumsum(unpacked(steps, np.uint32), dtype=np.uint32), unpacked(times, np.int64)))
-                if sum(len(p[0]) for p in pending) > 4_000_000:
-                    keys, counts = settled()
-                    pending = []
-        keys, counts = settled()
-        finish()
-        yield from out.rest()
-
-    own = docs.select(text_bytes(text_col).alias("text")).mapInArrow(collect, COUNTS)
-    return own.repartition(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(merge, COUNTS)
-
-
-def weigh(bigrams: DataFrame, model: Model) -> Model:
-    """Discounts, then the factor and backoff weight of each context, by sums over the partitioned table."""
-
-    def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for (counts,) in rows_of(batch, "counts"):
-                n = np.bincount(np.minimum(unpacked(counts, np.int64), GOOD_TURING + 2), minlength=GOOD_TURING + 2)[1 : GOOD_TURING + 2]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, GOOD_TURING + 2)), pa.array(n)], names=["r", "n"])
-
-    model.d = discounts({x.r: x.n for x in bigrams.mapInArrow(ones, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()})
-    shipped = bigrams.sparkSession.sparkContext.broadcast(model)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        for batch in batches:
-            for steps, counts in rows_of(batch, "steps", "counts"):
-                keys = np.cumsum(unpacked(steps, np.uint32), dtype=np.uint32)
-                context = (keys >> np.uint32(SHIFT)).astype(np.int64)
-                h, at = np.unique(context, return_inverse=True)
-                high = np.bincount(at, m.seen(keys, unpacked(counts, np.int64)))
-                low = np.bincount(at, m.p[keys & np.uint32((1 << SHIFT) - 1)])
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(high), pa.array(low), pa.array(np.bincount(at))], names=["h", "high", "low", "n"])
-
-    size = len(model.counts)
-    model.factor, model.backoff = np.ones(size), np.ones(size)
-    found = bigrams.mapInArrow(sums, "h long, high double, low double, n long").groupBy("h").agg(F.sum("high").alias("high"), F.sum("low").alias("low"), F.sum("n").alias("n"))
-    for r in found.collect():  # a row for each class at most
-        if r.n == size - 1:  # every class was seen: nothing to back off to
-            model.factor[r.h], model.backoff[r.h] = 1 / r.high, 0.0
-        else:
-            c = float(model.counts[r.h])
-            high = r.high
-            if 1 - high < 1e-9:  # no count was discounted: one more observation makes room
-                model.factor[r.h], high = c / (c + 1), high * c / (c + 1)
-            model.backoff[r.h] = (1 - high) / (1 - r.low)
-    return model
-
-
-#: kind 0: rare words and their counts; 1: bigrams, their counts and those of their second words.
-TABLES = "bucket int, kind int, h binary, w binary, counts binary, known binary"
-
-
-def rare_words(words: DataFrame, shipped, buckets: int) -> DataFrame:
-    """Ids and counts of all words that are not hot, as ``TABLES``, in the partition of each word."""
-    schema = out_schema(TABLES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, out = shipped.value.classes, Rows(schema, 4 << 20)
-        ids, parts = Ids(), []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            names, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            for b, mine in dealt(bucket_of(names, buckets), buckets):
-                if out.add((b, 0, planes(names[mine]), None, planes(counts[mine]), None), 12 * len(mine)):
-                    yield out.batch()
-
-        for batch in batches:
-            rows = [(ids[w], n) for w, n in rows_of(batch, "word", "n") if w not in classes and w != END_KEY]
-            parts.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)))
-            if sum(len(p[0]) for p in parts) > 500_000:
-                yield from flush()
-                parts = []
-        if parts:
-            yield from flush()
-        yield from out.rest()
-
-    return words.select("word", "n").mapInArrow(run, TABLES)
-
-
-def count_pairs(docs: DataFrame, text_col: str, rare: DataFrame, shipped, buckets: int) -> DataFrame:
-    """All bigrams once, as ``TABLES``; each task counts its own first. They meet where their second word's count is."""
-    schema = out_schema(TABLES)
-
-    def firsts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys)
-        return order, np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-
-    def fold(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, first = firsts(pair_keys(h, w))
-        return h[order[first]], w[order[first]], np.add.reduceat(n[order], first)
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, out = Ids(shipped.value.classes), Rows(schema, 4 << 20)
-        parts, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate(parts)
-            parts.clear()
-            at = np.flatnonzero(ids[1:] != BEGIN)
-            order, first = firsts(keys := pair_keys(ids[at], ids[at + 1]))
-            n, keys, at = np.diff(first, append=len(order)), keys[order[first]], at[order[first]]
-            h, w = ids[at], ids[at + 1]
-            for b, mine in dealt(home_of(w, h, keys, buckets), buckets):
-                if out.add((b, 1, planes(h[mine]), planes(w[mine]), planes(n[mine]), None), 16 * len(mine)):
-                    yield out.batch()
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                parts.append(ids.of(tokens_of(text)))
-                size += len(parts[-1]) - 1
-                if size > 2_000_000:
-                    yield from flush()
-                    size = 0
-        if parts:
+                    counts = Counter(dict(counts.most_common(2 * hot)))
+        top = [(w, c) for w, c in counts.most_common(2 * hot) if len(w) <= LONGEST and c > 1]
+        words, times = zip(*top, (None, n), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], schema=schema)
+
+    found = docs.select("text").mapInArrow(run, ddl).groupBy("word").agg(F.sum("n").alias("n"))
+    rows = found.orderBy(F.col("word").isNotNull(), F.col("n").desc(), "word").limit(hot + 1).collect()  # a bounded number; the total comes first
+    return [(bytes(r.word), r.n) for r in rows if r.word is not None], sum(r.n for r in rows if r.word is None)
+
+
+def trigrams(rows: Iterable, model: Model, part: int, chunk_tokens: int, shared: int) -> Iterator[tuple[int, tuple]]:
+    """(partition, piece) of each chunk's distinct trigrams with the documents that hold them, and the chunk's documents."""
+    names = Ids(model.numbers)
+    ids, training, texts, size, chunk = [], [], [], 0, part << 32
+
+    def flush() -> Iterator[tuple[int, tuple]]:
+        lengths = np.array([len(t) for t in texts])
+        every, doc = np.concatenate(texts), np.repeat(np.arange(len(texts), dtype=np.uint32), lengths)
+        starts = np.ones(len(every), bool)
+        ends = np.cumsum(lengths)
+        starts[ends - 1] = starts[ends - 2] = False
+        at = np.flatnonzero(starts)
+        g, h, w, doc = every[at], every[at + 1], every[at + 2], doc[at]
+        spot = model.spot(g, h)
+        order = np.lexsort((w, g, spot))  # documents stay in order
+        g, h, w, doc, spot = g[order], h[order], w[order], doc[order], spot[order]
+        new = np.append(True, (spot[1:] != spot[:-1]) | (g[1:] != g[:-1]) | (w[1:] != w[:-1]) | (h[1:] != h[:-1]))
+        first = np.flatnonzero(new)
+        seen = np.add.reduceat(np.array(training)[doc].astype(np.uint32), first, dtype=np.uint32)
+        owner = np.flatnonzero(new | np.append(True, doc[1:] != doc[:-1]))
+        times = np.diff(np.append(owner, len(doc))).astype(np.uint32)
+        holders = np.diff(np.append(np.flatnonzero(new[owner]), len(owner))).astype(np.uint32)
+        owner = doc[owner]
+        cuts = np.searchsorted(bucket_of(spot[first], model.buckets), np.arange(model.buckets + 1))
+        ends = np.append(0, np.cumsum(holders, dtype=np.int64))
+        kept = {}
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = slice(cuts[b], cuts[b + 1])
+            f, runs = first[mine], holders[mine]
+            change = np.flatnonzero(np.append(True, h[f][1:] != h[f][:-1]))
+            many = np.repeat(runs > shared, runs)
+            who, n = owner[ends[cuts[b]] : ends[cuts[b + 1]]], times[ends[cuts[b]] : ends[cuts[b + 1]]]
+            if many.any():
+                kept[b] = pack(runs[runs > shared]), pack(who[many]), pack(n[many])
+            body = (pack(h[f][change]), pack(np.diff(np.append(change, len(f))).astype(np.uint32)), pack(g[f]), pack(w[f]), pack(seen[mine]), pack(runs), pack(who[~many]), pack(n[~many]))
+            yield b, ("trigrams", chunk, *body)
+        mask = np.array([i is None for i in ids])
+        yield chunk % model.buckets, ("documents", chunk, np.array([i or 0 for i in ids], np.int64), mask, lengths - 2, kept)
+
+    for key, text, learn in rows:
+        ids.append(key)
+        training.append(learn)
+        texts.append(names.of(bytes(text)))
+        size += len(texts[-1])
+        if size >= chunk_tokens:
             yield from flush()
-        yield from out.rest()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, out = shipped.value, Rows(schema, 4 << 20)
-        current, pending, names, times = None, [], [], []
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            if not pending:
-                return
-            h, w, n = fold(pending)
-            order = np.argsort(word := np.concatenate([*names, np.zeros(1, np.uint64)]))
-            known = np.concatenate([*times, np.zeros(1, np.int64)])[order]
-            hot = w < TOP
-            second = np.where(hot, m.counts[np.where(hot, w, END).astype(np.int64)], known[np.minimum(np.searchsorted(word[order], w), len(known) - 1)])
-            for at in range(0, len(h), 500_000):
-                mine = slice(at, at + 500_000)
-                if out.add((current, 1, planes(h[mine]), planes(w[mine]), planes(n[mine]), planes(second[mine])), 32 * len(h[mine])):
-                    yield out.batch()
-
-        for batch in batches:
-            for bucket, kind, h, w, n in rows_of(batch, "bucket", "kind", "h", "w", "counts"):
-                if bucket != current:
-                    yield from finish()
-                    current, pending, names, times = bucket, [], [], []
-                if kind == 0:
-                    names.append(from_planes(h, np.uint64))
-                    times.append(from_planes(n, np.int64))
-                    continue
-                pending.append((from_planes(h, np.uint64), from_planes(w, np.uint64), from_planes(n, np.int64)))
-                if sum(len(p[0]) for p in pending[1:]) > 1_000_000:
-                    pending = [fold(pending)]
-        yield from finish()
-        yield from out.rest()
-
-    own = docs.select(text_bytes(text_col).alias("text")).mapInArrow(collect, TABLES)
-    return rare.unionByName(own).repartition(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(merge, TABLES)
-
-
-def weigh_hot(pairs: DataFrame, model: Model) -> Model:
-    """Discounts, then the factor and backoff weight of each hot context, by sums over the partitioned table."""
-
-    def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for (counts,) in rows_of(batch, "counts"):
-                n = np.bincount(np.minimum(from_planes(counts, np.int64), GOOD_TURING + 2), minlength=GOOD_TURING + 2)[1 : GOOD_TURING + 2]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, GOOD_TURING + 2)), pa.array(n)], names=["r", "n"])
-
-    model.d = discounts({x.r: x.n for x in pairs.select("counts").mapInArrow(ones, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()})
-    shipped = pairs.sparkSession.sparkContext.broadcast(model)
-    size = len(model.counts)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, high, low = shipped.value, np.zeros(size), np.zeros(size)
-        for batch in batches:
-            for h, counts, known in rows_of(batch, "h", "counts", "known"):
-                hot = (h := from_planes(h, np.uint64)) < TOP
-                context, c = h[hot].astype(np.int64), from_planes(counts, np.int64)[hot]
-                high += np.bincount(context, m.d[np.minimum(c, GOOD_TURING + 1)] * c / m.counts[context], size)
-                low += np.bincount(context, m.lower(from_planes(known, np.int64)[hot]), size)
-        seen = np.flatnonzero(high)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(high[seen]), pa.array(low[seen])], names=["h", "high", "low"])
-
-    found = pairs.select("h", "counts", "known").mapInArrow(sums, "h long, high double, low double").groupBy("h").agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
-    model.factor, model.backoff = np.ones(size), np.ones(size)
-    rows = found.collect()  # a row for each hot word at most
-    at = np.array([r.h for r in rows], np.int64)
-    model.factor[at], model.backoff[at] = model.weights(model.counts[at], np.array([r.high for r in rows]), np.array([r.low for r in rows]))
-    return model
-
-
-def pairs_home(pairs: DataFrame, buckets: int) -> DataFrame:
-    """The table of bigrams as ``TABLES``, dealt to the partitions where they are looked up."""
-    schema = out_schema(TABLES)
+            ids, training, texts, size, chunk = [], [], [], 0, chunk + 1
+    if ids:
+        yield from flush()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(schema, 4 << 20)
-        for batch in batches:
-            for row in rows_of(batch, "h", "w", "counts", "known"):
-                h, w = (from_planes(x, np.uint64) for x in row[:2])
-                n, known = (from_planes(x, np.int64) for x in row[2:])
-                known = np.where((h & w) >= TOP, known, 0)  # told where only one word is rare
-                for b, mine in dealt(home_of(h, w, pair_keys(h, w), buckets), buckets):
-                    if out.add((b, 1, *(planes(x[mine]) for x in (h, w, n, known))), 32 * len(mine)):
-                        yield out.batch()
-        yield from out.rest()
 
-    return pairs.select("h", "w", "counts", "known").mapInArrow(run, TABLES)
+def by_bucket(rows: Iterable[tuple[int, tuple]]) -> Iterator[tuple[int, dict[str, list[tuple]]]]:
+    """The rows of each bucket by their kind. A partition holds one bucket where there are as many partitions as buckets."""
+    found: dict[int, dict[str, list[tuple]]] = defaultdict(lambda: defaultdict(list))
+    for bucket, row in rows:
+        found[bucket][row[0]].append(row[1:])
+    for bucket in sorted(found):
+        yield bucket, found.pop(bucket)
 
 
 class Shelf:
-    """A partition's rare words, with the weights they have as contexts, and its bigrams, which come packed."""
-
-    def __init__(self, m: Model, words: list[tuple], pairs: list[tuple]):
-        self.m = m
-        names, times = (np.concatenate(x) for x in zip(*words, (np.array([~np.uint64(0)]), np.zeros(1, np.int64)), strict=True))
-        order = np.argsort(names)
-        self.names, self.times = names[order], times[order]
-        high, low, n = np.zeros(len(names)), np.zeros(len(names)), 0
-        for h, _, _, seen, p in self.blocks(pairs):
-            n += len(h)
-            at = np.searchsorted(self.names, h[h >= TOP])
-            np.add.at(high, at, seen[h >= TOP])
-            np.add.at(low, at, p[h >= TOP])
-        factor, a = m.weights(np.maximum(self.times, 1), high, low)
-        a[high == 0] = 1.0
-        self.log_a = np.log10(a)
-        self.keys, self.gain, n = np.full(n + 1, ~np.uint64(0)), np.zeros(n + 1), 0
-        for h, w, context, seen, p in self.blocks(pairs):
-            f, back = m.factor[context], m.backoff[context]
-            at = np.searchsorted(self.names, h[h >= TOP])
-            f[h >= TOP], back[h >= TOP] = factor[at], a[at]
-            self.keys[n : n + len(h)], self.gain[n : n + len(h)] = pair_keys(h, w), np.log10(f * seen / (back * p))
-            n += len(h)
-        pairs.clear()
-        order = np.argsort(self.keys)
-        self.keys, self.gain = self.keys[order], self.gain[order]
-
-    def blocks(self, pairs: list[tuple]) -> Iterator[tuple]:
-        """Pieces of the bigrams: context, word, number of a hot context, d(c) c(hw) / c(h), P(w)."""
-        for pair in pairs:
-            h, w, c, known = (from_planes(x, kind) for x, kind in zip(pair, (np.uint64, np.uint64, np.int64, np.int64), strict=True))
-            context, second = (np.where(x < TOP, x, END).astype(np.int64) for x in (h, w))
-            count = self.m.counts[context]
-            count[h >= TOP] = self.times[np.searchsorted(self.names, h[h >= TOP])]
-            known = np.where(w < TOP, self.m.counts[second], known)
-            mine = (w >= TOP) & (h < TOP)
-            known[mine] = self.times[np.searchsorted(self.names, w[mine])]
-            yield h, w, context, self.m.d[np.minimum(c, GOOD_TURING + 1)] * c / count, self.m.lower(known)
-
-    def gains(self, keys: np.ndarray) -> np.ndarray:
-        """log P(w | h) - log a(h) P(w) of bigrams, 0 of those not seen."""
-        at = np.searchsorted(self.keys, keys)
-        return np.where(self.keys[at] == keys, self.gain[at], 0.0)
-
-    def words(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log P(w), log a(w) and whether it is known, of rare words."""
-        at = np.searchsorted(self.names, names)
-        there = self.names[at] == names
-        c = np.where(there, self.times[at], 0)
-        return self.m.base(c), np.where(there, self.log_a[at], 0.0), (c > 0).astype(np.int64)
-
-
-#: kind 0: rare words of the model; 1: bigrams of the model; 2: a chunk's bigrams of hot words; 3: its rare words with the
-#: word before, where this is hot, and the word after; 4: a chunk's documents.
-WORK = "bucket int, kind int, chunk long, a binary, b binary, c binary, d binary, e binary"
-SUMS = "chunk long, kind int, a binary, b binary, c binary, d binary"
-SCORES = "id long, n_tokens long, n_known long, base_score double, score double"
-
-
-def score(docs: DataFrame, rare: DataFrame, pairs: DataFrame, model: Model, buckets: int, *, id_col: str, text_col: str, chunk_tokens: int = 1_000_000) -> DataFrame:
-    """``SCORES`` for each row."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    work_schema, sums_schema, scores_schema = out_schema(WORK), out_schema(SUMS), out_schema(SCORES)
-
-    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, out = shipped.value, Rows(work_schema, 8 << 20)
-        chunk, names = TaskContext.get().partitionId() << 32, Ids(m.classes)
-        hot_base, hot_a = m.base(m.counts.astype(np.float64)), np.log10(m.backoff)
-        hot_base[RARE] = hot_a[RARE] = 0.0  # looked up
-        ids, texts = [], []
-
-        def flush() -> list[tuple]:
-            lengths = np.array([len(t) - 2 for t in texts])
-            every, doc = np.concatenate(texts), np.repeat(np.arange(len(texts)), lengths + 2)
-            hot = every < TOP
-            word = np.where(hot, every, RARE).astype(np.int64)
-            token, context = every != BEGIN, every != END
-            base = np.bincount(doc, hot_base[word] * token, len(texts))
-            a = np.bincount(doc, hot_a[word] * context, len(texts))
-            known = np.bincount(doc, hot & token & (m.counts[word] > 0), len(texts)).astype(np.int64)
-            mask = np.array([i is None for i in ids])
-            rows = [(chunk % buckets, 4, chunk, np.array([i or 0 for i in ids], np.int64).tobytes(), mask.tobytes(), (lengths + 1).tobytes(), base.tobytes() + a.tobytes(), known.tobytes())]
-
-            def owners(at: np.ndarray) -> bytes:
-                return packed(np.stack(np.unique(doc[at], return_counts=True)).astype(np.uint32))
-
-            at = np.flatnonzero(hot[:-1] & hot[1:] & token[1:])
-            keys = pair_keys(every[at], every[at + 1])
-            for b, mine in dealt(bucket_of(keys, buckets), buckets):
-                rows.append((b, 2, chunk, planes(keys[mine]), owners(at[mine]), None, None, None))
-            at = np.flatnonzero(~hot)
-            for b, mine in dealt(bucket_of(every[at], buckets), buckets):
-                mine = at[mine]
-                rows.append((b, 3, chunk, planes(every[mine]), owners(mine), planes(np.where(hot[mine - 1], every[mine - 1], END)), planes(every[mine + 1]), None))
-            return rows
-
-        size = 0
-        for batch in batches:
-            for key, text in rows_of(batch, "id", "text"):
-                ids.append(key)
-                texts.append(names.of(tokens_of(text)))
-                size += len(texts[-1]) - 1
-                if size >= chunk_tokens:
-                    for row in flush():
-                        if out.add(row, sum(len(x or b"") for x in row[3:])):
-                            yield out.batch()
-                    chunk, size, ids, texts = chunk + 1, 0, [], []
-        if ids:
-            for row in flush():
-                if out.add(row, sum(len(x or b"") for x in row[3:])):
-                    yield out.batch()
-        yield from out.rest()
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, out = shipped.value, Rows(sums_schema, 8 << 20)
-        current, shelf, words, pairs = None, None, [], []
-        for batch in batches:
-            for bucket, kind, chunk, a, b, c, d, e in rows_of(batch, "bucket", "kind", "chunk", "a", "b", "c", "d", "e"):
-                if bucket != current:
-                    current, shelf, words, pairs = bucket, None, [], []
-                if kind == 0:
-                    words.append((from_planes(a, np.uint64), from_planes(c, np.int64)))
-                elif kind == 1:
-                    pairs.append((a, b, c, d))
-                elif kind in (2, 3):
-                    if shelf is None:
-                        shelf = Shelf(m, words, pairs)
-                        words = []
-                    asked, (who, n) = from_planes(a, np.uint64), unpacked(b, np.uint32).reshape(2, -1).astype(np.int64)
-                    if kind == 2:
-                        values = (shelf.gains(asked),)
-                    else:
-                        lower, log_a, known = shelf.words(asked)
-                        before, after = from_planes(c, np.uint64), from_planes(d, np.uint64)  # no bigram begins with the end
-                        values = lower, log_a + shelf.gains(pair_keys(before, asked)) + shelf.gains(pair_keys(asked, after)), known
-                    sums = [np.add.reduceat(x, np.cumsum(n) - n).tobytes() for x in values]
-                    if out.add((chunk, kind - 1, who.astype(np.uint32).tobytes(), *sums, *[None] * (3 - len(sums))), 28 * len(who)):
-                        yield out.batch()
-                elif out.add((chunk, 0, a, b + c, d, e), 32 * len(b)):
-                    yield out.batch()
-        yield from out.rest()
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = None, None
-
-        def done() -> pa.RecordBatch:
-            ids, mask, length, known, base, above = state
-            return pa.RecordBatch.from_arrays([pa.array(ids, mask=mask), pa.array(length), pa.array(known), pa.array(base), pa.array(base + above)], schema=scores_schema)
-
-        for batch in batches:
-            for chunk, kind, a, b, c, d in rows_of(batch, "chunk", "kind", "a", "b", "c", "d"):
-                if chunk != current:
-                    if state:
-                        yield done()
-                    current, state = chunk, None
-                if kind == 0:
-                    ids = np.frombuffer(a, np.int64)
-                    mask = np.frombuffer(b[: len(ids)], bool)
-                    base, above = np.frombuffer(c, np.float64).reshape(2, -1).copy()
-                    state = [ids, mask, np.frombuffer(b[len(ids) :], np.int64), np.frombuffer(d, np.int64).copy(), base, above]
-                    continue
-                who = np.frombuffer(a, np.uint32)
-                if kind == 1:
-                    state[5][who] += np.frombuffer(b, np.float64)
-                else:
-                    state[4][who] += np.frombuffer(b, np.float64)
-                    state[5][who] += np.frombuffer(c, np.float64)
-                    state[3][who] += np.frombuffer(d, np.int64)
-        if state:
-            yield done()
-
-    tables = rare.withColumn("bucket", F.col("bucket") % buckets).unionByName(pairs_home(pairs, buckets))
-    tables = tables.select("bucket", "kind", F.lit(None).cast("long").alias("chunk"), F.col("h").alias("a"), F.col("w").alias("b"), F.col("counts").alias("c"), F.col("known").alias("d"), F.lit(None).cast("binary").alias("e"))
-    asked = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")).mapInArrow(of_docs, WORK)
-    sums = tables.unionByName(asked).repartition(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(look_up, SUMS)
-    return sums.repartition(F.col("chunk")).sortWithinPartitions("chunk", "kind").mapInArrow(add_up, SCORES)
-
-
-def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 32_000, bucket_tokens: int = 4_000_000) -> DataFrame:
+    """The distinct trigrams of a bucket with their training counts (0 for those in texts that are only scored)."""
+
+    def __init__(self, model: Model, pieces: list[tuple]):
+        self.m, parts = model, []
+        self.pieces = sorted(pieces)
+        for _, h, runs, g, w, seen, *_ in self.pieces:
+            parts.append((unpack(g, np.uint64), np.repeat(unpack(h, np.uint64), unpack(runs, np.uint32)), unpack(w, np.uint64), unpack(seen, np.uint32)))
+        g, h, w, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.sizes = [len(p[0]) for p in parts]
+        del parts
+        _, first, self.row = np.unique(mix(mix(g, h), w), return_index=True, return_inverse=True)
+        self.c = np.bincount(self.row, seen, len(first)).astype(np.int64)
+        self.g, self.h, self.w = g[first], h[first], w[first]
+        self.words, at, self.word = np.unique(self.h, return_index=True, return_inverse=True)
+        self.heads = np.bincount(self.word, self.c).astype(np.int64)
+        _, at, self.pair = np.unique(mix(self.h, self.w), return_index=True, return_inverse=True)
+        self.pairs = np.bincount(self.pair, self.c).astype(np.int64)
+        self.pair_h, self.pair_w, self.pair_word = self.h[at], self.w[at], self.word[at]
+        self.pair_split = np.flatnonzero(model.split(self.pair_h) > 1)
+
+    def rare_last(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words without numbers that are last in a trigram, and the buckets where they are counted."""
+        rare = np.unique(self.pair_w[self.pair_w >= TOP])
+        return rare, bucket_of(self.m.spot(rare, rare), self.m.buckets)
+
+    def split_homes(self) -> np.ndarray:
+        """Where counts of the pairs of split words are added up: with the last word's count, where it has no number."""
+        h, w = self.pair_h[self.pair_split], self.pair_w[self.pair_split]
+        return bucket_of(np.where(w >= TOP, self.m.spot(w, w), scramble(mix(h, w))), self.m.buckets)
+
+    def asks(self, bucket: int) -> Iterator[tuple[int, tuple]]:
+        rare, home = self.rare_last()
+        order = np.argsort(home, kind="stable")
+        cuts = np.searchsorted(home[order], np.arange(self.m.buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            yield b, ("ask", bucket, pack(rare[order[cuts[b] : cuts[b + 1]]]))
+        home = self.split_homes()
+        for b in np.unique(home).tolist():
+            mine = self.pair_split[home == b]
+            yield b, ("pairs", bucket, pack(self.pair_h[mine]), pack(self.pair_w[mine]), pack(self.pairs[mine]))
+        mine = (self.words >= TOP) & (self.heads > 0)
+        yield bucket, ("own", pack(self.words[mine]), pack(self.heads[mine]))
+        hot = (self.words < TOP) & (self.heads > 0)
+        whole = np.ones(len(self.pairs), bool)
+        whole[self.pair_split] = False
+        ends = self.c[self.w == END].sum()
+        facts = counts_of_counts(self.c), counts_of_counts(self.pairs[whole]), int(mine.sum()), int(self.heads[self.words != BEGIN].sum() + ends), int(ends)
+        yield bucket, ("facts", facts, self.words[hot].astype(np.int64), self.heads[hot])
+
+    def weigh(self, counts: list[tuple], totals: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each trigram: log P(w | g h), log of the base estimate of its middle word, and whether this is known."""
+        m = self.m
+        rare, home = self.rare_last()
+        known = np.zeros(len(rare), np.int64)
+        for b, c in counts:
+            known[home == b] = unpack(c, np.int64)
+        last = np.where(self.pair_w < TOP, m.count[np.where(self.pair_w < TOP, self.pair_w, END).astype(np.int64)], 0)
+        last[self.pair_w >= TOP] = known[np.searchsorted(rare, self.pair_w[self.pair_w >= TOP])]
+        home = self.split_homes()
+        for b, c in totals:
+            self.pairs[self.pair_split[home == b]] = unpack(c, np.int64)
+        hot = self.words < TOP
+        number = np.where(hot, self.words, BEGIN).astype(np.int64)
+        heads = np.where(hot, m.count[number], self.heads)
+        p1 = m.lower(last)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(self.pairs > 0, m.d2[np.minimum(self.pairs, GOOD_TURING + 1)] * self.pairs / heads[self.pair_word], 0.0)
+        factor, back = weights(heads, np.bincount(self.pair_word, ratio, len(heads)), np.bincount(self.pair_word, p1 * (self.pairs > 0), len(heads)), m.lower(0))
+        split = hot & (m.cells[number] > 1)
+        factor[split], back[split] = m.factor[number[split]], m.backoff[number[split]]
+        p2 = np.where(self.pairs > 0, factor[self.pair_word] * ratio, back[self.pair_word] * p1)
+        _, context = np.unique(mix(self.g, self.h), return_inverse=True)
+        times = np.bincount(context, self.c)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(self.c > 0, m.d3[np.minimum(self.c, GOOD_TURING + 1)] * self.c / times[context], 0.0)
+        p2 = p2[self.pair]
+        factor, back = weights(times, np.bincount(context, ratio), np.bincount(context, p2 * (self.c > 0)), 1e-300)
+        score = np.log10(np.where(self.c > 0, factor[context] * ratio, back[context] * p2))
+        begin = self.words == BEGIN
+        base, there = np.where(begin, 0.0, np.log10(m.lower(heads))), np.where(begin, 0, heads > 0)
+        return score, base[self.word], there[self.word].astype(np.int64)
+
+    def sums(self, bucket: int, counts: list[tuple], totals: list[tuple], shared: int) -> Iterator[tuple[int, tuple]]:
+        """(chunk, sums by document), and the values of trigrams that came without documents."""
+        values, at = self.weigh(counts, totals), 0
+        for piece, size in zip(self.pieces, self.sizes, strict=True):
+            chunk, runs, who, n = piece[0], *(unpack(x, np.uint32) for x in piece[6:])
+            row = self.row[at : at + size]
+            at += size
+            many = runs > shared
+            if many.any():
+                yield chunk, ("values", bucket, *(x[row[many]] for x in values))
+            if len(who):
+                docs, inverse = np.unique(who, return_inverse=True)
+                which = np.repeat(row[~many], runs[~many])
+                yield chunk, ("sums", docs, *(np.bincount(inverse, x[which] * n) for x in values))
+
+
+def replies(model: Model, bucket: int, rows: dict[str, list[tuple]]) -> Iterator[tuple[int, tuple]]:
+    """Counts of the words that are asked for, counts of the pairs of split words over all their cells, and sums of these pairs."""
+    parts = [(unpack(w, np.uint64), unpack(c, np.int64)) for w, c in rows["own"]] + [(np.array([~np.uint64(0)]), np.zeros(1, np.int64))]
+    names, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(names)
+    names, times = names[order], times[order]
+
+    def count(words: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(names, words)
+        return np.where(names[at] == words, times[at], 0)
+
+    for source, words in rows["ask"]:
+        yield source, ("counts", bucket, pack(count(unpack(words, np.uint64))))
+    if rows["pairs"]:
+        sources = sorted(rows["pairs"])
+        h, w, c = (np.concatenate(x) for x in zip(*((unpack(a, np.uint64), unpack(b, np.uint64), unpack(n, np.int64)) for _, a, b, n in sources), strict=True))
+        _, first, at = np.unique(mix(h, w), return_index=True, return_inverse=True)
+        total = np.bincount(at, c).astype(np.int64)
+        start = 0
+        for source, a, _, _ in sources:
+            size = len(unpack(a, np.uint64))
+            yield source, ("totals", bucket, pack(total[at[start : start + size]]))
+            start += size
+        h, w = h[first][total > 0].astype(np.int64), w[first][total > 0]
+        total = total[total > 0]
+        last = np.where(w < TOP, model.count[np.where(w < TOP, w, END).astype(np.int64)], count(w))
+        for word in np.unique(h).tolist():
+            mine = h == word
+            classes = np.bincount(np.minimum(total[mine], GOOD_TURING + 1), total[mine], GOOD_TURING + 2)
+            yield bucket, ("split", word, counts_of_counts(total[mine]), classes, float(model.lower(last[mine]).sum()))
+
+
+def add_up(rows: Iterable[tuple[int, tuple]], end: tuple[float, float, int]) -> Iterator[tuple]:
+    """Rows of ``SCORES`` from the sums of each chunk."""
+    for _, found in by_bucket(rows):
+        ids, mask, tokens, kept = found["documents"][0]
+        total = [np.zeros(len(ids)), np.full(len(ids), end[0]), np.full(len(ids), float(end[1]))]
+        for docs, *sums in found["sums"]:
+            for x, s in zip(total, sums, strict=True):
+                x[docs] += s
+        for bucket, *values in found["values"]:
+            runs, who, n = (unpack(x, np.uint32) for x in kept[bucket])
+            for x, v in zip(total, values, strict=True):
+                np.add.at(x, who, np.repeat(v, runs) * n)
+        score, base, known = total
+        for i in range(len(ids)):
+            yield None if mask[i] else int(ids[i]), int(tokens[i]), int(known[i]), float(base[i]), float(score[i])
+
+
+def fit_and_sum(docs: DataFrame, model: Model, *, chunk_tokens: int, shared: int):
+    """The fitted model, and an RDD of (chunk, sums) over one shuffle of the trigrams."""
+    sc = docs.sparkSession.sparkContext
+    buckets = model.buckets
+    same = int  # partitions by bucket: the shuffles below share it, so they meet without another one
+    first = sc.broadcast(model)
+    work = docs.rdd.mapPartitionsWithIndex(lambda k, rows: trigrams(rows, first.value, k, chunk_tokens, shared)).partitionBy(buckets, same)
+
+    def ask(rows):
+        for bucket, kinds in by_bucket(rows):
+            if kinds["trigrams"]:
+                yield from Shelf(first.value, kinds["trigrams"]).asks(bucket)
+
+    asked = work.mapPartitions(ask).partitionBy(buckets, same)
+    size = len(model.cells)
+
+    def facts(rows):
+        ones3, ones2, rare, n, ends, count = 0, 0, 0, 0, 0, np.zeros(size, np.int64)
+        for _, row in rows:
+            if row[0] == "facts":
+                (o3, o2, v, tokens, last), words, c = row[1:]
+                ones3, ones2, rare, n, ends = ones3 + o3, ones2 + o2, rare + v, n + tokens, ends + last
+                count[words] += c
+        yield ones3, ones2, rare, n, ends, count
+
+    ones3, ones2, rare, n, ends, count = asked.mapPartitions(facts).treeReduce(lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True)))
+    count[END] = ends
+    model.count, model.n, model.v = count, int(n), int(rare + (count[WORDS:] > 0).sum() + (ends > 0))
+    counted = sc.broadcast(model)
+
+    def reply(rows):
+        for bucket, kinds in by_bucket(rows):
+            yield from replies(counted.value, bucket, kinds)
+
+    told = asked.mapPartitions(reply).partitionBy(buckets, same)
+    model.factor, model.backoff = np.ones(size), np.ones(size)
+    split: dict[int, list] = {}
+    if (model.cells > 1).any():
+        add = lambda a, b: [x + y for x, y in zip(a, b, strict=True)]
+        found = told.filter(lambda row: row[1][0] == "split").map(lambda row: (row[1][1], list(row[1][2:]))).reduceByKey(add)
+        split = dict(found.collect())  # a row for each split word
+    none = np.zeros(GOOD_TURING + 2, np.int64)
+    ones2 = ones2 + sum((x[0] for x in split.values()), none)
+    model.d2, model.d3 = discounts(ones2 + none), discounts(ones3 + none)
+    for word, (_, classes, low) in split.items():
+        c = model.count[word : word + 1]
+        factor, backoff = weights(c, np.array([(model.d2 * classes).sum() / c[0]]), np.array([low]), model.lower(0))
+        model.factor[word], model.backoff[word] = factor[0], backoff[0]
+    fitted = sc.broadcast(model)
+
+    def score(rows):
+        for bucket, kinds in by_bucket(rows):
+            for row in kinds["documents"]:
+                yield row[0], ("documents", *row[1:])
+            if kinds["trigrams"]:
+                yield from Shelf(fitted.value, kinds["trigrams"]).sums(bucket, kinds["counts"], kinds["totals"], shared)
+
+    return model, work.union(told).mapPartitions(score)
+
+
+def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 32_000, bucket_tokens: int = 4_000_000, chunk_tokens: int = 1_000_000, shared: int = 64) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score, train_tokens) for each row; the model is learnt from the rows of ``training``.
 
     Scores are log10 probabilities of whole texts, the end included. Null and empty texts are the end alone. Null and
-    repeated ids are scored row by row; without training rows every word is unknown. ``hot`` changes no score. Other columns are ignored;
+    repeated ids are scored row by row; without training rows every word is unknown. ``hot``, ``shared`` (documents of a
+    chunk that go along with a trigram) and the sizes of buckets and chunks change no score. Other columns are ignored;
     an empty table gives no rows.
     """
-    if hot > (1 << SHIFT) - WORDS:
-        raise ValueError("too many classes for a key")
     spark = docs.sparkSession
-    learn = docs.where(training)
-    words = saved(count_words(learn, text_col), "words")
-    model = choose_classes(words, hot)
-    buckets = max(16, -(-model.n // bucket_tokens))
-    shipped = spark.sparkContext.broadcast(model)
-    # bigrams are merged in four times as many partitions, a multiple, as the rows to merge take more memory
-    rare = saved(rare_words(words, shipped, 4 * buckets), "rare")
-    discard(words)
-    pairs = saved(count_pairs(learn, text_col, rare, shipped, 4 * buckets), "pairs")
-    gc.collect()  # frames in cycles hold shuffles, whose files Spark removes once nothing refers to them
-    spark.sparkContext._jvm.System.gc()
-    model = weigh_hot(pairs, model)
-    return score(docs, rare, pairs, model, buckets, id_col=id_col, text_col=text_col).withColumn("train_tokens", F.lit(model.n).cast("long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"), training.alias("learn"))
+    words, n = frequent_words(rows, hot)
+    buckets = max(16, -(-n // bucket_tokens))
+    cells = np.array([1, 1, *(-(-4 * c // bucket_tokens) for _, c in words)], np.int64)
+    model = Model({w: i for i, (w, _) in enumerate(words, WORDS)}, cells, buckets)
+    model, sums = fit_and_sum(rows, model, chunk_tokens=chunk_tokens, shared=shared)
+    end = float(np.log10(model.lower(int(model.count[END]))))
+    found = sums.partitionBy(buckets).mapPartitions(lambda rows, end=(end, model.count[END] > 0): add_up(rows, end))
+    return spark.createDataFrame(found, SCORES, verifySchema=False).withColumn("train_tokens", F.lit(model.n).cast("long"))
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

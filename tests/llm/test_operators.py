@@ -193,83 +193,71 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(docs(spark), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
-def test_katz_is_normalised(spark):
-    rng = np.random.RandomState(3)
-    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.6, 40) if x < 60)) for i in range(80)] + [(500, None), (501, ""), (None, "w1 w2")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    train = [(i, t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10]
-    split = lambda t: [*(t or "").encode().lower().split(), None]
-    counts = Counter(w for _, t in train for w in split(t))
-    n, v = sum(counts.values()), len(counts)
-    got = katz.score_documents(df, katz.in_training("doc_id"), hot=12, bucket_tokens=100).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        text = next(t for i, t in rows if i == r.id)
-        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in split(text))
-        assert r.n_tokens == len(split(text)) and r.n_known == sum(counts[w] > 0 for w in split(text)) and r.train_tokens == n and abs(r.base_score - base) < 1e-6
-    # every context's probabilities over the classes sum to one, and so do those of the rare words
-    learn = df.where(katz.in_training("doc_id"))
-    table = katz.count_words(learn, "text")
-    model = katz.choose_classes(table, 12)
-    bigrams = katz.count_bigrams(learn, "text", spark.sparkContext.broadcast(model), 16)
-    model = katz.weigh(bigrams, model)
-    parts = [(np.cumsum(katz.unpacked(r.steps, np.uint32), dtype=np.uint32), katz.unpacked(r.counts, np.int64)) for r in bigrams.collect()]
-    keys, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-    assert times.sum() == n and len(set(keys.tolist())) == len(keys)
-    for h in range(len(model.counts)):
-        mine = keys >> np.uint32(katz.SHIFT) == h
-        nexts = (keys[mine] & np.uint32((1 << katz.SHIFT) - 1)).astype(int)
-        seen = (model.seen(keys[mine], times[mine]) * model.factor[h]).sum()
-        assert abs(seen + model.backoff[h] * np.delete(model.p, nexts).sum() - 1) < 1e-9
-    rare = np.array([c for w, c in counts.items() if w and w not in model.classes])
-    assert len(rare) == model.rare_v and abs((10 ** model.among_rare(np.append(rare, 0))).sum() - 1) < 1e-9
-
-
 def katz_scores(texts, train):
-    """log10 P of each text by a bigram model over all words of ``train``, in plain Python."""
-    split = lambda t: [*(t or "").encode().lower().split(), "end"]
-    words, pairs = Counter(), Counter()
+    """log10 P of each text by a trigram model over all words of ``train``, in plain Python: the recursion as it is defined."""
+    split = lambda t: ["begin", "begin", *(t or "").encode().lower().split(), "end"]
+    words, pairs, threes = Counter(), Counter(), Counter()
     for t in train:
-        words.update(split(t))
-        pairs.update(zip(["begin", *split(t)], split(t), strict=False))
+        s = split(t)
+        words.update(s[2:])
+        pairs.update(zip(s[1:], s[2:], strict=False))
+        threes.update(zip(s, s[1:], s[2:], strict=False))
     n, v = words.total(), len(words)
-    d, lower = katz.discounts(Counter(pairs.values())), lambda w: (words[w] + 0.1) / (n + 0.1 * (v + 1))
-    times = Counter({**words, "begin": len(train)})
-    high, low, factor = Counter(), Counter(), {}
-    for (h, w), c in pairs.items():
-        high[h] += d[min(c, 6)] * c / times[h]
-        low[h] += lower(w)
-    for h in high:
-        factor[h] = times[h] / (times[h] + 1) if 1 - high[h] < 1e-9 else 1.0
-
-    def p(h, w):
-        if c := pairs[h, w]:
-            return factor[h] * d[min(c, 6)] * c / times[h]
-        return lower(w) * ((1 - factor[h] * high[h]) / (1 - low[h]) if h in factor else 1.0)
-
-    for h in [*high, "unknown"]:
-        assert abs(sum(p(h, w) for w in words) + p(h, "unknown") - 1) < 1e-9
-    return [sum(math.log10(p(h, w)) for h, w in zip(["begin", *split(t)], split(t), strict=False)) for t in texts]
-
-
-@pytest.mark.parametrize("hot", [0, 12, 32_000])
-def test_katz_scores_over_all_words(spark, hot):
+    lower = lambda w: (words[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def level(grams, shorter):
+        """P(w | context) over the n-grams, backing off to ``shorter``."""
+        ones = Counter(grams.values())
+        d, times = katz.discounts([ones[r] for r in range(7)]), Counter()
+        for (*h, _), c in grams.items():
+            times[tuple(h)] += c
+        high, low, factor = Counter(), Counter(), {}
+        for (*h, w), c in grams.items():
+            h = tuple(h)
+            high[h] += d[min(c, 6)] * c / times[h]
+            low[h] += shorter(h[1:], w)
+        for h in high:
+            factor[h] = times[h] / (times[h] + 1) if 1 - high[h] < 1e-9 else 1.0
+
+        def p(h, w):
+            if c := grams[(*h, w)]:
+                return factor[h] * d[min(c, 6)] * c / times[h]
+            return shorter(h[1:], w) * ((1 - factor[h] * high[h]) / (1 - low[h]) if h in factor else 1.0)
+
+        for h in [*high, ("unknown",) * len(h)]:
+            assert abs(sum(p(h, w) for w in words) + p(h, "unknown") - 1) < 1e-9
+        return p
+
+    p3 = level(threes, level(pairs, lambda _, w: lower(w)))
+    return [sum(math.log10(p3((g, h), w)) for g, h, w in zip(s, s[1:], s[2:], strict=False)) for s in map(split, texts)]
+
+
+@pytest.mark.parametrize("options", [{"hot": 0}, {"hot": 12, "shared": 1, "bucket_tokens": 400}, {}])
+def test_katz_scores_over_all_words(spark, options):
     rng = np.random.RandomState(5)
-    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) if x < 900)) for i in range(120)]
-    rows += [(500, None), (501, ""), (502, "rare pair " + "x" * 90), (503, "Rare pair " + "x" * 90), (504, "pair rare"), (502, "rare pair"), (505, "new unknown w1")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
-    want = sorted(zip((i for i, _ in rows), katz_scores([t for _, t in rows], train), strict=True))
-    got = sorted((r.id, r.score) for r in katz.score_documents(df, katz.in_training("doc_id"), hot=hot, bucket_tokens=100).collect())
-    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], rtol=0, atol=1e-9)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 30) if x < 300)) for i in range(100)]
+    rows += [(500, None), (501, ""), (502, "rare pair " + "x" * 90), (503, "Rare pair " + "x" * 90), (504, "pair rare"), (502, "rare pair"), (505, "new unknown w1"), (None, "w1 w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("learn", F.lit("clash")).withColumn("id", F.lit(0))
+    train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10]
+    split = lambda t: [*(t or "").encode().lower().split(), None]
+    counts = Counter(w for t in train for w in split(t))
+    n, v = counts.total(), len(counts)
+    base = lambda t: sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in split(t))
+    want = sorted(((i or 0, len(split(t)), sum(counts[w] > 0 for w in split(t)), n, base(t), s) for (i, t), s in zip(rows, katz_scores([t for _, t in rows], train), strict=True)))
+    got = sorted((r.id or 0, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.score_documents(df, katz.in_training("doc_id"), chunk_tokens=500, **options).collect())
+    assert [g[:4] for g in got] == [w[:4] for w in want] and np.allclose([g[4:] for g in got], [w[4:] for w in want], rtol=0, atol=1e-9)
+
+
+def test_katz_of_nothing(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert katz.score_documents(df, katz.in_training("doc_id")).count() == 0
+    untrained = katz.score_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(False)).first()
+    assert (untrained.n_tokens, untrained.n_known, untrained.train_tokens) == (3, 0, 0)
 
 
-def test_discounts_and_lower_order():
-    d = katz.discounts({1: 100, 2: 40, 3: 20, 4: 12, 5: 8, 6: 5})
+def test_discounts():
+    d = katz.discounts([0, 100, 40, 20, 12, 8, 5])
     assert (d[1:6] > 0).all() and (d[1:6] < 1).all() and d[6] == 1
-    for counts in ([0, 3, 3, 1, 1, 2], [5, 3, 3, 9, 9, 9], [0, 0, 0]):
-        p = katz.lower_order(np.array(counts))
-        assert abs(p.sum() - 1) < 1e-12 and p[katz.BEGIN] == 0 and (np.delete(p, katz.BEGIN) > 0).all()
 
 
 def test_quality(spark):
