@@ -437,7 +437,7 @@ def fit_and_sum(docs: DataFrame, model: Model, *, chunk_tokens: int, shared: int
     return model, work.union(told).mapPartitions(score)
 
 
-def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 32_000, bucket_tokens: int = 4_000_000, chunk_tokens: int = 1_000_000, shared: int = 64) -> DataFrame:
+def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 32_000, bucket_tokens: int = 2_000_000, chunk_tokens: int = 1_000_000, shared: int = 64) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score, train_tokens) for each row; the model is learnt from the rows of ``training``.
 
     Scores are log10 probabilities of whole texts, the end included. Null and empty texts are the end alone. Null and
