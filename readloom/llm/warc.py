@@ -172,9 +172,12 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     return saved(rows.mapInArrow(write, INDEX), "warc-index")
 
 
-def read_archives(index: DataFrame, *, payloads: bool = True) -> DataFrame:
+def read_archives(index: DataFrame, *, payloads: bool = True, task_bytes: int = 16 << 20) -> DataFrame:
     """Every record of the archives that ``index`` names (``RECORDS``), a frame at a time through the seek tables.
 
+    The frames are dealt over as many tasks as ``task_bytes`` of records each ask, neighbours together: the index is small
+    whatever the archives hold, so its own size can't tell.
+
     ``payloads=False`` checks each payload against its digest and leaves the column null. A revisit's payload is that
     of the response it refers to and isn't repeated here.
     """
@@ -193,7 +196,9 @@ def read_archives(index: DataFrame, *, payloads: bool = True) -> DataFrame:
                         yield out.batch()
         yield from out.rest()
 
-    return index.select("archive", "frame").distinct().sortWithinPartitions("archive", "frame").mapInArrow(read, RECORDS)
+    frames = index.select("archive", "frame").distinct()
+    total = index.agg(F.sum("length")).first()[0] or 0
+    return frames.repartitionByRange(1 + total // task_bytes, "archive", "frame").sortWithinPartitions("archive", "frame").mapInArrow(read, RECORDS)
 
 
 def read_record(uri: str, frame: int, offset: int) -> tuple:
