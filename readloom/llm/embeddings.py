@@ -6,6 +6,7 @@ vector's exact quantisation error e and code length c,
     |x.y - (code x).(code y)| <= c(x) e(y) + e(x)
 
 so only pairs whose bound reaches the threshold can be links, and those alone are computed again from the full vectors in double precision.
+Pairs of tiles travel as codes, an eighth of the vectors; full vectors follow only where a pair of tiles holds such a pair.
 Tiles whose projections lie too far apart for any link are never paired. A pair of tiles hands on counts and a star forest of its links, not the links.
 """
 
@@ -25,7 +26,9 @@ from .components import components
 
 PROJECTIONS = 4
 VECTORS = "id long, label string, dim int, digest binary, place double, vector binary"
-TILES = "label string, dim int, tile long, n int, ids binary, copies binary, vectors binary, low array<double>, high array<double>"
+TILES = "label string, dim int, tile long, n int, ids binary, copies binary, vectors binary, codes binary, bounds binary, low array<double>, high array<double>"
+#: The tiles of a label are paired in so many tasks, as a label may hold most tiles.
+DEAL = 16
 FOUND = "id long, links long, root long"
 
 
@@ -70,8 +73,10 @@ def pack(reps: DataFrame, size: int) -> DataFrame:
     def tile(rows: list[tuple], number: int) -> tuple:
         label, dim = rows[0][1], rows[0][2]
         x = np.frombuffer(b"".join(r[4] for r in rows), np.float64).reshape(len(rows), dim)
-        at = unit(x) @ directions(dim)
-        return label, dim, number, len(rows), np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[3] for r in rows], np.int64).tobytes(), x.tobytes(), at.min(axis=0).tolist(), at.max(axis=0).tolist()
+        u = unit(x)
+        at = u @ directions(dim)
+        q, *bounds = codes(u)
+        return label, dim, number, len(rows), np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[3] for r in rows], np.int64).tobytes(), x.tobytes(), q.tobytes(), np.stack(bounds).tobytes(), at.min(axis=0).tolist(), at.max(axis=0).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number = [], TaskContext.get().partitionId() << 32
@@ -79,7 +84,7 @@ def pack(reps: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for row in rows_of(batch, "id", "label", "dim", "copies", "vector"):
                 if held and (len(held) == size or held[0][1:3] != row[1:3]):
-                    due = out.add(tile(held, number), 8 * len(held) * held[0][2])
+                    due = out.add(tile(held, number), 9 * len(held) * held[0][2])
                     held, number = [], number + 1
                     if due:
                         yield out.batch()
@@ -102,15 +107,20 @@ def codes(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def candidates(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of a, row of b), unit vectors, whose cosine may reach the threshold."""
-    qa, sa, ca, ea = codes(a)
-    qb, sb, _, eb = codes(b)
-    kind = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64  # sums of products stay exact whole numbers
+    return np.nonzero(reaches(codes(a), codes(b), threshold))
+
+
+def reaches(a: tuple, b: tuple, threshold: float) -> np.ndarray:
+    """Whether the bound of each pair, as ``codes`` gives them, reaches the threshold."""
+    qa, sa, ca, ea = a
+    qb, sb, _, eb = b
+    kind = np.float32 if qa.shape[1] * 127 * 127 < 1 << 24 else np.float64  # sums of products stay exact whole numbers
     product = (qa.astype(kind) @ qb.astype(kind).T).astype(np.float64)
     product *= sa[:, None]
     product *= sb
     product += ca[:, None] * eb
     product += (ea + 1e-9)[:, None]  # and what doubles round off
-    return np.nonzero(product >= threshold)
+    return product >= threshold
 
 
 def tile_links(ids_a, copies_a, a, ids_b, copies_b, b, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,10 +167,26 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     tiles = saved(pack(reps, tile), "tiles")
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
 
-    left = tiles.select("label", "dim", F.col("tile").alias("ta"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    right = tiles.select("label", "dim", F.col("tile").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    deal = F.pmod(F.xxhash64("tile"), F.lit(DEAL)).cast("int")
+    left = tiles.select("label", "dim", F.col("tile").alias("ta"), F.col("low").alias("la"), F.col("high").alias("ha"), deal.alias("deal"))
+    right = tiles.select("label", "dim", F.col("tile").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("deal"))
     close = F.forall(F.arrays_zip("la", "ha", "lb", "hb"), lambda z: (z["la"] <= z["hb"] + reach) & (z["lb"] <= z["ha"] + reach))
-    paired = left.join(right, ["label", "dim"]).where(F.col("ta") <= F.col("tb")).where(close).select("ta", "tb")
+    paired = left.join(right, ["label", "dim", "deal"]).where(F.col("ta") <= F.col("tb")).where(close).select("ta", "tb")
+    coded = lambda s: tiles.select(F.col("tile").alias(f"t{s}"), F.col("dim").alias(f"d{s}"), F.col("codes").alias(f"q{s}"), F.col("bounds").alias(f"b{s}"))
+    met_schema = out_schema("ta long, tb long")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of tiles in which a pair may reach the threshold."""
+        for batch in batches:
+            out = Rows(met_schema)
+            for ta, tb, dim, qa, ba, qb, bb in rows_of(batch, "ta", "tb", "da", "qa", "ba", "qb", "bb"):
+                a, b = ((np.frombuffer(q, np.int8).reshape(-1, dim), *np.frombuffer(x, np.float64).reshape(3, -1)) for q, x in ((qa, ba), (qb, bb)))
+                hit = reaches(a, b, threshold)
+                if (np.triu(hit, 1) if ta == tb else hit).any():
+                    out.add((ta, tb))
+            yield from out.rest()
+
+    paired = saved(paired.join(coded("a"), "ta").join(coded("b"), "tb").mapInArrow(meet, "ta long, tb long"), "pairs")
     body = lambda s: tiles.select(F.col("tile").alias(f"t{s}"), F.col("dim").alias(f"d{s}"), F.col("ids").alias(f"i{s}"), F.col("copies").alias(f"c{s}"), F.col("vectors").alias(f"v{s}"))
     work = paired.join(body("a"), "ta").join(body("b"), "tb")
     schema = out_schema(FOUND)
@@ -179,7 +205,9 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     facts = groups.join(links, "rep", "left").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = known.select("id", *same).join(facts, same, "left")
+    apart = known.where("dim IS NULL").select("id", *same)  # null keys would all meet in one task
+    out = known.where("dim IS NOT NULL").select("id", *same).join(facts, same, "left")
+    out = out.unionByName(apart, allowMissingColumns=True)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     n = F.when(F.col("id").isNotNull(), F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).otherwise(0)
     return out.select("id", n.cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
