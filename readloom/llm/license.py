@@ -12,6 +12,7 @@ import bisect
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,21 +30,27 @@ class Notice:
     label: str
     text: str  # lower-case words, single spaces
     edits: int  # characters inserted, deleted or substituted
+    exact: tuple[str, ...] = ()  # words that tell this notice from others: they must stand without an edit
 
 
 #: Well-known short notices, as lower-case words. About one edit for ten characters is allowed.
 NOTICES = (
-    Notice("mit", "released under the mit license", 3),
+    Notice("mit", "released under the mit license", 3, ("mit",)),
     Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", 8),
-    Notice("apache", "licensed under the apache license version 2 0", 4),
-    Notice("gpl", "licensed under the gnu general public license version 3", 5),
-    Notice("lgpl", "gnu lesser general public license", 3),
+    Notice("apache", "licensed under the apache license version 2 0", 4, ("2",)),
+    Notice("gpl", "licensed under the gnu general public license version 2", 5, ("gnu",)),
+    Notice("gpl", "licensed under the gnu general public license version 3", 5, ("gnu",)),
+    Notice("lgpl", "gnu lesser general public license", 3, ("gnu", "lesser")),
+    Notice("agpl", "gnu affero general public license", 3, ("gnu", "affero")),
     Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 8),
-    Notice("mpl", "subject to the terms of the mozilla public license", 4),
-    Notice("cc-by-nc", "licensed under cc by nc 4 0", 2),
-    Notice("cc-by-sa", "licensed under cc by sa 4 0", 2),
-    Notice("all-rights-reserved", "all rights reserved", 1),
-)
+    Notice("mpl", "subject to the terms of the mozilla public license", 4, ("mozilla",)),
+    Notice("all-rights-reserved", "all rights reserved", 1, ("all",)),
+    *(
+        Notice("cc-" + kind.replace(" ", "-"), f"licensed under cc {kind} {version}", 2, ("cc", *kind.split()))
+        for kind in ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")
+        for version in ("3 0", "4 0")
+    ),
+)
 
 SCAN = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, matches array<struct<label:string,first_word:long,last_word:long,edits:int>>, score double"
 
@@ -86,31 +93,46 @@ def best_of(found: list[tuple]) -> list[tuple]:
 
 
 class Scanner:
-    """Scans whole texts for exact phrases and fuzzy notices."""
+    """Scans whole texts for exact phrases and fuzzy notices. The pieces of all notices are sought in one pass."""
 
     def __init__(self, phrases: dict[str, str], notices: Sequence[Notice]):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
-        self.notices = [(n, pieces(n), regex.compile(f"(?e)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}")) for n in notices]
-
-    def windows(self, data: bytes, notice: Notice, seeds: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-        """Where a copy that holds one of the seeds can lie, overlaps joined."""
-        length, found = len(notice.text), []
-        for offset, piece in seeds:
-            for at in places(data, piece):
-                found.append((max(0, at - offset - notice.edits), min(len(data), at - offset + length + notice.edits)))
-        joined: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if joined and a <= joined[-1][1]:
-                joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
-            else:
-                joined.append((a, b))
-        return joined
+        # whole words, after and before the spaces between them
+        self.notices = [(n, regex.compile(f"(?e)(?<= )(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}(?= )")) for n in notices]
+        seeds: dict[str, list[tuple[int, int]]] = {}
+        for k, notice in enumerate(notices):
+            for offset, piece in pieces(notice):
+                seeds.setdefault(piece.decode("latin-1"), []).append((k, offset))
+        self.seeds = ahocorasick.Automaton()
+        for piece, uses in seeds.items():
+            self.seeds.add_word(piece, (len(piece), uses))
+        if seeds:
+            self.seeds.make_automaton()
+
+    def windows(self, data: bytes) -> dict[int, list[tuple[int, int]]]:
+        """Where a copy of each notice that holds one of its pieces can lie, overlaps joined."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        if not len(self.seeds):
+            return found
+        for end, (size, uses) in self.seeds.iter(data.decode("latin-1")):  # a character is a byte
+            for k, offset in uses:
+                notice = self.notices[k][0]
+                start = end + 1 - size - offset
+                window = max(0, start - notice.edits - 1), min(len(data), start + len(notice.text) + notice.edits + 1)
+                mine = found.setdefault(k, [])
+                # places come in order of their ends, so windows of one notice come almost in order
+                while mine and window[0] <= mine[-1][1] and mine[-1][0] <= window[1]:
+                    a, b = mine.pop()
+                    window = min(a, window[0]), max(b, window[1])
+                mine.append(window)
+        return found
 
     def fuzzy(self, data: bytes, word: Callable[[int], int]) -> list[tuple[str, int, int, int, float]]:
         """(label, first word, last word, edits, likeness) of every verified notice, in order of place."""
         found = []
-        for notice, seeds, pattern in self.notices:
-            for a, b in self.windows(data, notice, seeds):
+        for k, windows in sorted(self.windows(data).items()):
+            notice, pattern = self.notices[k]
+            for a, b in windows:
                 while a < b and data[a] & 0xC0 == 0x80:  # windows are cut between characters
                     a += 1
                 while b < len(data) and data[b] & 0xC0 == 0x80:
@@ -121,6 +143,8 @@ class Scanner:
                     edits = sum(m.fuzzy_counts)
                     start += len(window[at : m.start()].encode("utf-8", "surrogateescape"))
                     at = m.start()
+                    if not set(notice.exact) <= set(m[0].split(" ")):
+                        continue
                     # a match may begin or end on the space between two words
                     begin = start + len(m[0]) - len(m[0].lstrip(" "))
                     end = begin + len(m[0].strip(" ").encode("utf-8", "surrogateescape"))
