@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Rows, discard, out_schema, rows_of, saved, table, text_bytes
+from .common import out_schema, rows_of, saved, table, text_bytes
 from .components import components
 
 SEED = 42
@@ -76,9 +77,9 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fingerprint as signed long) for each row. Texts without tokens, null ones too, have fingerprint 0."""
-    ddl = "id long, fp long"
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fingerprint as signed long) for each row, and the string columns to ``carry``. Texts without tokens, null ones too, have fingerprint 0."""
+    ddl = ", ".join(["id long", "fp long", *(f"{c} string" for c in carry)])
     schema = out_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +104,9 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     if len(hashes) > 500_000:
                         settle()
             settle()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64)), *(batch.column(c) for c in carry)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, ddl)
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"), *carry).mapInArrow(run, ddl)
 
 
 def grid_cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +195,10 @@ def near_links(reps: DataFrame, *, distance: int = 2, crowd: int = CROWD) -> Dat
 
     crowds = met.where("b IS NULL").select(F.col("a").alias("rep"), "fp").distinct()
     flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    keys = crowds.select("rep", F.explode(F.concat(F.array("fp"), flips) if distance == 2 else F.array("fp")).alias("key"))
+    # under a fingerprint within one bit all are within 2 bits of each other; with one bit left out, within that one bit
+    cleared = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(F.col("fp").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), i))).alias("fp"), i.alias("bit")))
+    whole = F.transform(F.concat(F.array("fp"), flips) if distance == 2 else F.array("fp"), lambda x: F.struct(x.alias("fp"), F.lit(-1).alias("bit")))
+    keys = crowds.select("rep", F.explode(cleared if distance == 1 else whole).alias("key"))
     stars = keys.groupBy("key").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1")
     return pairs.unionByName(keys.join(stars, "key").where("rep <> v").select(F.col("rep").alias("u"), "v"))
 
@@ -207,21 +211,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     their rows. Other columns are ignored; an empty table gives no rows.
     """
     known = saved(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
+    return known.join(components_of(known, distance), "fp").select("id", "fp", "component")
+
+
+def components_of(known: DataFrame, distance: int) -> DataFrame:
+    """(fp, component) of each fingerprint of ``known`` (id, fp)."""
     reps = known.groupBy("fp").agg(F.min("id").alias("rep"))
     linked = components(near_links(reps.where("rep IS NOT NULL"), distance=distance))
-    named = reps.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return known.join(named, "fp").select("id", "fp", "component")
+    return reps.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
 
 
 def dedup_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest id (of repeated ids one row; rows with null ids stay)."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, distance=distance)
-    gone = found.where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    if repeated.isEmpty():
+    """``docs`` with one row of each group of near copies: that of the smallest id, then of the smallest MD5 of the text.
+
+    Rows are told apart by id and text, so a repeated id loses only those of its rows that are near copies of another.
+    Of rows equal in both, the one with the smallest hash of its columns stays. Rows with null ids stay; null texts
+    count as empty ones, which are copies of each other. Other columns pass through; an empty table gives no rows.
+    """
+    digest = F.md5(text_bytes(text_col))
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), digest.alias("md5"), F.col(text_col).alias("text"))
+    known = saved(fingerprints(named, id_col="id", text_col="text", width=width, carry=("md5",)), "fingerprints")
+    prints = known.select("fp", F.col("fp").alias("rep")).distinct()  # groups go by fingerprints, as ids may repeat
+    linked = components(near_links(prints, distance=distance)).withColumnRenamed("node", "fp")
+    rows = known.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rows = rows.groupBy("component", "id", "md5").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct("id", "md5")).alias("first"))
+    rows = saved(rows.join(first, "component").withColumn("stays", F.struct("id", "md5") == F.col("first")).select(F.col("id").alias("_rl_id"), F.col("md5").alias("_rl_md5"), "stays", "n"), "members")
+    same = [F.col(id_col).cast("long") == F.col("_rl_id"), digest == F.col("_rl_md5")]
+    kept = docs.join(rows.where("NOT stays").select("_rl_id", "_rl_md5"), same, "left_anti")
+    again = rows.where("stays AND n > 1").select("_rl_id", "_rl_md5")
+    if again.isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    order = Window.partitionBy("_rl_id", "_rl_md5").orderBy(F.xxhash64(*docs.columns))
+    one = kept.join(again, same).withColumn("_rl_row", F.row_number().over(order)).where("_rl_row = 1").select(*docs.columns)
+    return kept.join(again, same, "left_anti").unionByName(one)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
