@@ -26,24 +26,29 @@ ADDED = f"n_words long, n_hit long, items array<long>, matches array<{MATCH}>"
 
 
 class Block:
-    """Windows of some items, once each, and where the items have them."""
+    """Windows of some items, once each, and where the items have them: arrays, of about 60 bytes for each word of the items."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], window: int):
         self.ids = [i for i, _ in items]
         self.vocabulary: dict[bytes, int] = {}
-        number: dict[tuple[int, ...], int] = {}
-        where: list[tuple[int, int, int]] = []  # window, item, word of the item
-        for k, (_, text) in enumerate(items):
-            seq = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for at in range(max(1, len(seq) - window + 1) if seq else 0):
-                where.append((number.setdefault(tuple(seq[at : at + window]), len(number)), k, at))
-        self.lengths = np.array([len(x) for x in number], np.int64)
-        self.windows = np.zeros((len(number), window), np.int32)
-        for row, x in zip(self.windows, number, strict=True):
-            row[: len(x)] = x
-        table = np.array(sorted(where), np.int64).reshape(-1, 3)
-        self.starts = np.searchsorted(table[:, 0], np.arange(len(number) + 1))
-        self.item, self.item_word = table[:, 1], table[:, 2]
+        sequences = []
+        for _, text in items:
+            found = words(text)
+            sequences.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found), np.int32, len(found)))
+        counts = np.array([len(s) for s in sequences], np.int64)
+        fit = np.where(counts > 0, np.maximum(1, counts - window + 1), 0)
+        begins = np.cumsum(counts) - counts
+        every = np.concatenate([*sequences, np.zeros(window, np.int32)])
+        item = np.repeat(np.arange(len(items)), fit)
+        word = np.arange(fit.sum()) - np.repeat(np.cumsum(fit) - fit, fit)
+        length = np.minimum(counts[item], window)
+        rows = np.lib.stride_tricks.sliding_window_view(every, window)[begins[item] + word]
+        rows = np.where(np.arange(window) < length[:, None], rows, np.int32(0))
+        order = np.lexsort((word, item, *(rows[:, k] for k in reversed(range(window)))))
+        rows, length, self.item, self.item_word = rows[order], length[order], item[order], word[order]
+        first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1))) if len(rows) else np.zeros(0, np.int64)
+        self.windows, self.lengths = rows[first], length[first]
+        self.starts = np.append(first, len(rows))
 
 
 def suffix_array(tokens: np.ndarray, shortest: int, depth: int) -> np.ndarray:
@@ -123,16 +128,16 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: i
         yield sorted(((r.id, bytes(r.text)) for r in chosen.collect()), key=lambda x: (x[0] is not None, x))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_words: int = 2_000_000, block_bytes: int = 32 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_words: int = 2_000_000, block_bytes: int = 16 << 20, prefix: str = "") -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit`` (words inside occurrences of a window), ``items`` (sorted ids of items with
     occurring windows) and ``matches`` (longest verbatim matches: item, word of the document, word of the item, length).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Null and
     empty texts have no words. Items with a null id make hits but stand in no list of ids; repeated items count once.
-    Columns of docs named as the new ones are replaced, all others pass through. Empty tables are allowed on either
+    Columns of docs named as the new ones are replaced, all others pass through; ``prefix`` goes before the new names. Empty tables are allowed on either
     side. No shuffle: each partition is searched where it is, in shards of ``shard_words`` words or one document.
     """
-    added = T.StructType.fromDDL(ADDED)
+    added = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in T.StructType.fromDDL(ADDED)])
     new = added.fieldNames()
     docs = docs.drop(*new)
     names = docs.columns
@@ -148,7 +153,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
             k = 0
             for batch in held:
                 columns: list[list] = [[], [], [], []]
-                old = [[]] * batch.num_rows if first else batch.column("matches").to_pylist()
+                old = [[]] * batch.num_rows if first else batch.column(new[-1]).to_pylist()
                 for row in range(batch.num_rows):
                     mine = found[by_doc[k] : by_doc[k + 1]]
                     rows = old[row] + [{"item_id": ids[i], "doc_word": int(p), "item_word": int(q), "length": int(n)} for _, i, p, q, n in mine.tolist()]
@@ -188,8 +193,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a window of an item."""
-    return find_leaks(docs, benchmark, **options).where("n_hit = 0").select(*docs.columns)
+    """``docs`` without the documents that hold a window of an item. All columns, of whatever name, stay as they are; rows that
+    are repeated or without an id are judged one by one; null and empty texts stay, and so do all rows where there are no items."""
+    return find_leaks(docs, benchmark, prefix="_rl_", **options).where("_rl_n_hit = 0").select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ def twice_seen(docs: DataFrame, text_col: str, *, min_chars: int = 20, bits: int
     return packed
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, bits: int = 27, hashes: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, bits: int = 27, hashes: int = 2, prefix: str = "") -> DataFrame:
     """``docs`` with repeated lines removed from ``text_col``, plus ``n_lines`` (before) and ``n_dropped`` (long).
 
     A line's key is the line without white space at its ends and with A-Z lower-cased. Keys of ``min_chars`` code points
@@ -114,18 +114,20 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     all of them. Null and empty texts have one empty line; a null text stays null. Rows with equal ids count as one
     document and are treated alike; rows with a null id keep all lines and count for no key. Columns named n_lines or
     n_dropped are replaced; all others pass through.
+    ``prefix`` goes before the names of the new columns, for tables that have columns of these names.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
+    n_lines, n_dropped = f"{prefix}n_lines", f"{prefix}n_dropped"
+    docs = docs.drop(n_lines, n_dropped)
     counted = docs.where(F.col(id_col).isNotNull())
     suspects = spark.sparkContext.broadcast(twice_seen(counted, text_col, min_chars=min_chars, bits=bits, hashes=hashes))
 
     def digests_of(text: bytes) -> list[tuple[bytes, bytes | None]]:
         return [(line, xxhash.xxh3_128_digest(k) if (k := key_of(line, min_chars)) is not None else None) for line in text.split(b"\n")]
 
-    marked_type = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("_rl_suspects", T.ArrayType(T.BinaryType()))])
+    marked_type = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField("_rl_suspects", T.ArrayType(T.BinaryType()))])
 
-    names, marked_names, final_names = docs.columns, [*docs.columns, "n_lines", "_rl_suspects"], [*docs.columns, "n_lines", "n_dropped"]
+    names, marked_names, final_names = docs.columns, [*docs.columns, n_lines, "_rl_suspects"], [*docs.columns, n_lines, n_dropped]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = suspects.value
@@ -154,9 +156,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     repeated = held.groupBy("_rl_key").agg(F.count("*").alias("n"), F.max("_rl_id").alias("_rl_keeper")).where(F.col("n") >= min_docs)
     drops = held.join(repeated, "_rl_key").where("_rl_id <> _rl_keeper").groupBy("_rl_id").agg(F.collect_set("_rl_key").alias("_rl_drop"))
 
-    clean = marked.where(F.size("_rl_suspects") == 0).select(*docs.columns, "n_lines", F.lit(0).cast("long").alias("n_dropped"))
+    clean = marked.where(F.size("_rl_suspects") == 0).select(*docs.columns, n_lines, F.lit(0).cast("long").alias(n_dropped))
     touched = marked.where(F.size("_rl_suspects") > 0).join(drops, F.col(id_col) == F.col("_rl_id"), "left").withColumn("_rl_text", text_bytes(text_col))
-    final_type = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    final_type = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,9 +175,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     dropped.append(0)
             new = pa.array(texts, pa.binary()).cast(pa.string())
             arrays = [new if n == text_col else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column("n_lines"), pa.array(dropped, pa.int64())], names=final_names)
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(n_lines), pa.array(dropped, pa.int64())], names=final_names)
 
-    return clean.unionByName(touched.select(*docs.columns, "n_lines", "_rl_drop", "_rl_text").mapInArrow(cut, final_type))
+    return clean.unionByName(touched.select(*docs.columns, n_lines, "_rl_drop", "_rl_text").mapInArrow(cut, final_type))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
