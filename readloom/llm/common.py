@@ -20,9 +20,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local runs a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local runs, which have one machine, a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="readloom-")
         shared_dir.own = base
     return base.rstrip("/")

@@ -69,8 +69,16 @@ def test_simhash_fingerprints(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({c for i, _, c in got if i})
 
 
-@pytest.mark.parametrize("crowd", [1, 3, 32])
-def test_simhash_links(spark, crowd):
+def test_simhash_keeps_other_texts_of_a_repeated_id(spark):
+    other = "totally different words that no other text holds anywhere"
+    rows = [(1, "a b c d e f"), (6, "a b c d e f"), (6, other), (6, other), (7, other), (None, other), (8, None), (9, "")]
+    kept = simhash.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c d e f"), (6, other), (None, other), (8, None)], key=str)
+    assert simhash.dedup_documents(docs(spark).limit(0)).count() == 0 and simhash.near_duplicates(docs(spark).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("crowd,distance", [(1, 2), (3, 2), (32, 2), (1, 1), (32, 1), (1, 0)])
+def test_simhash_links(spark, crowd, distance):
     rng = np.random.RandomState(crowd)
     fps = set()
     for base in rng.randint(0, 2**62, 12):
@@ -80,13 +88,13 @@ def test_simhash_links(spark, crowd):
                 x ^= 1 << int(b)
             fps.add(x)
     rows = [(i, int(np.uint64(x).astype(np.int64))) for i, x in enumerate(sorted(fps))]
-    found = dict(simhash.components(simhash.near_links(spark.createDataFrame(rows, "rep long, fp long"), crowd=crowd)).collect())
+    found = dict(simhash.components(simhash.near_links(spark.createDataFrame(rows, "rep long, fp long"), crowd=crowd, distance=distance)).collect())
     root = list(range(len(rows)))
     for _ in rows:
         before = list(root)
         for i, a in enumerate(sorted(fps)):
             for j, b in enumerate(sorted(fps)):
-                if bin(a ^ b).count("1") <= 2:
+                if bin(a ^ b).count("1") <= distance:
                     root[i] = root[j] = min(root[i], root[j])
         if before == root:
             break
@@ -131,15 +139,58 @@ def test_license(spark):
 
 
 def test_fuzzy_finds_every_bounded_edit():
-    scanner, rng = license.Scanner({}, license.NOTICES[:1]), np.random.RandomState(2)
+    notice = license.Notice("mit", "released under the mit license", 3)  # no word of it must stand exactly
+    scanner, rng = license.Scanner({}, [notice]), np.random.RandomState(2)
     for _ in range(200):
-        text = list(license.NOTICES[0].text)
-        for _ in range(license.NOTICES[0].edits):
+        text = list(notice.text)
+        for _ in range(notice.edits):
             at = rng.randint(len(text))
             text[at : at + 1] = [["q"], [], [text[at], "q"]][rng.randint(3)]
         assert scanner.scan(("foo bar " * 5 + "".join(text) + " baz").encode())[4:6][1], "".join(text)
 
 
+@pytest.mark.parametrize("text,labels", [("small rights reserved", []), ("firewall rights reserved", []), ("mall rights reserved", []), ("all rights reservd", ["all-rights-reserved"]), ("licensed under cc by nd 4 0", ["cc-by-nd"]),
+                                         ("Licenced under CC BY-NC 4.0", ["cc-by-nc"]), ("licensed under cc by nc sa 3.0", ["cc-by-nc-sa"]), ("licensed under cc by 4.0", ["cc-by"]), ("released under the mitt license", [])])
+def test_license_words_that_tell_notices_apart(text, labels):
+    got = license.Scanner({}, license.NOTICES).scan(text.encode())
+    assert sorted({x["label"] for x in got[5]}) == labels
+
+
+def test_license_seeds_lose_nothing():
+    """Windows around the seeds find what the same patterns find in whole texts."""
+    scanner, rng = license.Scanner({}, license.NOTICES), np.random.RandomState(6)
+    for _ in range(60):
+        text = []
+        for _ in range(6):
+            notice = list(license.NOTICES[rng.randint(len(license.NOTICES))].text)
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randint(len(notice))
+                notice[at : at + 1] = [["é"], [], [notice[at], "q"]][rng.randint(3)]
+            text += ["".join(notice), *rng.choice(["license", "under", "the", "cc", "rights", "été"], rng.randint(0, 5))]
+        data = b" " + b" ".join(words(" ".join(text).encode())) + b" "
+        plain, want = data.decode(), []
+        for notice, pattern in scanner.notices:
+            for m in pattern.finditer(plain):
+                if set(notice.exact) <= set(m[0].split(" ")):
+                    first = plain[: m.start() + len(m[0]) - len(m[0].lstrip(" ")) + 1].count(" ") - 1
+                    want.append((notice.label, first, first + len(m[0].split()) - 1, sum(m.fuzzy_counts), 1 - sum(m.fuzzy_counts) / len(notice.text)))
+        assert scanner.fuzzy(data, license.word_counter(data)) == license.best_of(want)
+
+
+def test_license_base_columns_against_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    sql = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM read_parquet('{}/documents.parquet')),
+    p AS (SELECT * FROM (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')) t(s, label)),
+    hit AS (SELECT doc_id, label, i - 1 AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), p WHERE w[i : i + len(s) - 1] = s)
+    SELECT d.doc_id, len(w), count(k), min(k), max(k), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') FROM d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id, len(w)
+    """
+    got = license.op3_license_scan(spark, sf).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(duckdb.sql(sql.format(sf)).fetchall(), key=str)
+
+
 def test_mixture(spark):
     rows = [(i, "w " * (1 + i % 7), "abcd"[min(3, i % 10)] if i % 11 else None) for i in range(300)] + [(None, "w w", "a"), (5, "w", "a"), (900, "", "z"), (901, None, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
@@ -188,6 +239,9 @@ def test_decontaminate(spark):
     for options in ({}, {"block_bytes": 20}, {"shard_words": 1}):
         got = [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate.find_leaks(docs(spark), bench, **options).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+    clash = docs(spark).select("doc_id", "text", F.lit("mine").alias("items"), F.lit("m").alias("matches"), F.lit(-1).alias("n_words"), F.lit(-2).alias("n_hit"))
+    clean = decontaminate.decontaminate(clash, bench).collect()
+    assert {tuple(r)[2:] for r in clean} == {("mine", "m", -1, -2)} and sorted(str(r.doc_id) for r in clean) == sorted(str(w[0]) for w in want if not w[2])
     longest = decontaminate.find_leaks(docs(spark), bench).where("doc_id = 10").first().matches
     assert [(m.item_id, m.doc_word, m.item_word, m.length) for m in longest if m.item_id == 100] == [(100, 1, 0, 10)] * 2 or [(m.item_id, m.length) for m in longest if m.item_id] == [(100, 10)]
     assert decontaminate.find_leaks(docs(spark), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
@@ -271,3 +325,18 @@ def test_quality(spark):
     held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([(got[i] >= 0.5) == (i < 120) for i in held]) > 0.95 and got[1000] == got[1001] and 0 <= got[1000] <= 1
     assert {r.score for r in quality.score(df, quality.train(df, labels.limit(0))).collect()} == {0.5}
+    assert quality.score(df.limit(0), quality.train(df.limit(0), labels)).count() == 0
+    # the curve by hand, on whole texts; a long text gives pieces of its end too
+    model = quality.train(df, labels)
+    tools = model.compressors()
+    assert got[7] == pytest.approx(1 / (1 + math.exp(-(model.intercept + model.slope * model.difference(good[7].encode(), tools)))))
+    assert quality.spread(b"a" * 5000 + b"z" * 256, 1024).endswith(b"z" * 200) and quality.spread(b"ab", 64) == b"ab"
+
+
+def test_quality_learns_from_ends_of_texts(spark):
+    """Texts that differ only far behind their begin."""
+    rows = [(i, "same words again " * 400 + ("river house garden " if i % 2 else "click win xx ") * 400) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = quality.score(df, quality.train(df, labels)).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
