@@ -15,7 +15,7 @@ def _number(field: Column, label: str, low: int, high: int) -> Column:
     return F.when(field.isNull() | F.coalesce(sane, F.lit(False)), value).otherwise(F.raise_error(F.lit(f"invalid SAM {label}"))).cast("int")
 
 
-def parse_sam(lines: DataFrame, line_col: str = "value", headers: bool = True) -> DataFrame:
+def parse_sam(lines: DataFrame, line_col: str = "value", headers: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Reads from SAM lines, header lines left out. Mapped records must have a position.
 
     ``headers=False`` is for lines known to be records: a filter would be pushed below the expression that makes them, which would then run twice.
@@ -23,7 +23,7 @@ def parse_sam(lines: DataFrame, line_col: str = "value", headers: bool = True) -
     f = F.split(F.rtrim(line_col, F.lit("\r\n")), "\t", -1)
     header = F.col(line_col).startswith("@") | (F.col(line_col) == "") if headers else F.lit(False)
     # later filters may be pushed below this one, so a header line must be harmless in every expression
-    body = lines.where(~header).select(F.when(header, F.lit(None)).when(F.size(f) < 11, F.raise_error(F.lit("SAM record has fewer than 11 fields"))).otherwise(f).alias("f"))
+    body = lines.where(~header).select(F.when(header, F.lit(None)).when(F.size(f) < 11, F.raise_error(F.lit("SAM record has fewer than 11 fields"))).otherwise(f).alias("f"), *carry)
     at = lambda i: F.get("f", F.lit(i))
     pos, mate = _number(at(3), "POS", -(2**31), 2**31 - 1), _number(at(7), "PNEXT", -(2**31), 2**31 - 1)
     flag = _number(at(1), "FLAG", 0, 65535)
@@ -33,7 +33,7 @@ def parse_sam(lines: DataFrame, line_col: str = "value", headers: bool = True) -
         _number(at(4), "MAPQ", 0, 255).alias("mapq"), at(5).alias("cigar"), at(6).alias("mate_reference"),
         F.when(mate < 0, F.raise_error(F.lit("SAM PNEXT must be non-negative"))).otherwise(mate - 1).cast("int").alias("mate_pos"),
         _number(at(8), "TLEN", -(2**31), 2**31 - 1).alias("template_length"), at(9).alias("sequence"), at(10).alias("quality"),
-        F.array_join(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), "\t").alias("tags"),
+        F.array_join(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), "\t").alias("tags"), *carry,
     )
 
 
@@ -56,6 +56,18 @@ def tag_text(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda t: F.concat_ws(":", t["key"], t["type"], t["value"])), "\t")
 
 
+def canonical_tags(items: Column, keys: list[str]) -> Column:
+    """The tags' text in the order of ``keys``, other keys after these in their own order."""
+    place = lambda t: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, keys)), t["key"]), F.lit(0)), F.lit(len(keys) + 1))
+    placed = F.transform(items, lambda t, i: F.struct(place(t).alias("place"), i.alias("i"), t.alias("t")))
+    return tag_text(F.transform(F.array_sort(placed), lambda x: x["t"]))
+
+
+def line_cigar(line: Column) -> Column:
+    """The CIGAR field of SAM text, ``*`` where it is missing."""
+    return F.coalesce(F.get(F.split(line, "\t", 7), F.lit(5)), F.lit("*"))
+
+
 def bin_quality(quality: Column) -> Column:
     """Illumina's eight bins. A missing quality (``*``) stays."""
     low, chars, to = 0, "", ""

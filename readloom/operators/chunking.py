@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, fields
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from readloom.functions.records import record_bytes
 from readloom.functions.region import Region, overlaps
-from readloom.schema import ReadsError
+from readloom.schema import ReadsError, project
+
+
+def positive(name: str, text: str) -> int:
+    """A whole number above 0 from a setting's text."""
+    if not text.isascii() or not text.isdigit() or int(text) == 0 or int(text) >= 1 << 63:
+        raise ReadsError(f"{name} must be a positive integer")
+    return int(text)
 
 
 @dataclass(frozen=True)
@@ -30,23 +40,30 @@ class Policy:
         if self.target_bytes > self.max_bytes:
             raise ReadsError("chunk policy target_bytes must not exceed max_bytes")
 
+    @classmethod
+    def from_settings(cls, settings: Mapping[str, str]) -> Policy:
+        """The policy with what the environment, or another mapping, overrides: READLOOM_CHUNK_TARGET_BYTES and so on."""
+        names = {f.name: f"READLOOM_CHUNK_{f.name.upper()}" for f in fields(cls)}
+        return cls(**{k: positive(v, settings[v]) for k, v in names.items() if v in settings})
+
 
 CHUNKS = "ref string, chunk_id long, start_pos long, end_pos long, record_count long, bytes long"
 
 
-def pack(reads: DataFrame, policy: Policy = Policy(), order: tuple[str, ...] = ("pos", "qname")) -> DataFrame:
-    """``CHUNKS`` of coordinate-sorted reads, numbered within each contig.
+def pack(reads: DataFrame, policy: Policy = Policy(), order: tuple[str, ...] = ("pos", "qname"), first: str | None = None) -> DataFrame:
+    """``CHUNKS`` of coordinate-sorted reads, numbered within each contig; on request with ``first``, that column's value in a chunk's first record.
 
     A chunk ends before a record that would pass a maximum and after one that reaches the target. That is one ordered
     pass over a contig; it sees four narrow columns, streams, and holds one chunk's state, so a long contig costs time and no memory.
     """
-    schema = pa.schema([("ref", pa.string()), *((n, pa.int64()) for n in ("chunk_id", "start_pos", "end_pos", "record_count", "bytes"))])
+    made = T.StructType([*T.StructType.fromDDL(CHUNKS).fields, *([T.StructField("first", reads.schema[first].dataType)] if first else [])])
+    schema = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ref, number, chunk = None, 0, None
         for batch in batches:
             done: list[tuple] = []
-            for name, start, end, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, start, end, size, *mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name != ref:
                     if chunk:
                         done.append((ref, number, *chunk))
@@ -56,7 +73,7 @@ def pack(reads: DataFrame, policy: Policy = Policy(), order: tuple[str, ...] = (
                     if chunk[2] == policy.max_records or chunk[3] + size > policy.max_bytes or high - low > policy.max_span:
                         done.append((ref, number, *chunk))
                         number, chunk = number + 1, None
-                chunk = [min(chunk[0], start), max(chunk[1], end), chunk[2] + 1, chunk[3] + size] if chunk else [start, end, 1, size]
+                chunk = [min(chunk[0], start), max(chunk[1], end), chunk[2] + 1, chunk[3] + size, *chunk[4:]] if chunk else [start, end, 1, size, *mark]
                 if chunk[3] >= policy.target_bytes:
                     done.append((ref, number, *chunk))
                     number, chunk = number + 1, None
@@ -65,9 +82,39 @@ def pack(reads: DataFrame, policy: Policy = Policy(), order: tuple[str, ...] = (
         if chunk:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (ref, number, *chunk), strict=True))], schema)
 
-    narrow = reads.select("ref", F.col("pos").cast("long"), F.col("end_pos").cast("long"), record_bytes().alias("size"), *(c for c in order if c not in ("ref", "pos")))
+    narrow = reads.select("ref", F.col("pos").cast("long"), F.col("end_pos").cast("long"), record_bytes().alias("size"), *(c for c in order if c not in ("ref", "pos")), *([F.col(first).alias("_first")] if first else []))
     ordered = narrow.repartition("ref").sortWithinPartitions("ref", *order)
-    return ordered.select("ref", "pos", "end_pos", "size").mapInArrow(run, CHUNKS)
+    return ordered.select("ref", "pos", "end_pos", "size", *(["_first"] if first else [])).mapInArrow(run, made)
+
+
+def assign(reads: DataFrame, chunks: DataFrame, tie: str = "qname", bin_size: int = 1 << 14) -> DataFrame:
+    """``reads`` with the ``chunk_id`` of their chunk, from ``pack(..., first=tie)`` over the same reads.
+
+    A chunk is entered in the bins from its first record to the next chunk's and met there, so no contig is gathered again.
+    """
+    w = Window.partitionBy("ref").orderBy("chunk_id")
+    key = F.struct(F.col("start_pos").cast("long").alias("a"), F.col("first").alias("b"))
+    bounds = chunks.select("ref", "chunk_id", "start_pos", key.alias("_low"), F.lead(key).over(w).alias("_next"), F.coalesce(F.lead("start_pos").over(w), F.col("end_pos")).alias("_last"))
+    spans = bounds.select("ref", "chunk_id", "_low", "_next", F.explode(F.sequence(F.floor(F.col("start_pos") / bin_size), F.floor(F.col("_last") / bin_size))).alias("_bin"))
+    mine = F.struct(F.col("pos").cast("long").alias("a"), F.col(tie).alias("b"))
+    met = reads.withColumn("_bin", F.floor(F.col("pos") / bin_size)).join(spans, ["ref", "_bin"])
+    return met.where((F.col("_low") <= mine) & (F.col("_next").isNull() | (mine < F.col("_next")))).select(*reads.columns, "chunk_id")
+
+
+def intervals(chunks: DataFrame) -> DataFrame:
+    """The chunk index as an interval index: what a chunk covers, where its plain bytes begin, and its length."""
+    w = Window.partitionBy("ref").orderBy("chunk_id")
+    return chunks.select("ref", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), (F.sum("bytes").over(w) - F.col("bytes")).alias("chunk_offset"), F.col("bytes").alias("column_index_offset"))
+
+
+def read_chunk(reads: DataFrame, ref: str, chunk_id: int, columns: list[str] | None = None) -> DataFrame:
+    """One chunk's reads, the named columns; of a dataset only its files of that contig and those columns are read."""
+    return project(reads.where((F.col("ref") == ref) & (F.col("chunk_id") == chunk_id)), columns)
+
+
+def query_region_chunks(reads: DataFrame, chunks: DataFrame, region: Region) -> DataFrame:
+    """All reads of each chunk that overlaps the region, whether or not they do."""
+    return reads.join(query_chunks(chunks, region).select("ref", "chunk_id"), ["ref", "chunk_id"], "left_semi")
 
 
 def query_chunks(chunks: DataFrame, region: Region) -> DataFrame:

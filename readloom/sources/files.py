@@ -17,7 +17,9 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from readloom.functions import cigar, records
 from readloom.functions.region import Region, in_region, flag_excludes
@@ -30,8 +32,14 @@ TAG_WIDTHS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I",
 SIDECAR_MAGIC = b"AXI1\0"
 
 
+#: Where a record stands in its files: ties of position keep this order.
+ORD = T.StructType([T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("row", T.LongType())])
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    return records.parse_sam(spark.read.text(path))
+    """Reads with ``ord``, the place of their line."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return records.parse_sam(spark.read.text(path).select("value", place.alias("ord")), carry=("ord",))
 
 
 def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
@@ -107,30 +115,92 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
 
 
-def file_head(spark: SparkSession, path: str, size: int = 4) -> bytes:
-    """The first bytes of the first file under a path."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: a bare one is of the cluster's default."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf).makeQualified(p).toString()
+
+
+def _first_file(spark: SparkSession, path: str) -> str:
     found = spark.read.format("binaryFile").load(path).select("path").head()
     if found is None:
         raise ReadsError(f"no file at {path}")
-    store, name = _store(found[0])
+    return found[0]
+
+
+def file_head(spark: SparkSession, path: str, size: int = 4096) -> bytes:
+    """The first bytes of the first file under a path."""
+    store, name = _store(_first_file(spark, path))
     with store.open_input_stream(name, compression=None) as file:
         return file.read(size)
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
     """Reads of BAM files, a file to a task, as streams of bounded memory: for ingest; queries run on the dataset that ``convert`` writes."""
-    schema = to_arrow_schema(READS)
+    made = T.StructType([*READS.fields, T.StructField("ord", ORD)])
+    schema = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("path").to_pylist():
                 store, name = _store(uri)
+                at = 0
                 with store.open_input_stream(name, compression=None, buffer_size=1 << 20) as file:
                     rows = decode_bam(file)[1]
-                    while held := list(islice(rows, 10_000)):
+                    while held := [(*r, {"file": uri, "start": 0, "row": at + i}) for i, r in enumerate(islice(rows, 10_000))]:
+                        at += len(held)
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, READS)
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, made)
+
+
+def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
+    """The contigs of the header, numbered in its order."""
+    store, name = _store(_first_file(spark, path))
+    with store.open_input_stream(name, compression=None) as file:
+        contigs = decode_bam(file)[0]
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(contigs)], CONTIGS)
+
+
+def contigs_of(spark: SparkSession, path: str) -> DataFrame:
+    """The contigs of a SAM or BAM file or a dataset."""
+    kind = sniff_path(spark, path)
+    return bam_contigs(spark, path) if kind == "BAM" else sam_contigs(spark, path) if kind == "SAM" else spark.read.parquet(f"{path}/contigs")
+
+
+def require_contig(contigs: DataFrame, region: Region) -> int:
+    """The contig's number; an unknown contig is an error."""
+    row = contigs.where(F.col("name") == region.ref).head()
+    if row is None:
+        raise ReadsError(f"unknown contig: {region.ref}")
+    return row.ref_id
+
+
+def find_bam_index(spark: SparkSession, path: str) -> str | None:
+    """The index beside a BAM file: name.bam.csi, name.bam.bai, name.csi, name.bai, the first there is."""
+    folder, dot, _ = path.rpartition(".")
+    names = [f"{path}.csi", f"{path}.bai", *([f"{folder}.csi", f"{folder}.bai"] if dot and "/" not in path[len(folder) :] else [])]
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return next((n for n in names if at(n).getFileSystem(conf).exists(at(n))), None)
+
+
+def file_bytes(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
+def index_bam(spark: SparkSession, path: str, out: str) -> int:
+    """Writes the interval index of the index beside a BAM file to ``out``; returns the number of intervals."""
+    found = find_bam_index(spark, path)
+    if found is None:
+        raise ReadsError(f"no index beside {path}")
+    index = parse_index(file_bytes(spark, found))
+    rows = [tuple(r) for r in project_index(spark, index).collect()]  # as the index itself, which the driver holds
+    store, name = _store(qualified(spark, out))
+    with store.open_output_stream(name, compression=None) as file:
+        file.write(pack_sidecar(rows, index.n_ref))
+    return len(rows)
 
 
 def _packed_tags(text: str) -> bytes:
@@ -158,7 +228,9 @@ def encode_bam(row: dict, ids: dict[str, int]) -> bytes:
     if row["ref"] not in ids:
         raise ReadsError(f"contig is not in the header: {row['ref']}")
     ref, mate = ids[row["ref"]], row["mate_reference"]
-    mate_id = ref if mate == "=" else ids.get(mate, -1)
+    if mate not in ids and mate != "=":
+        raise ReadsError(f"a mate's contig is not in the header: {mate}")
+    mate_id = ref if mate == "=" else ids[mate]
     name = row["qname"].encode() + b"\0"
     if len(name) > 255:
         raise ReadsError("read name is too long for BAM")
@@ -197,9 +269,9 @@ def export_bam(reads: DataFrame, contigs: DataFrame, path: str) -> int:
     text = ("@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{r.name}\tLN:{r.length}\n" for r in listed)).encode()
     header = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(listed))
     header += b"".join(struct.pack("<i", len(r.name.encode()) + 1) + r.name.encode() + struct.pack("<xi", r.length) for r in listed)
-    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    uri = qualified(reads.sparkSession, path)
     names = contigs.select(F.col("name").alias("ref"), F.col("ref_id").alias("_rl_ref"))
-    order = [F.col("_rl_ref").asc_nulls_last(), F.col("pos"), F.col("qname"), F.col("flag")]
+    order = [F.col("_rl_ref").asc_nulls_last(), F.col("pos"), F.col("ord" if "ord" in reads.columns else "qname"), F.col("flag")]
     ready = reads.join(names, "ref", "left").withColumn("bin", records.bin_of(F.col("pos"), F.greatest("end_pos", F.col("pos") + 1)))
     ordered = ready.repartitionByRange(*order).sortWithinPartitions(*order).select(*READS.fieldNames(), "end_pos", "bin")
 
@@ -226,12 +298,48 @@ def export_bam(reads: DataFrame, contigs: DataFrame, path: str) -> int:
     return ordered.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def fasta_lines(lines: DataFrame) -> DataFrame:
+    """(name, start, bases) of each line of sequence: where it begins in its contig. ``lines`` has value and ``ord`` (file, start, row).
+
+    Headers, a row for each contig, go to the driver; lines are placed by sums within a part of the file, then over the parts,
+    so no task holds a contig.
+    """
+    place = F.struct("ord.file", "ord.start", "ord.row")
+    heads = sorted(((*r.at, r.name) for r in lines.where(F.col("value").startswith(">")).select(place.alias("at"), F.regexp_extract("value", r"^>(\S+)", 1).alias("name")).collect()))
+    spans = [(i, *h, *(heads[i + 1][:3] if i + 1 < len(heads) else (None, None, None))) for i, h in enumerate(heads)]
+    table = lines.sparkSession.createDataFrame(spans, "contig int, f string, s long, r long, name string, f2 string, s2 long, r2 long")
+    low, high = F.struct(F.col("f").alias("file"), F.col("s").alias("start"), F.col("r").alias("row")), F.struct(F.col("f2").alias("file"), F.col("s2").alias("start"), F.col("r2").alias("row"))
+    body = lines.where(~F.col("value").startswith(">")).select("ord", F.regexp_replace("value", r"\s", "").alias("bases"))
+    met = body.join(F.broadcast(table.withColumn("low", low).withColumn("high", high)), (F.col("ord") > F.col("low")) & (F.col("f2").isNull() | (F.col("ord") < F.col("high"))))
+    part = ["contig", "ord.file", "ord.start"]
+    sizes = met.groupBy("contig", "name", F.col("ord.file").alias("file"), F.col("ord.start").alias("part")).agg(F.sum(F.length("bases")).alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy("contig").orderBy("file", "part")) - F.col("size")).select(F.col("contig").alias("_c"), F.col("file").alias("_f"), F.col("part").alias("_p"), "before")
+    inside = F.sum(F.length("bases")).over(Window.partitionBy(*part).orderBy("ord.row")) - F.length("bases")
+    placed = met.withColumn("inside", inside).join(before, (F.col("contig") == F.col("_c")) & (F.col("ord.file") == F.col("_f")) & (F.col("ord.start") == F.col("_p")))
+    return placed.select("name", (F.col("before") + F.col("inside")).alias("start"), "bases")
+
+
+def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return fasta_lines(spark.read.text(path).select("value", place.alias("ord")))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq) of each contig."""
-    text = spark.read.text(path, wholetext=True)
-    entry = F.explode(F.filter(F.split("value", ">"), lambda e: F.trim(e) != "")).alias("e")
-    first = F.substring_index("e", "\n", 1)
-    return text.select(entry).select(F.regexp_extract(first, r"^(\S+)", 1).alias("name"), F.regexp_replace(F.substr("e", F.length(first) + 1), r"\s", "").alias("seq"))
+    """(name, seq) of each contig: a contig is one value here, so for whole genomes use the lines."""
+    parts = F.array_sort(F.collect_list(F.struct("start", "bases")))
+    return read_fasta_lines(spark, path).groupBy("name").agg(F.array_join(F.transform(parts, lambda p: p["bases"]), "").alias("seq"))
+
+
+def fetch_sequence(lines: DataFrame, name: str, start: int, end: int) -> str:
+    """Bases [start, end) of a contig, from the lines that hold them; an unknown contig or a place outside it is an error."""
+    mine = lines.where(F.col("name") == name)
+    rows = mine.where((F.col("start") < end) & (F.col("start") + F.length("bases") > start)).orderBy("start").collect()  # as many bases as are asked for
+    if not rows and mine.isEmpty():
+        raise ReadsError(f"unknown contig: {name}")
+    text = "".join(r.bases for r in rows)
+    if not 0 <= start < end or not rows or len(text) < end - rows[0].start:
+        raise ReadsError("sequence range is outside the contig")
+    return text[start - rows[0].start : end - rows[0].start]
 
 
 def checksums(contigs: DataFrame) -> DataFrame:
@@ -340,10 +448,41 @@ def parse_sidecar(data: bytes) -> list[tuple[int, int, int, int, int]]:
     return sorted(out)
 
 
-def convert(reads: DataFrame, path: str, region: Region | None = None, policy: chunking.Policy = chunking.Policy(), compression: str = "zstd", quality_lossy: bool = False) -> None:
-    """Writes the dataset: reads by contig and position with ``end_pos``, and the chunk index.
+#: Numbers of the metadata's extensions.
+CHECKSUM_KEY, REFERENCE_KEY = 1, 2
+EXTENSIONS = "key_id int, flags int, value binary"
+
 
-    Mapped records with a position are kept. Range-sorting by contig and position spreads a large contig over many files, whose statistics let scans skip them.
+def checksum_extensions(sums: DataFrame) -> DataFrame:
+    """``EXTENSIONS`` of checksums (name, sha256): the name and the 32 bytes, required of readers."""
+    name = F.col("name").cast("binary")
+    return sums.select(F.lit(CHECKSUM_KEY).alias("key_id"), F.lit(1).alias("flags"), F.concat(F.unhex(F.lpad(F.hex(F.octet_length(name)), 4, "0")), name, F.unhex("sha256")).alias("value"))
+
+
+def checksums_of(extensions: DataFrame) -> DataFrame:
+    """(name, sha256) of the checksum extensions; an unknown extension that is required is an error."""
+    size = F.conv(F.hex(F.substring("value", 1, 2)), 16, 10).cast("int")
+    known = F.col("key_id").isin(CHECKSUM_KEY, REFERENCE_KEY)
+    sane = extensions.where(F.when(known | (F.col("flags") == 0), known).otherwise(F.raise_error(F.lit("unknown required metadata extension"))))
+    body = sane.where(F.col("key_id") == CHECKSUM_KEY)
+    return body.select(F.substr("value", F.lit(3), size).cast("string").alias("name"), F.lower(F.hex(F.substr("value", size + 3))).alias("sha256"))
+
+
+def require_reference(extensions: DataFrame, contigs: DataFrame | None) -> None:
+    """Data coded against a reference needs one, and the right one."""
+    sums = checksums_of(extensions)
+    if contigs is None:
+        if not sums.isEmpty():
+            raise ReadsError("a reference is required to read this data")
+        return
+    validate_reference(sums, contigs)
+
+
+def convert(reads: DataFrame, path: str, region: Region | None = None, policy: chunking.Policy = chunking.Policy(), compression: str = "zstd", quality_lossy: bool = False, contigs: DataFrame | None = None, source: str = "", reference: DataFrame | None = None) -> DataFrame:
+    """Writes the dataset: reads by contig and position with ``end_pos`` and ``chunk_id``, the chunk index, contigs and
+    metadata (with the checksums of a ``reference``); returns the report, a row (key, value) for each setting.
+
+    Mapped records with a position are kept; ties of position keep their input order where ``ord`` tells it. Range-sorting by contig and position spreads a large contig over many files, whose statistics let scans skip them.
     """
     out = reads.withColumn("end_pos", F.col("pos") + cigar.reference_span(F.col("cigar")))
     out = out.where(flag_excludes(UNMAPPED) & (F.col("pos") >= 0))
@@ -351,9 +490,35 @@ def convert(reads: DataFrame, path: str, region: Region | None = None, policy: c
         out = out.where(in_region(region))
     if quality_lossy:
         out = out.withColumn("quality", records.bin_quality(F.col("quality")))
-    ordered = out.repartitionByRange("ref", "pos").sortWithinPartitions("ref", "pos", "qname")
+    spark, tie = reads.sparkSession, "ord" if "ord" in reads.columns else "qname"
+    chunking.pack(out, policy, ("pos", tie), first=tie).write.parquet(f"{path}/chunk_index")
+    placed = chunking.assign(out, spark.read.parquet(f"{path}/chunk_index"), tie)
+    ordered = placed.repartitionByRange("ref", "pos", tie).sortWithinPartitions("ref", "pos", tie)
     ordered.write.partitionBy("ref").option("compression", compression).parquet(f"{path}/reads")
-    chunking.pack(open_dataset(reads.sparkSession, path), policy).write.parquet(f"{path}/chunk_index")
+    if contigs is None:
+        found = spark.read.parquet(f"{path}/chunk_index").groupBy("ref").agg(F.max("end_pos").alias("length")).orderBy("ref").collect()  # a row for each contig
+        contigs = spark.createDataFrame([(i, r.ref, r.length) for i, r in enumerate(found)], CONTIGS)
+    contigs.write.parquet(f"{path}/contigs")
+    text = f"{region.ref}:{region.start + 1}-{region.end}" if region else ""
+    spark.createDataFrame([(source, text, region is not None)], "source_path string, conversion_region string, is_subset boolean").write.parquet(f"{path}/metadata")
+    extensions = checksum_extensions(checksums(reference)) if reference is not None else spark.createDataFrame([], EXTENSIONS)
+    extensions.write.parquet(f"{path}/extensions")
+    rows = [("input", source), ("output", path), *([("region", text)] if region else []), ("format", "parquet"), ("quality_lossy", "illumina8" if quality_lossy else "none"), ("compression", compression)]
+    return spark.createDataFrame(rows, "key string, value string")
+
+
+def assert_valid(spark: SparkSession, path: str) -> None:
+    """An error where a dataset's reads and chunk index don't fit: bounds, counts, order of chunks, contigs."""
+    index, reads = spark.read.parquet(f"{path}/chunk_index"), open_dataset(spark, path)
+    have = reads.groupBy("ref", "chunk_id").agg(F.min("pos").cast("long").alias("a"), F.max("end_pos").cast("long").alias("b"), F.count("*").alias("n"))
+    same = (F.col("a") == F.col("start_pos")) & (F.col("b") == F.col("end_pos")) & (F.col("n") == F.col("record_count"))
+    if not index.join(have, ["ref", "chunk_id"], "full").where(~F.coalesce(same, F.lit(False))).isEmpty():
+        raise ReadsError("the chunk index doesn't fit the reads")
+    w = Window.partitionBy("ref").orderBy("chunk_id")
+    if not index.withColumn("k", F.row_number().over(w) - 1).withColumn("p", F.lag("start_pos").over(w)).where("k <> chunk_id OR p > start_pos OR start_pos < 0 OR start_pos >= end_pos").isEmpty():
+        raise ReadsError("chunks are out of order")
+    if not index.join(spark.read.parquet(f"{path}/contigs"), F.col("ref") == F.col("name"), "left_anti").isEmpty():
+        raise ReadsError("a chunk's contig is not listed")
 
 
 def open_dataset(spark: SparkSession, path: str) -> DataFrame:
@@ -361,17 +526,29 @@ def open_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sniff(head: bytes) -> str:
-    """The format that a file's first bytes show: BAM (compressed), CRAM, or SAM text."""
+    """The format that a file's first bytes show: BAM (compressed, with its magic inside), ROWS (the block file), PARQUET or SAM text."""
     if head[:4] == b"CRAM":
         raise ReadsError("CRAM needs an outside decoder: convert it to SAM or BAM first")
-    return "BAM" if head[:2] == b"\x1f\x8b" else "SAM"
+    if head[:2] == b"\x1f\x8b":
+        if zlib.decompressobj(31).decompress(head, 4) == b"BAM\x01":
+            return "BAM"
+        raise ReadsError("a compressed file that is not a BAM file")
+    return {b"AXF0": "ROWS", b"PAR1": "PARQUET"}.get(head[:4], "SAM")
+
+
+def sniff_path(spark: SparkSession, path: str) -> str:
+    """The format of a file by its content, DATASET for a folder that ``convert`` wrote."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return "DATASET" if store.exists(at(path, "reads")) else sniff(file_head(spark, path))
 
 
 def export_sam(reads: DataFrame, contigs: DataFrame, path: str) -> None:
     """SAM text in coordinate order, header first."""
-    header = contigs.select(F.lit(0).alias("k"), F.col("ref_id").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("").alias("c"), F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.col("length").cast("string")).alias("value"))
-    top = reads.sparkSession.createDataFrame([(-1, 0, 0, "", "@HD\tVN:1.6\tSO:coordinate")], "k int, a long, b long, c string, value string")
+    tie = reads.schema["ord" if "ord" in reads.columns else "qname"].dataType
+    header = contigs.select(F.lit(0).alias("k"), F.col("ref_id").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(None).cast(tie).alias("c"), F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.col("length").cast("string")).alias("value"))
+    top = reads.sparkSession.createDataFrame([(-1, 0, 0, None, "@HD\tVN:1.6\tSO:coordinate")], f"k int, a long, b long, c {tie.simpleString()}, value string")
     names = contigs.select(F.col("name").alias("ref"), F.col("ref_id").cast("long").alias("a"))
     body = reads.join(names, "ref", "left").withColumn("a", F.when(F.col("a").isNotNull() | (F.col("ref") == "*"), F.col("a")).otherwise(F.raise_error(F.concat(F.lit("a read on a contig that the header lacks: "), F.coalesce("ref", F.lit("null"))))))
-    body = body.select(F.lit(1).alias("k"), "a", F.col("pos").cast("long").alias("b"), F.col("qname").alias("c"), records.sam_line().alias("value"))
+    body = body.select(F.lit(1).alias("k"), "a", F.col("pos").cast("long").alias("b"), F.col("ord" if "ord" in reads.columns else "qname").alias("c"), records.sam_line().alias("value"))
     top.unionByName(header).unionByName(body).orderBy("k", F.col("a").asc_nulls_last(), "b", "c").select("value").write.text(path)

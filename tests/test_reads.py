@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from readloom import api
 from readloom.functions import cigar, records
 from readloom.functions.region import Region, parse_region
-from readloom.operators import chunking, refdelta
+from readloom.operators import chunking, codec_bytes, refdelta
 from readloom.schema import ReadsError
-from readloom.sources import files
+from readloom.sources import blocks, files
 
 SAM = """@HD\tVN:1.6\tSO:coordinate
 @SQ\tSN:chrToy\tLN:1000
@@ -206,3 +206,150 @@ def test_export_sam_keeps_reads_without_contig(spark, toy, tmp_path):
     assert lines[-1].startswith("stray\t") and sum(not x.startswith("@") for x in lines) == toy.where("ref <> '*'").count() + 1
     with pytest.raises(Exception, match="header lacks"):
         files.export_sam(stray.withColumn("ref", F.lit("gone")), contigs, str(tmp_path / "none"))
+
+
+def test_chunk_reads_and_validity(spark, toy, tmp_path):
+    path = str(tmp_path / "d")
+    report = {r.key: r.value for r in files.convert(toy, path, policy=chunking.Policy(target_bytes=1, max_bytes=1000), contigs=files.contigs_of(spark, str(tmp_path / "toy.sam")), source="toy").collect()}
+    assert report == {"input": "toy", "output": path, "format": "parquet", "quality_lossy": "none", "compression": "zstd"}
+    reads = api.open_reads(spark, path)
+    assert [r.qname for r in chunking.read_chunk(reads, "chrToy", 1, ["qname"]).collect()] == ["read002"]
+    files.assert_valid(spark, path)
+    plan = reads.where((F.col("ref") == "chrToy") & (F.col("pos") < 120)).select("pos")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(ref" in plan and "LessThan(pos,120)" in plan
+    spark.read.parquet(f"{path}/chunk_index").withColumn("record_count", F.col("record_count") + 1).write.parquet(f"{path}/other")
+    import shutil
+
+    shutil.rmtree(f"{path}/chunk_index")
+    shutil.move(f"{path}/other", f"{path}/chunk_index")
+    with pytest.raises(ReadsError, match="doesn't fit"):
+        files.assert_valid(spark, path)
+
+
+def test_unknown_contig_is_an_error(spark, toy, tmp_path):
+    assert api.view_path(spark, str(tmp_path / "toy.sam"), "chrToy:1-250").count() == 2
+    with pytest.raises(ReadsError, match="unknown contig: nope"):
+        api.view_path(spark, str(tmp_path / "toy.sam"), "nope:1-250")
+
+
+def test_ties_keep_the_order_of_the_file(spark, tmp_path):
+    lines = [f"{name}\t0\tc\t5\t1\t2M\t*\t0\t0\tAC\tFF" for name in ("z", "a", "m", "b")]
+    (tmp_path / "t.sam").write_text("@SQ\tSN:c\tLN:50\n" + "\n".join(lines) + "\n")
+    reads = api.open_reads(spark, str(tmp_path / "t.sam"))
+    assert [r.sam_line[0] for r in api.view(reads, "c:1-50").collect()] == list("zamb")
+    files.convert(reads, str(tmp_path / "d"))
+    again = api.open_reads(spark, str(tmp_path / "d"))
+    assert [r.sam_line[0] for r in api.view(again, "c:1-50").collect()] == list("zamb")
+    files.export_sam(again, files.contigs_of(spark, str(tmp_path / "t.sam")), str(tmp_path / "out.sam"))
+    files.export_bam(again, files.contigs_of(spark, str(tmp_path / "t.sam")), str(tmp_path / "out.bam"))
+    for out in ("out.sam", "out.bam"):
+        assert [r.sam_line[0] for r in api.view(api.open_reads(spark, str(tmp_path / out)), "c:1-50").collect()] == list("zamb")
+    assert [tuple(r) for r in files.contigs_of(spark, str(tmp_path / "out.bam")).collect()] == [(0, "c", 50)]
+
+
+def test_mates_on_unlisted_contigs_are_an_error(spark, toy, tmp_path):
+    odd = toy.where("ref = 'chrToy'").withColumn("mate_reference", F.lit("c7"))
+    with pytest.raises(Exception, match="mate's contig is not in the header"):
+        files.export_bam(odd, files.contigs_of(spark, str(tmp_path / "toy.sam")), str(tmp_path / "x.bam"))
+
+
+def test_row_file(spark, toy, tmp_path):
+    found = blocks.row_blocks(toy).collect()
+    data = blocks.pack_blocks([("chrToy", 1000)], [(0, r.start_pos, r.end_pos, r.record_count, bytes(r.payload)) for r in found])
+    (tmp_path / "toy.rows").write_bytes(data)
+    reads = api.open_reads(spark, str(tmp_path / "toy.rows"))
+    assert [r.sam_line for r in api.view(reads, "chrToy:1-250").collect()] == SAM.splitlines()[2:4]
+    for bad, error in ((b"XXXX" + data[4:], "magic"), (data[:20], "truncated"), (data + b"x", "trailing")):
+        with pytest.raises(ReadsError, match=error):
+            blocks.parse_blocks(bad)
+    with pytest.raises(ReadsError, match="record count"):
+        blocks.pack_blocks([("c", 9)], [(0, 0, 5, 2, b"one\n")])
+
+
+def test_index_beside_a_bam_file(spark, tmp_path):
+    bam = tmp_path / "x.bam"
+    assert files.find_bam_index(spark, str(bam)) is None
+    bai = b"BAI\x01" + struct.pack("<iiIiQQi", 1, 1, 4681, 1, 10, 20, 0)
+    (tmp_path / "x.bai").write_bytes(bai)
+    assert files.find_bam_index(spark, str(bam)).endswith("x.bai")
+    (tmp_path / "x.bam.bai").write_bytes(bai)
+    csi = gzip.compress(b"CSI\x01" + struct.pack("<iiiiiIQiQQ", 14, 5, 0, 1, 1, 4682, 0, 1, 30, 40))
+    assert files.find_bam_index(spark, str(bam)).endswith("x.bam.bai")
+    assert files.index_bam(spark, str(bam), str(tmp_path / "x.idx")) == 1
+    assert files.parse_sidecar((tmp_path / "x.idx").read_bytes()) == [(0, 0, 16384, 10, 20)]
+    (tmp_path / "x.bam.csi").write_bytes(csi)
+    assert files.index_bam(spark, str(bam), str(tmp_path / "x.idx")) == 1
+    assert files.parse_sidecar((tmp_path / "x.idx").read_bytes()) == [(0, 16384, 32768, 30, 40)]
+
+
+def test_tables(spark, toy):
+    table = api.to_dataframe(api.query_region(toy, "chrToy:1-250"), ["qname", "flag", "pos", "mapq"])
+    assert [str(t) for t in table.dtypes][1:] == ["uint16", "int32", "uint8"] and list(table.pos) == [100, 150]
+    assert api.column_array(toy.where("pos >= 0"), "mapq").tolist() == [60, 50]
+    with pytest.raises(ReadsError, match="not a numeric column"):
+        api.column_array(toy, "qname")
+    series = api.coverage_to_series(api.pileup(toy, "chrToy:101-103"))
+    assert list(series.index) == [100, 101, 102] and series.dtype == "uint32" and series.index.name == "position"
+    assert [r.qname for r in api.iterate(toy.select("qname"))] == ["read001", "read002", "read003"]
+
+
+def test_policy_from_settings():
+    assert chunking.Policy.from_settings({"READLOOM_CHUNK_MAX_RECORDS": "7", "OTHER": "x"}).max_records == 7
+    for text in ("0", "-1", "x", "", "1.5"):
+        with pytest.raises(ReadsError, match="positive integer"):
+            chunking.Policy.from_settings({"READLOOM_CHUNK_MAX_SPAN": text})
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=50), st.lists(st.integers(-(2**63), 2**63 - 1), max_size=50))
+@settings(max_examples=50, deadline=None)
+def test_varints(numbers, signed):
+    assert codec_bytes.Cursor(codec_bytes.varints(numbers)).numbers(len(numbers)).tolist() == numbers
+    assert codec_bytes.unzigzag(codec_bytes.Cursor(codec_bytes.varints(codec_bytes.zigzag(signed))).numbers(len(signed))).tolist() == signed
+
+
+@given(st.lists(st.binary(max_size=30).filter(lambda b: b"\t" not in b), min_size=1, max_size=20))
+@settings(max_examples=50, deadline=None)
+def test_text_codes(texts):
+    for column in ("qname", "cigar", "quality", "sequence"):
+        for code, body in codec_bytes.bodies_of(column, texts):
+            assert codec_bytes.decode(column, code, body, len(texts)) == texts
+            packed = codec_bytes.envelope(code, body)
+            assert codec_bytes.decode(column, "compressed", packed, len(texts)) == texts
+            with pytest.raises(Exception):  # noqa: B017 - a cut body never decodes
+                codec_bytes.decode(column, code, body[:-1], len(texts))
+
+
+@pytest.mark.parametrize(("tags", "can"), [([b"NM:i:0\tHP:i:1", b"NM:i:-5"], True), ([b"", b"RG:Z:a", b"NM:i:3"], True), ([b"NM:i:0\tHP:i:1", b"HP:i:1\tNM:i:0"], False), ([b"X0:i:1", b"X0:Z:1"], False), ([b"NM:i:007"], False), ([b"", b""], True)])
+def test_tag_streams(tags, can):
+    body = codec_bytes.tag_streams(tags)
+    assert (body is not None) == can
+    if can:
+        assert codec_bytes.decode("tags", "tags_per_stream", body, len(tags)) == tags
+
+
+def test_positions_that_do_not_ascend_stay_plain():
+    (code, body), *_ = codec_bytes.bodies_of("pos", [5, 3, 9])
+    assert code == "raw" and codec_bytes.decode("pos", code, body, 3) == [5, 3, 9]
+
+
+def test_required_reference(spark):
+    seqs = spark.createDataFrame([("c", "acgt")], "name string, seq string")
+    made = files.checksum_extensions(files.checksums(seqs))
+    files.require_reference(made, seqs)
+    with pytest.raises(ReadsError, match="reference is required"):
+        files.require_reference(made, None)
+    with pytest.raises(ReadsError, match="checksum mismatch for c"):
+        files.require_reference(made, seqs.withColumn("seq", F.lit("acga")))
+    with pytest.raises(Exception, match="unknown required metadata"):
+        files.checksums_of(spark.createDataFrame([(99, 1, b"x")], files.EXTENSIONS)).collect()
+    assert files.checksums_of(spark.createDataFrame([(99, 0, b"x")], files.EXTENSIONS)).count() == 0
+
+
+def test_fasta_lines(spark, tmp_path):
+    (tmp_path / "r.fa").write_text(">one first\nACGT\nacgt\nAC\n>two\nTTTT\n")
+    lines = files.read_fasta_lines(spark, str(tmp_path / "r.fa"))
+    assert files.fetch_sequence(lines, "one", 2, 9) == "GTacgtA" and files.fetch_sequence(lines, "two", 0, 4) == "TTTT"
+    for name, start, end, error in (("one", 5, 11, "outside"), ("one", 4, 4, "outside"), ("no", 0, 1, "unknown contig")):
+        with pytest.raises(ReadsError, match=error):
+            files.fetch_sequence(lines, name, start, end)
+    assert {r.name: r.seq for r in files.read_fasta(spark, str(tmp_path / "r.fa")).collect()} == {"one": "ACGTacgtAC", "two": "TTTT"}
