@@ -77,6 +77,44 @@ def test_simhash_keeps_other_texts_of_a_repeated_id(spark):
     assert simhash.dedup_documents(docs(spark).limit(0)).count() == 0 and simhash.near_duplicates(docs(spark).limit(0)).count() == 0
 
 
+def test_roots_within():
+    rng = np.random.RandomState(8)
+    for tile in (4, 512):
+        base = rng.randint(0, 2**62, (6, 4)).astype(np.uint64)
+        prints = base[rng.randint(0, 6, 90)]
+        prints[np.arange(90), rng.randint(0, 4, 90)] ^= np.uint64(1) << rng.randint(0, 64, 90).astype(np.uint64)
+        root = list(range(90))
+        for _ in range(90):
+            for i in range(90):
+                for j in range(90):
+                    if sum(bin(int(x)).count("1") for x in prints[i] ^ prints[j]) <= 1:
+                        root[i] = root[j] = min(root[i], root[j])
+        assert simhash.roots_within(prints, 1, tile).tolist() == root
+
+
+def test_similar_texts(spark):
+    rng = np.random.RandomState(9)
+    rows, pairs = [], []
+    for k in range(60):
+        words_ = [f"w{int(x)}" for x in rng.randint(0, 5000, 300)]
+        near = list(words_)
+        for at in rng.randint(0, 300, 1 + k % 5):
+            near[at] = "changed"
+        far = list(words_)
+        for at in rng.randint(0, 300, 60):
+            far[at] = "other"
+        rows += [(3 * k, " ".join(words_)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(far))]
+    sets = {i: {tuple(t.split()[x : x + 5]) for x in range(296)} for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    rows += [(1000, None), (1001, ""), (None, rows[0][1]), (1002, "a b"), (1003, "a b"), (1004, "b a"), (3, rows[3][1]), (3, "another text of this id that is long enough to have shingles")]
+    got = [r.doc_id for r in simhash.dedup_similar(docs(spark, rows)).collect()]
+    near = [3 * k + 1 for k in range(60) if alike(3 * k, 3 * k + 1) >= 0.8]
+    assert len(near) > 40 and len(set(near) & set(got)) <= 0.05 * len(near)
+    assert {3 * k for k in range(60)} | {3 * k + 2 for k in range(60)} <= set(got)
+    assert got.count(3) == 2 and got.count(None) == 1 and {1000, 1002, 1004} <= set(got) and not {1001, 1003} & set(got)
+    assert simhash.dedup_similar(docs(spark).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("crowd,distance", [(1, 2), (3, 2), (32, 2), (1, 1), (32, 1), (1, 0)])
 def test_simhash_links(spark, crowd, distance):
     rng = np.random.RandomState(crowd)

@@ -8,7 +8,6 @@ from collections import defaultdict
 from pathlib import Path
 
 import pyarrow.parquet as pq
-import xxhash
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -44,24 +43,19 @@ def without_repeated_lines(rows):
     return [{**r, "text": "\n".join(x for x in r["text"].split("\n") if stays(x, r["doc_id"])) if r["text"] is not None else None} for r in rows]
 
 
-def one_of_each_group(rows):
-    def fingerprint(text):
+def holds_one_of_each_group(rows, kept):
+    """Whether no two kept texts are as alike as 0.9, and every text that went was like another."""
+    def shingles(text):
         w = (text or "").encode().lower().split()
-        h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))] if w else []
-        return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
-
-    found = sorted((r["doc_id"], fingerprint(r["text"])) for r in rows)
-    root = dict.fromkeys((i for i, _ in found))
-    for i, f in found:
-        near, todo = {i}, [f]
-        while todo:
-            f = todo.pop()
-            for j, x in found:
-                if j not in near and bin(x ^ f).count("1") <= 2:
-                    near.add(j)
-                    todo.append(x)
-        root[i] = min(near)
-    return [r for r in rows if root[r["doc_id"]] == r["doc_id"]]
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()}
+
+    sets = {r["doc_id"]: shingles(r["text"]) for r in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    stay = sorted(kept)
+    assert not [(a, b) for i, a in enumerate(stay) for b in stay[:i] if alike(a, b) >= 0.9]
+    exact = [i for i in sets if any(j < i and sets[i] == sets[j] for j in sets)]
+    assert exact and not set(exact) & kept
+    return all(max(alike(i, j) for j in sets if j != i) >= 0.6 for i in sets.keys() - kept)
 
 
 def without_leaks(rows, items):
@@ -102,7 +96,11 @@ def test_run_against_plain_python(spark):
     rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     items = [r["text"] for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
-    want = without_leaks(one_of_each_group(without_repeated_lines(good(rows, quality.train(docs, labels)))), items)
+    lines = without_repeated_lines(good(rows, quality.train(docs, labels)))
+    frame = spark.createDataFrame([(r["doc_id"], r["text"]) for r in lines], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, SF).collect()}
+    assert holds_one_of_each_group(lines, kept)
+    want = without_leaks([r for r in lines if r["doc_id"] in kept], items)
     assert 0 < len(want) < len(rows)
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.text, r.source, r.lang) for r in got) == sorted((r["doc_id"], r["text"], r["source"], r["lang"]) for r in want)
