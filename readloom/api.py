@@ -14,7 +14,7 @@ from readloom.operators import chunking, depth
 from readloom.operators.stats import stats, stats_tsv  # noqa: F401
 from readloom.schema import ReadsError, project
 from readloom.sources import blocks
-from readloom.sources.files import assert_valid, contigs_of, convert, export_bam, export_sam, file_bytes, index_bam, open_dataset, read_bam, read_sam, require_contig, sniff_path  # noqa: F401
+from readloom.sources.files import assert_valid, contigs_of, convert, export_bam, export_sam, file_bytes, find_bam_index, index_bam, open_dataset, read_bam, read_bam_region, read_bam_split, read_sam, require_contig, sniff_path  # noqa: F401
 
 
 def open_reads(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +49,8 @@ def view(reads: DataFrame, region: str, flag_exclude: int = 0, min_mapq: int = 0
 
 def view_path(spark: SparkSession, path: str, region: str, flag_exclude: int = 0, min_mapq: int = 0) -> DataFrame:
     """``view`` of a file or dataset; a contig that it doesn't list is an error."""
+    if sniff_path(spark, path) == "BAM" and find_bam_index(spark, path):
+        return view(read_bam_region(spark, path, parse_region(region)), region, flag_exclude, min_mapq)
     return view(open_reads(spark, path), region, flag_exclude, min_mapq, contigs_of(spark, path))
 
 

@@ -7,7 +7,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 from typing import BinaryIO
@@ -70,25 +70,83 @@ def _tags(data: bytes, at: int, end: int) -> str:
     return "\t".join(out)
 
 
+class Bgzf:
+    """Reads a BGZF file from a virtual offset (place of a block, and place in its plain bytes)."""
+
+    def __init__(self, file: BinaryIO, offset: int = 0):
+        self.file, self.at, self.next, self.plain, self.used = file, 0, offset >> 16, b"", 0
+        file.seek(self.next)
+        if offset & 0xFFFF:
+            self.block()
+            self.used = offset & 0xFFFF
+
+    def block(self) -> bool:
+        head = self.file.read(12)
+        if not head:
+            return False
+        if len(head) < 12 or head[:2] != b"\x1f\x8b" or not head[3] & 4:
+            raise ReadsError("not a BGZF block")
+        extra = self.file.read(struct.unpack("<H", head[10:])[0])
+        at = 0
+        while extra[at : at + 2] != b"BC":
+            if at >= len(extra):
+                raise ReadsError("not a BGZF block")
+            at += 4 + struct.unpack_from("<H", extra, at + 2)[0]
+        size = struct.unpack_from("<H", extra, at + 4)[0] + 1
+        body = self.file.read(size - 12 - len(extra))
+        if len(body) < size - 12 - len(extra):
+            raise ReadsError("truncated BAM file")
+        self.at, self.next, self.plain, self.used = self.next, self.next + size, zlib.decompress(body[:-8], -15), 0
+        return True
+
+    def read(self, n: int) -> bytes:
+        out = []
+        while n:
+            if self.used == len(self.plain) and not self.block():
+                break
+            part = self.plain[self.used : self.used + n]
+            out.append(part)
+            self.used += len(part)
+            n -= len(part)
+        return b"".join(out)
+
+    def tell(self) -> int:
+        return self.next << 16 if self.used == len(self.plain) else self.at << 16 | self.used
+
+
 def decode_bam(file: BinaryIO) -> tuple[list[tuple[str, int]], Iterator[tuple]]:
     """Contigs, and rows of ``READS``, of a BAM file that is read as a stream (BGZF blocks are gzip members)."""
     plain = gzip.GzipFile(fileobj=file)
+    contigs = bam_header(plain)
+    return contigs, bam_rows(plain, contigs)
 
+
+def _taker(plain) -> Callable[[int], bytes]:
     def take(n: int) -> bytes:
         data = plain.read(n)
         if len(data) < n:
             raise ReadsError("truncated BAM file")
         return data
 
+    return take
+
+
+def bam_header(plain) -> list[tuple[str, int]]:
+    take = _taker(plain)
     number = lambda: struct.unpack("<i", take(4))[0]
     if plain.read(4) != b"BAM\x01":
         raise ReadsError("invalid BAM magic")
     take(number())
-    contigs = [(take(number())[:-1].decode(), number()) for _ in range(number())]
+    return [(take(number())[:-1].decode(), number()) for _ in range(number())]
+
+
+def bam_rows(plain, contigs: list[tuple[str, int]], end: int | None = None) -> Iterator[tuple]:
+    """Rows of ``READS``, of a ``Bgzf`` up to the virtual offset ``end``."""
+    take = _taker(plain)
     name = lambda i: contigs[i][0] if i >= 0 else "*"
 
     def rows() -> Iterator[tuple]:
-        while head := plain.read(4):
+        while (end is None or plain.tell() < end) and (head := plain.read(4)):
             if len(head) < 4:
                 raise ReadsError("truncated BAM record")
             data = take(struct.unpack("<i", head)[0])
@@ -108,7 +166,7 @@ def decode_bam(file: BinaryIO) -> tuple[list[tuple[str, int]], Iterator[tuple]]:
             mate_name = "*" if mate < 0 else "=" if mate == ref else name(mate)
             yield qname, flag, name(ref), pos, mapq, "".join(f"{o >> 4}{BAM_OPS[o & 15]}" for o in ops) or "*", mate_name, mate_pos, length, seq, text, tags
 
-    return contigs, rows()
+    return rows()
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -155,6 +213,75 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, made)
 
 
+def read_bam_ranges(spark: SparkSession, path: str, contigs: list[tuple[str, int]], ranges: list[tuple[int, int | None]]) -> DataFrame:
+    """Reads of one BAM file between virtual offsets, a range to a task; ``ord`` goes by the file."""
+    made = T.StructType([*READS.fields, T.StructField("ord", ORD)])
+    schema, uri = to_arrow_schema(made), _first_file(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, name = _store(uri)
+        for batch in batches:
+            for begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_input_file(name) as file:
+                    rows, at = bam_rows(Bgzf(file, begin), contigs, end), 0
+                    while held := [(*r, {"file": uri, "start": begin, "row": at + i}) for i, r in enumerate(islice(rows, 10_000))]:
+                        at += len(held)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    table = spark.createDataFrame(ranges, "begin long, end long")
+    return table.repartitionByRange(max(1, len(ranges)), "begin").mapInArrow(run, made)
+
+
+def bam_start(spark: SparkSession, path: str) -> tuple[list[tuple[str, int]], int]:
+    """Contigs of a BAM file, and the virtual offset of its first record."""
+    store, name = _store(_first_file(spark, path))
+    with store.open_input_file(name) as file:
+        plain = Bgzf(file)
+        return bam_header(plain), plain.tell()
+
+
+def read_bam_split(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
+    """All reads of one BAM file by many tasks: cut where the index beside it says that records begin."""
+    found = find_bam_index(spark, path)
+    if found is None:
+        raise ReadsError(f"no index beside {path}")
+    contigs, first = bam_start(spark, path)
+    cuts = [first]
+    for begin in sorted(c[2] for c in parse_index(file_bytes(spark, found)).chunks):
+        if (begin >> 16) - (cuts[-1] >> 16) >= split_bytes:
+            cuts.append(begin)
+    return read_bam_ranges(spark, path, contigs, list(zip(cuts, [*cuts[1:], None], strict=True)))
+
+
+def read_bam_region(spark: SparkSession, path: str, region: Region) -> DataFrame:
+    """Reads of a BAM file that overlap a region, with ``end_pos``: only what the index beside it names is read.
+
+    Chunks of the bins that meet the region are joined where they touch, each range to a task. No index, and a contig that
+    the header lacks, are errors.
+    """
+    found = find_bam_index(spark, path)
+    if found is None:
+        raise ReadsError(f"no index beside {path}")
+    contigs, _ = bam_start(spark, path)
+    names = [c[0] for c in contigs]
+    if region.ref not in names:
+        raise ReadsError(f"unknown contig: {region.ref}")
+    index = parse_index(file_bytes(spark, found))
+    ref, bins = names.index(region.ref), set()
+    for level in range(index.depth + 1):
+        shift, base = index.min_shift + 3 * (index.depth - level), records.level_offset(level)
+        bins |= set(range(base + (region.start >> shift), base + (region.end - 1 >> shift) + 1))
+    least = max((at for r, i, at in index.linear if r == ref and i <= region.start >> 14), default=0)  # no record before it reaches the region
+    ranges: list[list[int]] = []
+    for begin, end in sorted((b, e) for r, k, b, e in index.chunks if r == ref and k in bins and e > least):
+        if ranges and begin <= ranges[-1][1]:
+            ranges[-1][1] = max(ranges[-1][1], end)
+        else:
+            ranges.append([begin, end])
+    reads = read_bam_ranges(spark, path, contigs, [tuple(r) for r in ranges])
+    return reads.withColumn("end_pos", F.col("pos") + cigar.reference_span(F.col("cigar"))).where(in_region(region))
+
+
 def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
     """The contigs of the header, numbered in its order."""
     store, name = _store(_first_file(spark, path))

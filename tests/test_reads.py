@@ -353,3 +353,63 @@ def test_fasta_lines(spark, tmp_path):
         with pytest.raises(ReadsError, match=error):
             files.fetch_sequence(lines, name, start, end)
     assert {r.name: r.seq for r in files.read_fasta(spark, str(tmp_path / "r.fa")).collect()} == {"one": "ACGTacgtAC", "two": "TTTT"}
+
+
+def bai_of(path):
+    """An index of a BAM file by its own records: a bin's neighbouring records are one chunk."""
+    with open(path, "rb") as file:
+        plain = files.Bgzf(file)
+        contigs = files.bam_header(plain)
+        bins, linear, n = [{} for _ in contigs], [{} for _ in contigs], 0
+        while True:
+            begin = plain.tell()
+            head = plain.read(4)
+            if not head:
+                break
+            data = plain.read(struct.unpack("<i", head)[0])
+            ref, pos, _, _, bin_id = struct.unpack_from("<iiBBH", data)
+            end = plain.tell()
+            if ref < 0:
+                continue
+            n += 1
+            chunks = bins[ref].setdefault(bin_id, [])
+            if chunks and chunks[-1][1] == begin:
+                chunks[-1][1] = end
+            else:
+                chunks.append([begin, end])
+            linear[ref].setdefault(pos >> 14, begin)
+    out = b"BAI\x01" + struct.pack("<i", len(contigs))
+    for mine, _ in zip(bins, linear, strict=True):
+        out += struct.pack("<i", len(mine))
+        for bin_id, chunks in sorted(mine.items()):
+            out += struct.pack("<Ii", bin_id, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+        out += struct.pack("<i", 0)
+    return out
+
+
+def test_bam_by_its_index(spark, tmp_path):
+    from readloom.sources import derived
+
+    reads = derived.reads(spark, "/root/testdata/sf0.001")
+    contigs = spark.createDataFrame([(i, f"chr{i + 1}", 102_400) for i in range(5)], "ref_id int, name string, length long")
+    files.export_bam(reads.coalesce(1), contigs, str(tmp_path / "out"))
+    parts = sorted((tmp_path / "out").glob("*.bam"))
+    for part in parts:
+        part.with_suffix(".bam.bai").write_bytes(bai_of(part))
+        whole = files.read_bam(spark, str(part))
+        for size in (1 << 10, 1 << 30):
+            split = files.read_bam_split(spark, str(part), size)
+            assert split.select(*files.READS.fieldNames()).exceptAll(whole.select(*files.READS.fieldNames())).count() == 0 and split.count() == whole.count()
+        assert files.read_bam_split(spark, str(part), 1 << 10).rdd.getNumPartitions() > 1
+        held = [tuple(r) for r in files.contigs_of(spark, str(part)).collect()]
+        assert held == [(i, f"chr{i + 1}", 102_400) for i in range(5)]
+        for text in ("chr2:20001-60000", "chr1:1-10", "chr3:16384-16386"):
+            want = api.query_region(api.open_reads(spark, str(part)), text).select("qname", "pos", "end_pos").collect()
+            got = files.read_bam_region(spark, str(part), parse_region(text)).select("qname", "pos", "end_pos").collect()
+            assert sorted(got) == sorted(want)
+        assert [r.sam_line for r in api.view_path(spark, str(part), "chr2:20001-60000").collect()] == [r.sam_line for r in api.view(api.open_reads(spark, str(part)), "chr2:20001-60000").collect()]
+    with pytest.raises(ReadsError, match="unknown contig"):
+        api.view_path(spark, str(parts[0]), "nope:1-2")
+    with pytest.raises(ReadsError, match="no index"):
+        (tmp_path / "bare.bam").write_bytes(parts[0].read_bytes())
+        files.read_bam_region(spark, str(tmp_path / "bare.bam"), parse_region("chr1:1-2"))
