@@ -128,63 +128,6 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return Model(raw.good, raw.bad, intercept, slope)
 
 
-def score(self, difference: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.intercept + self.slope * difference, -30, 30))))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Intercept and slope by Newton's method; either class counts half. No slope below 0 and none without both classes."""
-    if not len(y) or y.min() == y.max():
-        return (0.0 if not len(y) else 2.0 * (2 * float(y[0]) - 1)), 0.0
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
-    scale = float(x.std()) or 1.0
-    a = np.stack([np.ones_like(x), x / scale], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (weight * (y - p)) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0]), max(0.0, float(w[1] / scale))
-
-
-def held_out(id_col: str) -> Column:
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-
-
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1500, dictionary_bytes: int = 1_000_000, text_bytes_most: int = 4096) -> Model:
-    """Fits on ``per_class`` labelled documents of either class, those of the smallest MD5 of the id, outside the fold.
-
-    The sample is bounded whatever the input: its ids are chosen from ``labels`` alone and broadcast to find the
-    texts, of which the first ``text_bytes_most`` bytes are used, for fitting alone. Two thirds go to the dictionaries,
-    one third to the curve. A class without documents leaves its dictionary empty and every score neutral.
-    """
-    order = F.md5(F.col(id_col).cast("string"))
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("quality").cast("int").alias("_rl_good"))
-    chosen = [usable.where(F.col("_rl_good") == k).withColumn("_rl_order", order).orderBy("_rl_order").limit(per_class) for k in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1])  # at most 2 * per_class rows
-    found = docs.join(F.broadcast(ids), id_col).select("_rl_order", "_rl_good", F.substring(text_bytes(text_col), 1, text_bytes_most).alias("_rl_text"))
-    rows = sorted(found.groupBy("_rl_order", "_rl_good").agg(F.min("_rl_text").alias("_rl_text")).collect())  # bounded as the sample is
-    parts: dict[int, list[bytes]] = {0: [], 1: []}
-    curve: list[tuple[int, bytes]] = []
-    for i, row in enumerate(rows):
-        if i % 3 == 2:
-            curve.append((row["_rl_good"], bytes(row["_rl_text"])))
-        else:
-            parts[row["_rl_good"]].append(bytes(row["_rl_text"]))
-
-    def content(texts: list[bytes]) -> bytes:
-        each = max(64, dictionary_bytes // max(1, len(texts)))
-        return b"\n".join(t[:each] for t in texts)[:dictionary_bytes]
-
-    raw = Model(content(parts[1]), content(parts[0]), 0.0, 0.0)
-    tools = raw.compressors()
-    x = np.array([raw.difference(t, tools) for _, t in curve])
-    intercept, slope = logistic(x, np.array([k for k, _ in curve], float))
-    return Model(raw.good, raw.bad, intercept, slope)
-
-
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with ``score_col``, the probability that the text is good: whole texts, only the text counts.
 
