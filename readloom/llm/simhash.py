@@ -15,7 +15,7 @@ keeps the same components with work in proportion to their number, whatever the
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -258,11 +258,12 @@ PRINTS = [f"f{k}" for k in range(WORDS)]
 SKETCH = f"id long, md5 string, {', '.join(f'{p} long' for p in PRINTS)}, parts array<long>"
 
 
-def bit_limit(similarity: float) -> int:
-    """The bits in which texts of this Jaccard similarity may differ: those expected of their angle, and two deviations."""
+def bit_limits(similarity: float) -> tuple[int, int]:
+    """The bits expected to differ in texts of this Jaccard similarity, less two deviations and plus three."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * WORDS
-    return math.floor(n * p + 2 * math.sqrt(n * p * (1 - p)))
+    deviation = math.sqrt(n * p * (1 - p))
+    return math.floor(n * p - 2 * deviation), math.floor(n * p + 3 * deviation)
 
 
 def sketches(docs: DataFrame, *, width: int, parts: int, least: int) -> DataFrame:
@@ -319,70 +320,76 @@ def sketches(docs: DataFrame, *, width: int, parts: int, least: int) -> DataFram
     return docs.select("id", "md5", text_bytes("text").alias("text")).mapInArrow(run, SKETCH)
 
 
-def roots_within(prints: np.ndarray, limit: int, tile: int = 512) -> np.ndarray:
-    """For each fingerprint the first one of its component of links within ``limit`` bits.
+def nearest_tree(prints: np.ndarray, sure: int, limit: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) that span the components of links within ``limit`` bits, and their bits: in each pair of tiles the nearest first.
 
-    A few of them are first compared with all; tiles whose fingerprints are then one component are not compared, so a crowd
-    of near copies takes work in proportion to its number.
+    A few fingerprints are first compared with all and linked with those within ``sure`` bits; tiles whose fingerprints are then
+    one component are not compared, so a crowd of near copies takes work in proportion to its number.
     """
     n = len(prints)
-    root = np.arange(n)
-
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            low = np.minimum(root[a], root[b])
-            if (root[a] == low).all() and (root[b] == low).all():
-                return
-            for x in (a, b):
-                old = root[x]
-                np.minimum.at(root, old, low)
-                np.minimum.at(root, x, low)
-            root[:] = root[root]
+    root = list(range(n))
+    found: list[tuple[int, int, int]] = []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(pairs: Iterable[tuple[int, int, int]]) -> None:
+        for bits, a, b in pairs:
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                found.append((a, b, bits))
 
     leader = 0
     for _ in range(8):
-        near = np.flatnonzero(np.bitwise_count(prints ^ prints[leader]).sum(axis=1) <= limit)
-        join(np.full(len(near), leader), near)
-        left = np.flatnonzero(root == np.arange(n))
-        left = left[left > leader]
-        if not len(left):
+        bits = np.bitwise_count(prints ^ prints[leader]).sum(axis=1)
+        near = np.flatnonzero(bits <= sure)
+        join(zip(bits[near].tolist(), [leader] * len(near), near.tolist(), strict=True))
+        leader = next((x for x in range(leader + 1, n) if root[x] == x), n)
+        if leader == n:
             break
-        leader = int(left[0])
+    flat = np.array([find(x) for x in range(n)])  # of some time before: what was one then is still one
     for i in range(0, n, tile):
         for j in range(i, n, tile):
-            both = np.concatenate([root[i : i + tile], root[j : j + tile]])
-            if (both == both[0]).all():
+            if (flat[i : i + tile] == flat[i]).all() and (flat[j : j + tile] == flat[i]).all():
                 continue
-            near = np.bitwise_count(prints[i : i + tile, None] ^ prints[None, j : j + tile]).sum(axis=2) <= limit
-            a, b = np.nonzero(near)
-            join(a + i, b + j)
-    return root
+            for k in (i, j):
+                flat[k : k + tile] = [find(x) for x in range(k, min(k + tile, n))]
+            ours, theirs = flat[i : i + tile], flat[j : j + tile]
+            bits = np.bitwise_count(prints[i : i + tile, None] ^ prints[None, j : j + tile]).sum(axis=2)
+            a, b = np.nonzero((bits <= limit) & (ours[:, None] != theirs))
+            order = np.argsort(bits[a, b], kind="stable")
+            a, b = a[order], b[order]
+            join(zip(bits[a, b].tolist(), (a + i).tolist(), (b + j).tolist(), strict=True))
+    return tuple(np.array(column, np.int64) for column in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def similar_links(nodes: DataFrame, limit: int) -> DataFrame:
-    """Edges (u, v) with the components of all pairs of ``nodes`` (node, f0.., parts) that share a part's fingerprint and
-    whose whole ones are within ``limit`` bits: a star for each component of each group.
+def similar_links(nodes: DataFrame, sure: int, limit: int) -> DataFrame:
+    """Edges (u, v, sure) that span the links of ``nodes`` (node, f0.., parts) that share a part's fingerprint and whose whole
+    ones are within ``limit`` bits: a tree for each component of each group, sure where within ``sure`` bits.
 
     Parts are first counted by node alone; fingerprints travel only for nodes that share a part with another.
     """
-    links = out_schema("u long, v long")
+    links = out_schema("u long, v long, sure boolean")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def settle(rows: np.ndarray) -> pa.RecordBatch | None:
-            u, v = [], []
+            edges = []
             starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
             ends = np.append(starts[1:], len(rows))
             for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                root = roots_within(rows[a:b, 2:].view(np.uint64), limit)
-                mine = np.flatnonzero(root != np.arange(b - a))
-                u.append(rows[a + mine, 1])
-                v.append(rows[a + root[mine], 1])
-            if not u or not sum(map(len, u)):
+                u, v, bits = nearest_tree(rows[a:b, 2:].view(np.uint64), sure, limit)
+                u, v = rows[a + u, 1], rows[a + v, 1]
+                edges.append(np.stack([np.maximum(u, v), np.minimum(u, v), bits <= sure]))
+            if not edges or not sum(e.shape[1] for e in edges):
                 return None
-            pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=links)
+            u, v, near = np.unique(np.concatenate(edges, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(near.astype(bool))], schema=links)
 
         for batch in batches:
             rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + WORDS)], axis=1)
@@ -402,7 +409,25 @@ def similar_links(nodes: DataFrame, limit: int) -> DataFrame:
     entries = nodes.select(F.explode("parts").alias("part"), "node").repartition("part")
     shared = entries.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
     meeting = entries.join(shared, "part").join(nodes.select("node", *PRINTS), "node").select("part", "node", *PRINTS)
-    return meeting.repartition("part").sortWithinPartitions("part", "node").mapInArrow(meet, "u long, v long").distinct()
+    return meeting.repartition("part").sortWithinPartitions("part", "node").mapInArrow(meet, "u long, v long, sure boolean").distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, *, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose ``texts`` (node, text) have sets of shingles as alike as ``similarity``, exactly."""
+    links = out_schema("u long, v long")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for i, (a, b) in enumerate(rows_of(batch, "a", "b")):
+                x, y = set(shingle_hashes(a, width)), set(shingle_hashes(b, width))
+                common = len(x & y)
+                if common >= similarity * (len(x) + len(y) - common):
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(kept, pa.int64())), batch.column("v").take(pa.array(kept, pa.int64()))], schema=links)
+
+    first, second = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "a"), ("v", "b")))
+    return pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
 def dedup_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, parts: int = 14, least: int = 5) -> DataFrame:
@@ -410,15 +435,22 @@ def dedup_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Fingerprints of texts as alike as 0.8 differ in 15 of 100 bits, where no grid of bit counts tells them from others. So
     candidates are texts that share the fingerprint of one of ``parts`` samples of their shingles, and the fingerprints of all
-    shingles, of 512 bits, are then compared within ``bit_limit``. At 0.8 a pair is found with probability 0.996, and its bits
-    are within the limit with 0.97; at 0.65 one pair in twenty is within, at 0.6 one in two hundred. Which row stays, nulls and ties: as in
-    ``dedup_documents``.
+    shingles, of 512 bits, are then compared. Pairs within the lower of ``bit_limits`` are similar (an error for one pair in forty
+    just below ``similarity``), those beyond the upper are not; of those between, the nearest that link two components
+    are compared by their whole texts. At 0.8 a pair is a candidate with probability 0.996 and within the upper limit with
+    0.998. Which row stays, nulls and ties: as in ``dedup_documents``.
     """
     digest = F.md5(text_bytes(text_col))
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), digest.alias("md5"), F.col(text_col).alias("text"))
     known = saved(sketches(named, width=width, parts=parts, least=least).withColumn("node", F.xxhash64(*PRINTS)), "sketches")
     nodes = known.groupBy("node", *PRINTS).agg(F.min("parts").alias("parts"))
-    linked = components(similar_links(nodes, bit_limit(similarity)))
+    links = saved(similar_links(nodes, *bit_limits(similarity)), "links")
+    open_pairs = links.where("NOT sure").select("u", "v")
+    asked = open_pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    owners = known.groupBy("node").agg(F.min(F.struct("id", "md5")).alias("one")).join(asked, "node", "left_semi").select("node", "one.*")
+    texts = saved(named.join(saved(owners, "owners"), ["id", "md5"]).select("node", text_bytes("text").alias("text")).dropDuplicates(["node"]), "asked")
+    edges = links.where("sure").select("u", "v").unionByName(alike(open_pairs, texts, width=width, similarity=similarity))
+    linked = components(edges)
     return keep_first(docs, known.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), id_col, digest)
 
 

@@ -77,9 +77,9 @@ def test_simhash_keeps_other_texts_of_a_repeated_id(spark):
     assert simhash.dedup_documents(docs(spark).limit(0)).count() == 0 and simhash.near_duplicates(docs(spark).limit(0)).count() == 0
 
 
-def test_roots_within():
+def test_nearest_tree():
     rng = np.random.RandomState(8)
-    for tile in (4, 512):
+    for tile, sure in ((4, 1), (512, 1), (4, -1), (512, 0)):
         base = rng.randint(0, 2**62, (6, 4)).astype(np.uint64)
         prints = base[rng.randint(0, 6, 90)]
         prints[np.arange(90), rng.randint(0, 4, 90)] ^= np.uint64(1) << rng.randint(0, 64, 90).astype(np.uint64)
@@ -89,7 +89,13 @@ def test_roots_within():
                 for j in range(90):
                     if sum(bin(int(x)).count("1") for x in prints[i] ^ prints[j]) <= 1:
                         root[i] = root[j] = min(root[i], root[j])
-        assert simhash.roots_within(prints, 1, tile).tolist() == root
+        a, b, bits = simhash.nearest_tree(prints, sure, 1, tile)
+        assert all(sum(bin(int(x)).count("1") for x in prints[i] ^ prints[j]) == d <= 1 for i, j, d in zip(a, b, bits, strict=True))
+        got = list(range(90))
+        for _ in range(90):
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                got[i] = got[j] = min(got[i], got[j])
+        assert got == root and len(a) == 90 - len(set(root))
 
 
 def test_similar_texts(spark):
