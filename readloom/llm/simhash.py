@@ -212,14 +212,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     their rows. Other columns are ignored; an empty table gives no rows.
     """
     known = saved(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    return known.join(components_of(known, distance), "fp").select("id", "fp", "component")
+    return join_groups(known, saved(components_of(known, distance), "groups"), "fp").select("id", "fp", "component")
 
 
 def components_of(known: DataFrame, distance: int) -> DataFrame:
-    """(fp, component) of each fingerprint of ``known`` (id, fp)."""
-    reps = known.groupBy("fp").agg(F.min("id").alias("rep"))
+    """(fp, component, n: its rows) of each fingerprint of ``known`` (id, fp)."""
+    reps = known.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     linked = components(near_links(reps.where("rep IS NOT NULL"), distance=distance))
-    return reps.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return reps.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"), "n")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``groups`` (key, n: its rows, component).
+
+    Keys with over one in 10,000 of all rows, of which there are fewer than 10,000, are broadcast: no task gets the rows of a hot key.
+    """
+    share = rows.count() / 10_000
+    hot, cold = F.broadcast(groups.where(F.col("n") > share).drop("n")), groups.where(F.col("n") <= share).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def in_components(known: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """(component, id, md5) of ``known`` (key, id, md5); ``linked`` (key, component) leaves out keys that are their own component."""
+    groups = known.groupBy(key).agg(F.count("*").alias("n")).join(linked, key, "left").withColumn("component", F.coalesce("component", key))
+    return join_groups(known.select(key, "id", "md5"), saved(groups, "groups"), key)
 
 
 def dedup_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
@@ -234,14 +250,15 @@ def dedup_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = saved(fingerprints(named, id_col="id", text_col="text", width=width, carry=("md5",)), "fingerprints")
     prints = known.select("fp", F.col("fp").alias("rep")).distinct()  # groups go by fingerprints, as ids may repeat
     linked = components(near_links(prints, distance=distance)).withColumnRenamed("node", "fp")
-    return keep_first(docs, known.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp")), id_col, digest)
+    return keep_first(docs, in_components(known, linked, "fp"), id_col, digest)
 
 
 def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, digest: Column) -> DataFrame:
     """``docs`` with one row of each component of ``rows`` (component, id, md5)."""
     rows = rows.groupBy("component", "id", "md5").agg(F.count("*").alias("n"))
-    first = rows.groupBy("component").agg(F.min(F.struct("id", "md5")).alias("first"))
-    rows = saved(rows.join(first, "component").withColumn("stays", F.struct("id", "md5") == F.col("first")).select(F.col("id").alias("_rl_id"), F.col("md5").alias("_rl_md5"), "stays", "n"), "members")
+    first = rows.groupBy("component").agg(F.min(F.struct("id", "md5")).alias("first")).select("first.*", F.lit(True).alias("stays"))
+    told = rows.join(first, ["id", "md5"], "left")  # not by component, which may hold a third of all rows
+    rows = saved(told.select(F.col("id").alias("_rl_id"), F.col("md5").alias("_rl_md5"), F.coalesce("stays", F.lit(False)).alias("stays"), "n"), "members")
     same = [F.col(id_col).cast("long") == F.col("_rl_id"), digest == F.col("_rl_md5")]
     kept = docs.join(rows.where("NOT stays").select("_rl_id", "_rl_md5"), same, "left_anti")
     again = rows.where("stays AND n > 1").select("_rl_id", "_rl_md5")
@@ -451,7 +468,7 @@ def dedup_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     texts = saved(named.join(saved(owners, "owners"), ["id", "md5"]).select("node", text_bytes("text").alias("text")).dropDuplicates(["node"]), "asked")
     edges = links.where("sure").select("u", "v").unionByName(alike(open_pairs, texts, width=width, similarity=similarity))
     linked = components(edges)
-    return keep_first(docs, known.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), id_col, digest)
+    return keep_first(docs, in_components(known, linked, "node"), id_col, digest)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
