@@ -460,11 +460,11 @@ def dedup_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     digest = F.md5(text_bytes(text_col))
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), digest.alias("md5"), F.col(text_col).alias("text"))
     known = saved(sketches(named, width=width, parts=parts, least=least).withColumn("node", F.xxhash64(*PRINTS)), "sketches")
-    nodes = known.groupBy("node", *PRINTS).agg(F.min("parts").alias("parts"))
+    nodes = saved(known.groupBy("node", *PRINTS).agg(F.min("parts").alias("parts"), F.min(F.struct("id", "md5")).alias("one")), "nodes")
     links = saved(similar_links(nodes, *bit_limits(similarity)), "links")
     open_pairs = links.where("NOT sure").select("u", "v")
     asked = open_pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    owners = known.groupBy("node").agg(F.min(F.struct("id", "md5")).alias("one")).join(asked, "node", "left_semi").select("node", "one.*")
+    owners = nodes.select("node", "one.*").join(asked, "node", "left_semi")  # of the table: below an aggregate the join would deal out all rows
     texts = saved(named.join(saved(owners, "owners"), ["id", "md5"]).select("node", text_bytes("text").alias("text")).dropDuplicates(["node"]), "asked")
     edges = links.where("sure").select("u", "v").unionByName(alike(open_pairs, texts, width=width, similarity=similarity))
     linked = components(edges)
