@@ -117,6 +117,17 @@ def weights(c: np.ndarray, high: np.ndarray, low: np.ndarray, least: float) -> t
     return np.where(c > 0, factor, 1.0), np.where(c > 0, (1 - high * factor) / np.maximum(1 - low, least), 1.0)
 
 
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct key, in the order of the keys, and the group of each place; numbers of 32 bits keep them small."""
+    order = np.argsort(keys, kind="stable").astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
+    del ordered
+    group = np.empty_like(order)
+    group[order] = np.cumsum(new, dtype=order.dtype) - 1
+    return order[new], group
+
+
 def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -240,12 +251,15 @@ class Shelf:
         g, h, w, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.sizes = [len(p[0]) for p in parts]
         del parts
-        _, first, self.row = np.unique(mix(mix(g, h), w), return_index=True, return_inverse=True)
+        first, self.row = groups(mix(mix(g, h), w))
         self.c = np.bincount(self.row, seen, len(first)).astype(np.int64)
-        self.g, self.h, self.w = g[first], h[first], w[first]
-        self.words, at, self.word = np.unique(self.h, return_index=True, return_inverse=True)
+        g, h, w = g[first], h[first], w[first]
+        self.g, self.h, self.w = g, h, w
+        del seen, first
+        at, self.word = groups(h)
+        self.words = h[at]
         self.heads = np.bincount(self.word, self.c).astype(np.int64)
-        _, at, self.pair = np.unique(mix(self.h, self.w), return_index=True, return_inverse=True)
+        at, self.pair = groups(mix(h, w))
         self.pairs = np.bincount(self.pair, self.c).astype(np.int64)
         self.pair_h, self.pair_w, self.pair_word = self.h[at], self.w[at], self.word[at]
         self.pair_split = np.flatnonzero(model.split(self.pair_h) > 1)
@@ -301,11 +315,13 @@ class Shelf:
         split = hot & (m.cells[number] > 1)
         factor[split], back[split] = m.factor[number[split]], m.backoff[number[split]]
         p2 = np.where(self.pairs > 0, factor[self.pair_word] * ratio, back[self.pair_word] * p1)
-        _, context = np.unique(mix(self.g, self.h), return_inverse=True)
+        context = groups(mix(self.g, self.h))[1]
         times = np.bincount(context, self.c)
+        del ratio, p1, last, known, rare
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(self.c > 0, m.d3[np.minimum(self.c, GOOD_TURING + 1)] * self.c / times[context], 0.0)
         p2 = p2[self.pair]
+        self.g = self.w = self.pair = None  # most of the memory, not needed again
         factor, back = weights(times, np.bincount(context, ratio), np.bincount(context, p2 * (self.c > 0)), 1e-300)
         score = np.log10(np.where(self.c > 0, factor[context] * ratio, back[context] * p2))
         begin = self.words == BEGIN
