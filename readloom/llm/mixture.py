@@ -3,20 +3,21 @@
 Each source has a weight schedule over training time 0..1. Its integral, scaled to the
 source's target, is the cumulative token demand; inverting that at a document's offset in
 its source's shuffled stream gives the document's training position, and the documents
-are range-sorted by position. DataFrame operations alone.
+are range-sorted by position. DataFrame operations alone, but that the schedules of very many sources are asked for in Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TOKEN_PATTERN, saved, table
+from .common import TOKEN_PATTERN, out_schema, saved, table
 
-#: More sources than this are an error: one row each of them goes to the driver.
+#: Targets of up to so many sources, a short row each, are worked out on the driver; of more by aggregates over a table of them.
 MAX_SOURCES = 1_000_000
 #: The plan of so many sources, a short row each, is broadcast; a longer one is joined by a shuffle.
 BROADCAST_SOURCES = 50_000
@@ -51,6 +52,45 @@ def position(share: Column, start: Column, end: Column) -> Column:
     return F.when(slope == 0, share).otherwise((root - start) / slope)
 
 
+PLAN = "_rl_source string, source_size long, target double, _rl_start double, _rl_end double"
+
+
+def plan_of_many(totals: DataFrame, source_col: str, weights: tuple[float, ...], cap: float, schedule: Callable[[int], tuple[float, float]]) -> DataFrame:
+    """``PLAN`` of a row for each of ``totals`` (source, size), as ``targets`` has it, with nothing but sums on the driver.
+
+    Sources are numbered by their place in a range sort. A source is at its cap where the water level, what is left over
+    the weights that are free, times its weight is more; the level only rises, so each round is one aggregate.
+    """
+    place = F.monotonically_increasing_id()  # partition and place in it
+    ordered = totals.repartitionByRange(F.col(source_col).asc_nulls_last()).sortWithinPartitions(F.col(source_col).asc_nulls_last())
+    ordered = saved(ordered.select(F.col(source_col).alias("_rl_source"), F.col("size").alias("source_size"), F.shiftright(place, 33).alias("part"), (place % (1 << 33)).alias("at")), "sources")
+    starts, n = {}, 0
+    for row in ordered.groupBy("part").count().orderBy("part").collect():  # a row for each partition
+        starts[row["part"]], n = n, n + row["count"]
+    offsets = ordered.sparkSession.createDataFrame(list(starts.items()), "part long, start long")
+    ranked = ordered.join(F.broadcast(offsets), "part").withColumn("rank", F.col("start") + F.col("at"))
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights)).cast("int"))
+    ranked = saved(ranked.select("_rl_source", "source_size", "rank", weight.alias("w")), "ranked")
+    most = cap * F.col("source_size")
+    total, free = ranked.agg(F.sum("source_size"), F.sum("w")).first()
+    left, full, before = total, 0, None
+    while free and full != before:
+        before, level = full, F.lit(float(left)) * F.col("w") / F.lit(float(free))
+        over = level > most
+        full, fixed, free = ranked.agg(F.count_if(over), F.sum(F.when(over, most).otherwise(0)), F.sum(F.when(over, 0.0).otherwise(F.col("w")))).first()
+        left = total - fixed
+    target = F.least(level, most.cast("double")) if free else most.cast("double")
+    schema = out_schema(PLAN)
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [tuple(map(float, schedule(i))) for i in batch.column("rank").to_pylist()]
+            start, end = ([p[k] for p in pairs] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_rl_source", "source_size", "target")), pa.array(start, pa.float64()), pa.array(end, pa.float64())], schema=schema)
+
+    return saved(ranked.select("_rl_source", "source_size", target.alias("target"), "rank").mapInArrow(times, PLAN), "plan")
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, schedule: Callable[[int], tuple[float, float]] = ramp, carry: bool = False) -> DataFrame:
     """A row per document: id, source, size, source_size, target, taken, positions (array of double), range-sorted.
 
@@ -71,17 +111,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     digest = F.md5(F.coalesce(name, F.lit("")))
     sized = docs.select(id_col, F.col(source_col).cast("string").alias(source_col), *rest, F.coalesce(F.regexp_count(F.col(text_col), F.lit(TOKEN_PATTERN)), F.lit(0)).cast("long").alias("size"), digest.alias("_rl_md5"))
     sized = saved(sized, "sizes")
-    totals = sized.groupBy(source_col).agg(F.sum("size").alias("size")).orderBy(F.col(source_col).asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = [r["size"] for r in totals]
-    shares = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], cap) if sizes else []
-    plan = spark.createDataFrame(
-        [(r[source_col], s, t, *map(float, schedule(i))) for i, (r, s, t) in enumerate(zip(totals, sizes, shares, strict=True))],
-        "_rl_source string, source_size long, target double, _rl_start double, _rl_end double",
-    )
-
-    plan = F.broadcast(plan) if len(totals) <= BROADCAST_SOURCES else plan
+    totals = saved(sized.groupBy(source_col).agg(F.sum("size").alias("size")), "totals")
+    n = totals.count()
+    if n > MAX_SOURCES:
+        plan = plan_of_many(totals, source_col, weights, cap, schedule)
+    else:
+        rows = totals.orderBy(F.col(source_col).asc_nulls_last()).collect()  # at most MAX_SOURCES
+        sizes = [r["size"] for r in rows]
+        shares = targets(sizes, [weights[i % len(weights)] for i in range(n)], cap) if n else []
+        plan = spark.createDataFrame([(r[source_col], s, t, *map(float, schedule(i))) for i, (r, s, t) in enumerate(zip(rows, sizes, shares, strict=True))], PLAN)
+    plan = F.broadcast(plan) if n <= BROADCAST_SOURCES else plan
     # one key for source and bucket, never null: the join and the running sum then share one shuffle
     source_key = F.coalesce(F.concat(F.lit("="), source_col), F.lit(""))
     bucketed = sized.withColumn("_rl_key", F.concat(F.substring("_rl_md5", 1, BUCKET_DIGITS), source_key))

@@ -250,6 +250,20 @@ def test_mixture(spark):
     assert mixture.mix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cap", [1, 3])
+def test_mixture_of_very_many_sources(spark, monkeypatch, cap):
+    rows = [(i, "w " * (1 + i % 9 * (i % 13 == 0) * 40), f"s{i * 7919 % 101}" if i % 50 else None) for i in range(700)] + [(900, "", "empty"), (None, "w", "é")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(mixture.mix(df, cap=cap).collect(), key=str)
+    monkeypatch.setattr(mixture, "MAX_SOURCES", 3)
+    got = sorted(mixture.mix(df, cap=cap).collect(), key=str)
+    assert len({r.target / max(1, r.source_size) for r in got}) > 1 or cap == 1
+    for g, w in zip(got, want, strict=True):
+        assert (g.doc_id, g.source, g.size, g.source_size, g.taken) == (w.doc_id, w.source, w.size, w.source_size, w.taken)
+        assert g.target == pytest.approx(w.target) and g.positions == pytest.approx(w.positions)
+    assert mixture.mix(df.limit(0)).count() == 0
+
+
 def test_chat(spark):
     odd = ["</turn>", "###", "\\", "\\l", "### a\nb</turn>\n", "", None, "é" * 50, "x" * 100_000]
     rows = [(c, t, r, odd[(c + t) % len(odd)]) for c in range(12) for t, r in enumerate(["user", "assistant", "sys#\nt<em", None, "assistant"])] + [(3, 0, "user", "again"), (3, 0, "user", "again"), (None, None, "assistant", "lost")]
