@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, fields
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -87,18 +87,41 @@ def pack(reads: DataFrame, policy: Policy = Policy(), order: tuple[str, ...] = (
     return ordered.select("ref", "pos", "end_pos", "size", *(["_first"] if first else [])).mapInArrow(run, made)
 
 
-def assign(reads: DataFrame, chunks: DataFrame, tie: str = "qname", bin_size: int = 1 << 14) -> DataFrame:
+def cuts(chunks: DataFrame, n: int) -> list[tuple[str, int]]:
+    """(ref, bin) where each of up to ``n`` ranges of ``chunks`` (ref, _bin) but the first begins, of about as many chunks each."""
+    dealt = chunks.select("ref", "_bin").repartitionByRange(n, "ref", "_bin")
+    firsts = dealt.groupBy(F.spark_partition_id()).agg(F.min(F.struct("ref", "_bin")).alias("first")).select("first.*").collect()  # a row a range
+    return sorted(tuple(r) for r in firsts)[1:]
+
+
+def range_number(bounds: list[tuple[str, int]], low: int = 0) -> Column:
+    """How many of ``bounds`` (sorted) are not above the row's (ref, _bin): a binary search."""
+    if not bounds:
+        return F.lit(low)
+    mid = len(bounds) // 2
+    ref, at = bounds[mid]
+    below = (F.col("ref") < ref) | ((F.col("ref") == ref) & (F.col("_bin") < at))
+    return F.when(below, range_number(bounds[:mid], low)).otherwise(range_number(bounds[mid + 1 :], low + mid + 1))
+
+
+def assign(reads: DataFrame, chunks: DataFrame, tie: str = "qname", bin_size: int = 1 << 8) -> DataFrame:
     """``reads`` with the ``chunk_id`` of their chunk, from ``pack(..., first=tie)`` over the same reads.
 
-    A chunk is entered in the bins from its first record to the next chunk's and met there, so no contig is gathered again.
+    A chunk is entered in the bins from its first record to the next chunk's, and sorted among the reads of each: a read is of the
+    last chunk entered before it, so work follows reads however many chunks a bin has. Rows come in ranges of contig and
+    position, sorted by (ref, pos, tie) within each. The ranges are taken from the chunks, so reads are made and moved once.
     """
     w = Window.partitionBy("ref").orderBy("chunk_id")
-    key = F.struct(F.col("start_pos").cast("long").alias("a"), F.col("first").alias("b"))
-    bounds = chunks.select("ref", "chunk_id", "start_pos", key.alias("_low"), F.lead(key).over(w).alias("_next"), F.coalesce(F.lead("start_pos").over(w), F.col("end_pos")).alias("_last"))
-    spans = bounds.select("ref", "chunk_id", "_low", "_next", F.explode(F.sequence(F.floor(F.col("start_pos") / bin_size), F.floor(F.col("_last") / bin_size))).alias("_bin"))
-    mine = F.struct(F.col("pos").cast("long").alias("a"), F.col(tie).alias("b"))
-    met = reads.withColumn("_bin", F.floor(F.col("pos") / bin_size)).join(spans, ["ref", "_bin"])
-    return met.where((F.col("_low") <= mine) & (F.col("_next").isNull() | (mine < F.col("_next")))).select(*reads.columns, "chunk_id")
+    bins = F.sequence(F.floor(F.col("start_pos") / bin_size), F.floor(F.coalesce(F.lead("start_pos").over(w), F.col("end_pos")) / bin_size))
+    spans = chunks.select("ref", "chunk_id", F.col("start_pos").alias("_at"), F.col("first").alias(tie), bins.alias("_bins"))
+    entered = spans.select("ref", "chunk_id", "_at", tie, F.explode("_bins").alias("_bin"), F.lit(0).alias("_read"))
+    own = chunks.select("ref", F.floor(F.col("start_pos") / bin_size).alias("_bin"))
+    bounds = cuts(own, int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.col("pos").cast("long")
+    rows = reads.withColumns({"_at": at, "_bin": F.floor(at / bin_size), "_read": F.lit(1)}).unionByName(entered, allowMissingColumns=True)
+    dealt = rows.withColumn("_range", range_number(bounds)).repartitionById(len(bounds) + 1, F.col("_range"))
+    before = Window.partitionBy("ref", "_bin", "_range").orderBy("_at", tie, "_read").rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn("chunk_id", F.last("chunk_id", ignorenulls=True).over(before)).where("_read = 1").select(*reads.columns, "chunk_id")
 
 
 def intervals(chunks: DataFrame) -> DataFrame:

@@ -619,9 +619,8 @@ def convert(reads: DataFrame, path: str, region: Region | None = None, policy: c
         out = out.withColumn("quality", records.bin_quality(F.col("quality")))
     spark, tie = reads.sparkSession, "ord" if "ord" in reads.columns else "qname"
     chunking.pack(out, policy, ("pos", tie), first=tie).write.parquet(f"{path}/chunk_index")
-    placed = chunking.assign(out, spark.read.parquet(f"{path}/chunk_index"), tie)
-    ordered = placed.repartitionByRange("ref", "pos", tie).sortWithinPartitions("ref", "pos", tie)
-    ordered.write.partitionBy("ref").option("compression", compression).parquet(f"{path}/reads")
+    placed = chunking.assign(out, spark.read.parquet(f"{path}/chunk_index"), tie)  # in ranges, sorted
+    placed.write.partitionBy("ref").option("compression", compression).parquet(f"{path}/reads")
     if contigs is None:
         found = spark.read.parquet(f"{path}/chunk_index").groupBy("ref").agg(F.max("end_pos").alias("length")).orderBy("ref").collect()  # a row for each contig
         contigs = spark.createDataFrame([(i, r.ref, r.length) for i, r in enumerate(found)], CONTIGS)

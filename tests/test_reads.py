@@ -413,3 +413,18 @@ def test_bam_by_its_index(spark, tmp_path):
     with pytest.raises(ReadsError, match="no index"):
         (tmp_path / "bare.bam").write_bytes(parts[0].read_bytes())
         files.read_bam_region(spark, str(tmp_path / "bare.bam"), parse_region("chr1:1-2"))
+
+
+def test_chunks_of_crowded_positions(spark, tmp_path):
+    rows = [(f"r{i:05d}", 0, f"c{i % 2}", i // 400, 60, "10M", "*", -1, 0, "ACGTACGTAC", "FFFFFFFFFF", "") for i in range(8_000)]
+    reads = spark.createDataFrame(rows, "qname string, flag int, ref string, pos int, mapq int, cigar string, mate_reference string, mate_pos int, template_length int, sequence string, quality string, tags string")
+    files.convert(reads, str(tmp_path / "d"), policy=chunking.Policy(max_records=3))
+    files.assert_valid(spark, str(tmp_path / "d"))
+    got = files.open_dataset(spark, str(tmp_path / "d"))
+    assert {(r.ref, r.qname): r.chunk_id for r in got.collect()} == {(f"c{i % 2}", f"r{i:05d}"): i // 2 // 3 for i in range(8_000)}
+    for part in (tmp_path / "d" / "reads").rglob("*.parquet"):
+        names = [r.qname for r in spark.read.parquet(str(part)).collect()]
+        assert names == sorted(names)
+    # no pair of a read and a chunk of its bin is formed: there were 13,000 chunks to a bin in 36 million reads
+    placed = chunking.assign(reads.withColumn("end_pos", F.col("pos") + 10), spark.read.parquet(str(tmp_path / "d" / "chunk_index")).withColumn("first", F.lit("")))
+    assert "Join" not in placed._jdf.queryExecution().executedPlan().toString()
