@@ -238,7 +238,8 @@ def row_blocks(reads):
 
 @query(f"SELECT {SAM} AS sam_line FROM r WHERE {HIT} AND {MAPPED}")
 def row_block_view(reads):
-    return blocks.view_blocks(blocks.row_blocks(reads, span=1 << 14), REGION)
+    mine = reads.where(F.col("ref") == REGION.ref)  # before the blocks are made: no filter passes below them
+    return blocks.view_blocks(blocks.streamed_blocks(mine, span=1 << 14), REGION)
 
 
 @query(f"SELECT ref, start_pos, end_pos, row_number() OVER (PARTITION BY ref ORDER BY end_pos, start_pos) AS end_rank FROM (SELECT ref, min(pos)::BIGINT AS start_pos, max(end_pos)::BIGINT AS end_pos FROM r WHERE {MAPPED} GROUP BY ref, pos // 16384)")

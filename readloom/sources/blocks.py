@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from readloom.functions import cigar, records
@@ -21,7 +24,7 @@ BLOCKS = "ref_id int, start_pos int, end_pos int, record_count int, payload bina
 def row_blocks(reads: DataFrame, order: tuple[str, ...] = ("pos", "qname"), span: int | None = None) -> DataFrame:
     """(ref, start_pos, end_pos, record_count, payload) of mapped reads: a block a contig, or one for each ``span`` bases of it.
 
-    A block is one value, so a contig of many reads needs a span.
+    A block is one value, so a contig of many reads needs a span, and a span of very many reads ``streamed_blocks``.
     """
     line = F.struct(*order, F.concat(records.sam_line(), F.lit("\n")).alias("_line"))
     part = [F.floor(F.col("pos") / span).alias("_part")] if span else []
@@ -30,6 +33,36 @@ def row_blocks(reads: DataFrame, order: tuple[str, ...] = ("pos", "qname"), span
     return out.select("ref", "start_pos", "end_pos", "record_count", F.array_join("_lines._line", "").cast("binary").alias("payload"))
 
 
+def streamed_blocks(reads: DataFrame, span: int, order: tuple[str, ...] = ("pos", "qname"), most: int = 4096) -> DataFrame:
+    """As ``row_blocks`` with a span, but a block ends after ``most`` records, and ``number`` counts those of a span: rows are sorted and streamed, and a task holds one block."""
+    made = T.StructType.fromDDL("ref string, start_pos int, end_pos int, record_count int, payload binary, number long")
+    schema = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lines, low, high, number = None, [], 0, 0, 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"ref": key[0], "start_pos": low, "end_pos": high, "record_count": len(lines), "payload": b"".join(lines), "number": number}], schema)
+
+        for batch in batches:
+            for ref, part, pos, end, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lines and (len(lines) == most or key != (ref, part)):
+                    yield block()
+                    lines = []
+                if not lines:
+                    number = number + 1 if key == (ref, part) else 0
+                    key, low, high = (ref, part), pos, end
+                low, high = min(low, pos), max(high, end)
+                lines.append(line)
+        if lines:
+            yield block()
+
+    line = F.concat(records.sam_line(), F.lit("\n")).cast("binary").alias("_line")
+    mapped = reads.where(flag_excludes(UNMAPPED) & (F.col("pos") >= 0)).select("ref", F.floor(F.col("pos") / span).alias("_part"), F.col("pos").cast("int"), F.col("end_pos").cast("int"), line, *(c for c in order if c != "pos"))
+    ordered = mapped.repartition("ref", "_part").sortWithinPartitions("ref", "_part", *order)
+    return ordered.select("ref", "_part", "pos", "end_pos", "_line").mapInArrow(run, made)
+
+
 def light_fields(line: str) -> tuple:
     """The first fields of a SAM line, unread but for the position: contig, position (0-based), CIGAR (``*`` where it is missing)."""
     f = F.split(line, "\t", 8)
@@ -39,9 +72,10 @@ def light_fields(line: str) -> tuple:
 
 
 def block_lines(blocks: DataFrame) -> DataFrame:
-    """(ref, block, line_number, sam_line) of the payloads."""
+    """(ref, block, number, line_number, sam_line) of the payloads; ``number`` orders blocks of one begin."""
     lines = F.posexplode(F.split(F.rtrim(F.col("payload").cast("string"), F.lit("\n")), "\n")).alias("line_number", "sam_line")
-    return blocks.where("record_count > 0").select("ref", F.col("start_pos").alias("block"), lines)
+    number = F.col("number") if "number" in blocks.columns else F.lit(0).alias("number")
+    return blocks.where("record_count > 0").select("ref", F.col("start_pos").alias("block"), number, lines)
 
 
 def query_blocks(blocks: DataFrame, region: Region) -> DataFrame:
@@ -56,7 +90,7 @@ def view_blocks(blocks: DataFrame, region: Region) -> DataFrame:
     ref, pos, ops = light_fields("sam_line")
     lines = block_lines(query_blocks(blocks, region)).select("*", ref.alias("_ref"), pos.alias("_pos"), (pos + cigar.reference_span(ops)).alias("_end"))
     found = lines.where((F.col("_ref") == region.ref) & overlaps(F.col("_pos"), F.col("_end"), region.start, region.end))
-    return found.orderBy("block", "line_number").select("sam_line")
+    return found.orderBy("block", "number", "line_number").select("sam_line")
 
 
 def by_end(blocks: DataFrame) -> DataFrame:

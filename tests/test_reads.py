@@ -428,3 +428,19 @@ def test_chunks_of_crowded_positions(spark, tmp_path):
     # no pair of a read and a chunk of its bin is formed: there were 13,000 chunks to a bin in 36 million reads
     placed = chunking.assign(reads.withColumn("end_pos", F.col("pos") + 10), spark.read.parquet(str(tmp_path / "d" / "chunk_index")).withColumn("first", F.lit("")))
     assert "Join" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_crowded_spans(spark):
+    rows = [(f"r{i:04d}", 0, "c", i // 300, 60, "10M", "*", -1, 0, "ACGTACGTAC", "FFFFFFFFFF", "", i // 300 + 10) for i in range(3_000)]
+    reads = spark.createDataFrame(rows, "qname string, flag int, ref string, pos int, mapq int, cigar string, mate_reference string, mate_pos int, template_length int, sequence string, quality string, tags string, end_pos int")
+    made = blocks.streamed_blocks(reads, span=1 << 14, most=100)
+    assert sorted((r.start_pos, r.end_pos, r.record_count) for r in made.collect()) == sorted((p, p + 10, 100) for p in range(10) for _ in range(3))
+    region = Region("c", 4, 6)
+    assert [r.sam_line for r in blocks.view_blocks(made, region).collect()] == [r.sam_line for r in blocks.view_blocks(blocks.row_blocks(reads, span=1 << 14), region).collect()]
+
+
+def test_row_block_view_gathers_no_span(spark):
+    from readloom.plans import storage
+
+    plan = storage.QUERIES["row_block_view"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
