@@ -189,26 +189,29 @@ def column_entries(reads):
 @query(CHOICE + "SELECT ref, count(*) FILTER (\"column\" IN ('pos', 'cigar', 'flag', 'mapq')) AS selected_columns, count(*) AS total_columns, sum(CASE WHEN \"column\" IN ('pos', 'cigar', 'flag', 'mapq') THEN bytes ELSE 0 END)::BIGINT AS selected_bytes, sum(bytes)::BIGINT AS total_bytes FROM chosen GROUP BY ref")
 def selected_bytes(reads):
     """What depth reads of the columns against all of them."""
-    entry = codec_bytes.encode_chunks(chunked(reads)).select("ref", "column", F.octet_length("body").cast("long").alias("bytes"))
+    entry = codec_bytes.encode_chunks(chunked(reads), facts=codec_bytes.SIZES).select("ref", "column", "bytes")
     chosen = F.col("column").isin("pos", "cigar", "flag", "mapq")
     return entry.groupBy("ref").agg(F.count_if(chosen).alias("selected_columns"), F.count("*").alias("total_columns"), F.sum(F.when(chosen, F.col("bytes")).otherwise(0)).alias("selected_bytes"), F.sum("bytes").alias("total_bytes"))
 
 
 @query("SELECT qname, pos::BIGINT AS pos, length(sequence)::BIGINT AS bases, ((length(sequence) + 3) // 4)::BIGINT AS bytes, sequence FROM r WHERE regexp_full_match(sequence, '[ACGT]+')")
 def seq_2bit_roundtrip(reads):
-    """Bases packed four to a byte and unpacked again."""
+    """Bases packed four to a byte and unpacked again, a batch at a time."""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
+            batch = batch.filter(pc.match_substring_regex(batch.column("sequence"), r"\A[ACGT]+\z"))  # here, as below a filter the letters would be made twice
             texts = [t.encode() for t in batch.column("sequence").to_pylist()]
-            packed_ = [codec_bytes.bases([t]) for t in texts]
-            back = [codec_bytes.from_bases(codec_bytes.Cursor(p), 1)[0].decode() for p in packed_]
-            sizes = [len(p) - len(codec_bytes.varints([len(t)])) for p, t in zip(packed_, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("qname"), batch.column("pos"), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes, pa.int64()), pa.array(back, pa.string())], names=["qname", "pos", "bases", "bytes", "sequence"])
+            packed_, sizes = codec_bytes.base_rows(texts)
+            c = codec_bytes.Cursor(packed_)
+            back = codec_bytes.from_bases(c, len(texts))
+            c.end()
+            yield pa.RecordBatch.from_arrays([batch.column("qname"), batch.column("pos"), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes, pa.int64()), pa.array([t.decode() for t in back], pa.string())], names=["qname", "pos", "bases", "bytes", "sequence"])
 
-    return reads.where(F.col("sequence").rlike("^[ACGT]+$")).select("qname", F.col("pos").cast("long").alias("pos"), "sequence").mapInArrow(run, "qname string, pos long, bases long, bytes long, sequence string")
+    return reads.select("qname", F.col("pos").cast("long").alias("pos"), "sequence").mapInArrow(run, "qname string, pos long, bases long, bytes long, sequence string")
 
 
 @query("SELECT t AS value, CASE WHEN z < 128 THEN printf('%02X', z) ELSE printf('%02X%02X', z % 128 + 128, z // 128) END AS bytes, n FROM (SELECT template_length::BIGINT AS t, CASE WHEN template_length < 0 THEN -2 * template_length - 1 ELSE 2 * template_length END::INT AS z, count(*) AS n FROM r GROUP BY ALL)")

@@ -444,3 +444,16 @@ def test_row_block_view_gathers_no_span(spark):
 
     plan = storage.QUERIES["row_block_view"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_codes_of_many_rows_at_once(monkeypatch):
+    monkeypatch.setattr(codec_bytes, "ROWS", 7)
+    texts = [b"ACGT" * (i % 50) + b"GAT"[: 1 + i % 3] for i in range(40)]
+    body, taken = codec_bytes.base_rows(texts)
+    assert taken.tolist() == [(len(t) + 3) // 4 for t in texts]
+    assert body == b"".join(codec_bytes.varints([len(t)]) + codec_bytes.packed_bits(np.array([b"ACGT".index(x) for x in t]), 2) for t in texts)
+    assert codec_bytes.from_bases(codec_bytes.Cursor(body), 40) == texts
+    for window in (64, 1 << 20):
+        monkeypatch.setattr(codec_bytes, "WINDOW", window)
+        runs = [b"F" * (1 + i * 9 % 300) + b"#" * (i % 4) + b",F" * (i % 7) for i in range(40)]
+        assert codec_bytes.from_quality_runs(codec_bytes.Cursor(codec_bytes.quality_runs(runs)), 40) == runs
