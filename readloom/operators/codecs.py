@@ -194,4 +194,5 @@ def distribution(chosen: DataFrame) -> DataFrame:
 def payload_summary(chosen: DataFrame) -> DataFrame:
     """(column, total_bytes, chunks, codes, avg_bytes, percent) with the share of all columns."""
     per = chosen.groupBy("column").agg(F.sum("bytes").alias("total_bytes"), F.count("*").alias("chunks"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"), F.avg("bytes").alias("avg_bytes"))
-    return per.crossJoin(F.broadcast(per.agg(F.sum("total_bytes").alias("all_bytes")))).select("column", "total_bytes", "chunks", "codes", "avg_bytes", (100 * F.col("total_bytes") / F.col("all_bytes")).alias("percent"))
+    whole = F.sum("total_bytes").over(Window.partitionBy())  # over a row for each column: a join with the sum would encode all chunks twice
+    return per.select("column", "total_bytes", "chunks", "codes", "avg_bytes", (100 * F.col("total_bytes") / whole).alias("percent"))

@@ -377,8 +377,7 @@ CHOICE = _choice_sql()
 
 def _concrete(reads: DataFrame) -> DataFrame:
     """The smallest bodies' sizes: all columns of a chunk are encoded in one pass over one shuffle."""
-    made = codec_bytes.encode_chunks(chunked(reads))
-    return made.select("ref", "chunk", "column", "code", F.octet_length("body").cast("long").alias("bytes"))
+    return codec_bytes.encode_chunks(chunked(reads), facts=codec_bytes.SIZES).select("ref", "chunk", "column", "code", "bytes")
 
 
 @query(CHOICE + "SELECT * FROM chosen")

@@ -457,3 +457,16 @@ def test_codes_of_many_rows_at_once(monkeypatch):
         monkeypatch.setattr(codec_bytes, "WINDOW", window)
         runs = [b"F" * (1 + i * 9 % 300) + b"#" * (i % 4) + b",F" * (i % 7) for i in range(40)]
         assert codec_bytes.from_quality_runs(codec_bytes.Cursor(codec_bytes.quality_runs(runs)), 40) == runs
+
+
+def test_facts_of_bodies_need_no_bodies(spark, toy):
+    """Every chunk is encoded once, whatever is summed over it, and its bodies stay in the task."""
+    from readloom.operators import codecs
+
+    chunked = toy.withColumn("chunk", F.lit(0))
+    sizes = codec_bytes.encode_chunks(chunked, facts=codec_bytes.SIZES)
+    whole = codec_bytes.encode_chunks(chunked).withColumn("bytes", F.octet_length("body").cast("long")).drop("body")
+    assert sorted(sizes.collect()) == sorted(whole.collect())
+    summary = codecs.payload_summary(sizes)
+    assert summary._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert abs(sum(r.percent for r in summary.collect()) - 100) < 1e-9
