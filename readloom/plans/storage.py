@@ -150,21 +150,12 @@ def interval_count(reads):
 @query(CHOICE + "SELECT col AS \"column\", code, count(*) AS chunks, sum(bytes)::BIGINT AS bytes, sum(n)::BIGINT AS records, true AS exact FROM cand JOIN (SELECT ref, chunk, count(*) AS n FROM c GROUP BY ref, chunk) USING (ref, chunk) WHERE bytes IS NOT NULL GROUP BY ALL")
 def codec_bodies(reads):
     """Every body that a code can make, decoded again and held against its column."""
-    made = codec_bytes.encode_chunks(chunked(reads), every=True)
-    schema = "column string, code string, n long, bytes long, exact boolean"
 
-    def check(batches):
-        import pyarrow as pa
+    def check(column, code, n, body):
+        values = codec_bytes.decode(column, code, body, n)
+        return len(body), len(values) == n and codec_bytes.CODERS[column, code][0](values) == body
 
-        for batch in batches:
-            rows = []
-            for column, code, n, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                values = codec_bytes.decode(column, code, body, n)
-                again = codec_bytes.CODERS[column, code][0](values)
-                rows.append((column, code, n, len(body), again == body and len(values) == n))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["column", "code", "n", "bytes", "exact"])
-
-    found = made.select("column", "code", "n", "body").mapInArrow(check, schema)
+    found = codec_bytes.encode_chunks(chunked(reads), every=True, facts=("bytes long, exact boolean", check))
     return found.groupBy("column", "code").agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"), F.sum("n").alias("records"), F.bool_and("exact").alias("exact"))
 
 
@@ -181,7 +172,7 @@ ORDERED = "['qname', 'flag', 'pos', 'mapq', 'cigar', 'mate_reference', 'mate_pos
 def column_entries(reads):
     """Where each column's body stands in its chunk."""
     place = F.array_position(F.array(*map(F.lit, codecs.CODES)), F.col("column"))
-    entry = codec_bytes.encode_chunks(chunked(reads)).select("ref", "chunk", "column", "code", F.octet_length("body").cast("long").alias("bytes"), place.alias("place"))
+    entry = codec_bytes.encode_chunks(chunked(reads), facts=codec_bytes.SIZES).select("ref", "chunk", "column", "code", "bytes", place.alias("place"))
     w = Window.partitionBy("ref", "chunk").orderBy("place")
     return entry.select("ref", "chunk", "column", "code", (F.sum("bytes").over(w) - F.col("bytes")).alias("offset"), "bytes")
 

@@ -430,22 +430,6 @@ def test_chunks_of_crowded_positions(spark, tmp_path):
     assert "Join" not in placed._jdf.queryExecution().executedPlan().toString()
 
 
-def test_blocks_of_crowded_spans(spark):
-    rows = [(f"r{i:04d}", 0, "c", i // 300, 60, "10M", "*", -1, 0, "ACGTACGTAC", "FFFFFFFFFF", "", i // 300 + 10) for i in range(3_000)]
-    reads = spark.createDataFrame(rows, "qname string, flag int, ref string, pos int, mapq int, cigar string, mate_reference string, mate_pos int, template_length int, sequence string, quality string, tags string, end_pos int")
-    made = blocks.streamed_blocks(reads, span=1 << 14, most=100)
-    assert sorted((r.start_pos, r.end_pos, r.record_count) for r in made.collect()) == sorted((p, p + 10, 100) for p in range(10) for _ in range(3))
-    region = Region("c", 4, 6)
-    assert [r.sam_line for r in blocks.view_blocks(made, region).collect()] == [r.sam_line for r in blocks.view_blocks(blocks.row_blocks(reads, span=1 << 14), region).collect()]
-
-
-def test_row_block_view_gathers_no_span(spark):
-    from readloom.plans import storage
-
-    plan = storage.QUERIES["row_block_view"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "collect_list" not in plan
-
-
 def test_codes_of_many_rows_at_once(monkeypatch):
     monkeypatch.setattr(codec_bytes, "ROWS", 7)
     texts = [b"ACGT" * (i % 50) + b"GAT"[: 1 + i % 3] for i in range(40)]
@@ -470,3 +454,27 @@ def test_facts_of_bodies_need_no_bodies(spark, toy):
     summary = codecs.payload_summary(sizes)
     assert summary._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert abs(sum(r.percent for r in summary.collect()) - 100) < 1e-9
+
+
+def test_bodies_stay_in_their_task(spark, monkeypatch):
+    from readloom.plans import storage
+
+    found = storage.QUERIES["codec_bodies"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "body" not in plan
+
+
+def test_blocks_of_crowded_spans(spark):
+    rows = [(f"r{i:04d}", 0, "c", i // 300, 60, "10M", "*", -1, 0, "ACGTACGTAC", "FFFFFFFFFF", "", i // 300 + 10) for i in range(3_000)]
+    reads = spark.createDataFrame(rows, "qname string, flag int, ref string, pos int, mapq int, cigar string, mate_reference string, mate_pos int, template_length int, sequence string, quality string, tags string, end_pos int")
+    made = blocks.streamed_blocks(reads, span=1 << 14, most=100)
+    assert sorted((r.start_pos, r.end_pos, r.record_count) for r in made.collect()) == sorted((p, p + 10, 100) for p in range(10) for _ in range(3))
+    region = Region("c", 4, 6)
+    assert [r.sam_line for r in blocks.view_blocks(made, region).collect()] == [r.sam_line for r in blocks.view_blocks(blocks.row_blocks(reads, span=1 << 14), region).collect()]
+
+
+def test_row_block_view_gathers_no_span(spark):
+    from readloom.plans import storage
+
+    plan = storage.QUERIES["row_block_view"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
