@@ -429,6 +429,20 @@ def similar_links(nodes: DataFrame, sure: int, limit: int) -> DataFrame:
     return meeting.repartition("part").sortWithinPartitions("part", "node").mapInArrow(meet, "u long, v long, sure boolean").distinct()
 
 
+def grid_links(nodes: DataFrame, sure: int, limit: int) -> DataFrame:
+    """Edges as of ``similar_links`` between ``nodes`` whose first 64 bits meet in the grid of bit counts within 2 bits, verified on all bits.
+
+    Nodes of equal first bits meet the smallest of them.
+    """
+    reps = saved(nodes.groupBy("f0").agg(F.min("node").alias("rep")), "reps")
+    near = near_links(reps.select("rep", F.col("f0").alias("fp")))
+    same = nodes.join(reps, "f0").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    pairs = near.unionByName(same).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    a, b = (nodes.select(F.col("node").alias(n), *(F.col(p).alias(f"{n}_{p}") for p in PRINTS)) for n in ("u", "v"))
+    bits = sum((F.bit_count(F.col(f"u_{p}").bitwiseXOR(F.col(f"v_{p}"))) for p in PRINTS[1:]), F.bit_count(F.col("u_f0").bitwiseXOR(F.col("v_f0"))))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", bits.alias("bits")).where(F.col("bits") <= limit).select("u", "v", (F.col("bits") <= sure).alias("sure"))
+
+
 def alike(pairs: DataFrame, texts: DataFrame, *, width: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (u, v) whose ``texts`` (node, text) have sets of shingles as alike as ``similarity``, exactly."""
     links = out_schema("u long, v long")
@@ -450,9 +464,9 @@ def alike(pairs: DataFrame, texts: DataFrame, *, width: int, similarity: float)
 def dedup_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, parts: int = 14, least: int = 5) -> DataFrame:
     """``docs`` with one row of each group of similar texts: of shingles of ``width`` words, sets as alike as ``similarity``.
 
-    Fingerprints of texts as alike as 0.8 differ in 15 of 100 bits, where no grid of bit counts tells them from others. So
-    candidates are texts that share the fingerprint of one of ``parts`` samples of their shingles, and the fingerprints of all
-    shingles, of 512 bits, are then compared. Pairs within the lower of ``bit_limits`` are similar (an error for one pair in forty
+    Candidates are texts whose fingerprints of 64 bits meet in the grid of bit counts (``near_links``). Those of texts as alike as 0.8
+    differ in 15 of 100 bits, where the grid tells them from no others, so texts that share the fingerprint of one of ``parts``
+    samples of their shingles are candidates too. The fingerprints of all shingles, of 512 bits, are then compared. Pairs within the lower of ``bit_limits`` are similar (an error for one pair in forty
     just below ``similarity``), those beyond the upper are not; of those between, the nearest that link two components
     are compared by their whole texts. At 0.8 a pair is a candidate with probability 0.996 and within the upper limit with
     0.998. Which row stays, nulls and ties: as in ``dedup_documents``.
@@ -461,7 +475,9 @@ def dedup_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), digest.alias("md5"), F.col(text_col).alias("text"))
     known = saved(sketches(named, width=width, parts=parts, least=least).withColumn("node", F.xxhash64(*PRINTS)), "sketches")
     nodes = saved(known.groupBy("node", *PRINTS).agg(F.min("parts").alias("parts"), F.min(F.struct("id", "md5")).alias("one")), "nodes")
-    links = saved(similar_links(nodes, *bit_limits(similarity)), "links")
+    limits = bit_limits(similarity)
+    found = grid_links(nodes, *limits).unionByName(similar_links(nodes, *limits))
+    links = saved(found.groupBy("u", "v").agg(F.max("sure").alias("sure")), "links")
     open_pairs = links.where("NOT sure").select("u", "v")
     asked = open_pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     owners = nodes.select("node", "one.*").join(asked, "node", "left_semi")  # of the table: below an aggregate the join would deal out all rows

@@ -398,3 +398,15 @@ def test_quality_learns_from_ends_of_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
     got = quality.score(df, quality.train(df, labels)).collect()
     assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_similar_texts_meet_in_the_grid(spark):
+    """The grid alone links near copies, where no sample of shingles is shared."""
+    words = [f"w{i}" for i in range(400)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "other"]), 3: " ".join(words[::-1])}
+    rows = spark.createDataFrame([(i, str(i), t) for i, t in texts.items()], "id long, md5 string, text string")
+    nodes = simhash.sketches(rows, width=5, parts=14, least=5).withColumn("node", F.col("id"))
+    apart = nodes.withColumn("parts", F.array(F.col("id")))
+    assert simhash.similar_links(apart, *simhash.bit_limits(0.8)).count() == 0
+    same = apart.withColumn("f0", F.when(F.col("id") == 2, F.lit(nodes.where("id = 1").first().f0).bitwiseXOR(F.lit(3))).otherwise(F.col("f0")))
+    assert [tuple(r) for r in simhash.grid_links(same, *simhash.bit_limits(0.8)).collect()] == [(2, 1, True)]
